@@ -8,7 +8,9 @@ of n symbols needs about ``2 n / (span - gram)`` rows instead of n, and loses no
 
 * an anchor whose gram occurs once owns only windows that occur once: it is dropped;
 * anchors with equal gram and equal stretch of owned windows (a *class*) repeat in all of them;
-* of the rest, one member of each class, the windows are ranked one by one by pairs of names.
+* of the rest, one member of each class, the owned windows are cut into ever smaller blocks, placed
+  from the anchor, and ranked again in the same two steps: a block's *core* is what all its windows
+  share (a core found once: nothing in it repeats), its *union* what they cover together.
 
 Grouping is by the gram's name (64 bits) and, within it, by names of 64 or 128 bits.
 """
@@ -39,9 +41,13 @@ def byte_symbols() -> np.ndarray:
     return mix(mix(x, x << np.uint64(17)), x * K3)
 
 
+BYTES = byte_symbols()
+
+
 def names(sym: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """Names of all substrings of the given lengths (ascending powers of two)."""
-    out, h, step = [], sym, 1
+    """Names of all substrings of the given lengths (ascending powers of two). Bytes get the names
+    of ``byte_symbols``; 64-bit symbols are names already."""
+    out, h, step = [], BYTES[sym] if sym.dtype == np.uint8 else sym, 1
     for want in lengths:
         while step < want:
             h = mix(h[:-step], h[step:]) if len(h) > step else h[:0]
@@ -86,13 +92,28 @@ class Windows:
         ctx = mix(mix(b[lo], b[np.minimum(lo + k, end - k)]), mix(b[np.maximum(end - 2 * k, lo)], b[end - k]))
         ctx = mix(ctx, ((at - lo) * 65536 + (hi - lo)).astype(np.uint64))
         doc = np.searchsorted(off, lo, "right") - 1
-        return {"doc": doc, "lo": lo - off[doc], "n": hi - lo + 1, "key": g[at].view(np.int64), "ctx": ctx.view(np.int64)}
+        return {"doc": doc, "lo": lo - off[doc], "n": hi - lo + 1, "at": at - lo, "key": g[at].view(np.int64), "ctx": ctx.view(np.int64)}
 
-    def pairs(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank pair of every window: the names of its first and its last ``block`` symbols."""
+    def blocks(self, sym: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray, size: int) -> dict[str, np.ndarray]:
+        """Cut stretches (``n`` windows from ``start`` in ``sym``, the anchor ``at`` symbols on) into
+        blocks of ``size`` windows. ``src`` is the stretch a block comes from, ``key`` and ``ctx``
+        are names of core and union; with one window a block they are its two halves of 128 bits."""
         (b,) = names(sym, self.block)
-        n = len(sym) - self.span + 1
-        return b[:n].view(np.int64), b[self.span - self.block : self.span - self.block + n].view(np.int64)
+        t, k = self.span, self.block
+        first, last = (at - n + 1) // size, at // size  # blocks are numbered by distance from the anchor
+        count = last - first + 1
+        src = np.repeat(np.arange(len(n)), count)
+        q = np.arange(len(src)) - np.repeat(np.cumsum(count) - count, count) + first[src]
+        near, far = np.maximum(q * size, at[src] - n[src] + 1), np.minimum(q * size + size - 1, at[src])
+        anchor = (start + at)[src]
+        lo, hi = anchor - far, anchor - near
+        core, core_end = anchor - q * size, anchor - q * size - size + 1 + t
+        if size == 1:
+            key, ctx = b[core], b[core_end - k]
+        else:
+            key = mix(b[core], b[core_end - k])
+            ctx = mix(mix(b[lo], b[hi + t - k]), ((core - lo + size) * 65536 + (hi - lo)).astype(np.uint64))
+        return {"src": src, "lo": lo - start[src], "n": hi - lo + 1, "at": far, "key": key.view(np.int64), "ctx": ctx.view(np.int64)}
 
 
 def segments(off: np.ndarray, most: int, span: int):

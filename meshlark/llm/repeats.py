@@ -8,105 +8,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.llm.anchors import Windows, long_array, segments
-from meshlark.llm.common import flat
+from meshlark.llm.common import flat, groups
 from meshlark.storage import Scratch
 
-ROWS = "doc_id long, th long, lo long, n long, key long, ctx long"
+ROWS = "doc_id long, th long, lo long, n long, at long, key long, ctx long"
 STEP = 1 << 18
 
 
 def anchor_rows(docs: DataFrame, make_symbols, win: Windows) -> DataFrame:
-    """One row an anchor; ``make_symbols()`` gives ``(bytes, offsets) -> (symbols, offsets)``."""
+    """One row an anchor; ``make_symbols()`` gives ``column -> (symbols of a range, offsets, first row)``."""
 
     def run(batches):
         symbols = make_symbols()
         for batch in batches:
-            ids, th = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy(zero_copy_only=False)
-            null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            ids, th = batch.column("doc_id"), batch.column("th")
             for raw, off, base in symbols(batch.column("text")):
                 for i, j, s, e in segments(off, STEP, win.span):
-                    at = np.clip(off[i : j + 1], s, e) - s
-                    got = win.anchors(raw(s, e), at)
+                    got = win.anchors(raw(s, e), np.clip(off[i : j + 1], s, e) - s)
                     if got is None:
                         continue
-                    doc = base + i + got["doc"]
+                    row = pa.array(base + i + got["doc"])
                     lo = got["lo"] + np.maximum(s - off[i + got["doc"]], 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.nan_to_num(ids[doc]).astype(np.int64), mask=null[doc]), long_array(th[doc]), long_array(lo), long_array(got["n"]), long_array(got["key"]), long_array(got["ctx"])],
-                        ["doc_id", "th", "lo", "n", "key", "ctx"],
-                    )
+                    yield pa.RecordBatch.from_arrays([ids.take(row), th.take(row), *map(long_array, (lo, got["n"], got["at"], got["key"], got["ctx"]))], ["doc_id", "th", "lo", "n", "at", "key", "ctx"])
 
     return docs.mapInArrow(run, ROWS)
 
 
-def repeated_ranges(docs: DataFrame, make_symbols, win: Windows, earlier: bool) -> DataFrame:
-    """``(doc_id, th, lo, n)``: stretches of windows to remove. ``earlier``: a window counts when its
-    symbols also start in a document of smaller id; else when they also start anywhere else.
+def same_document(a: str, b: str):
+    return F.col(f"{a}doc_id").eqNullSafe(F.col(f"{b}doc_id")) & (F.col(f"{a}th") == F.col(f"{b}th"))
+
+
+def other(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumnsRenamed({x: f"_{x}" for x in names})
+
 
-    Rank rounds: gram names (unique ones leave), then names of owned stretches, then rank pairs of
-    single windows for what is left. Every grouping is pre-aggregated before its shuffle and only
-    counts and minima come out of it; the joins are plain equi-joins, which adaptive execution splits.
+def ranked(found: DataFrame, tmp: Scratch, tag: str, earlier: bool) -> DataFrame:
+    """One round over rows with ``key`` and ``ctx``: rows whose key is unique leave; members of a
+    class that repeats are ``hit``; rows to look at more closely, one of each class at least where
+    a key has several classes, are ``open``.
+
+    Only counts and minima come out of the groupings, which pre-aggregate; the joins are plain
+    equi-joins with their aggregate, which adaptive execution splits where a key is hot.
     """
-    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession)
-    found = tmp.write(anchor_rows(docs, make_symbols, win), "anchors")
     shared = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     found = found.join(shared, "key", "left_semi")
     member = F.struct("doc_id", "th", "lo")
-    classes = found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(member).alias("rep"))
-    classes = tmp.write(classes, "classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("key2"))
-    classes = classes.join(several, F.col("key") == F.col("key2"), "left").select("key", "ctx", "c", "low", "rep", F.col("key2").isNotNull().alias("open"))
-    done = F.col("doc_id") > F.col("low") if earlier else F.col("c") > 1
-    joined = found.join(classes.select(F.col("key").alias("key2"), F.col("ctx").alias("ctx2"), "c", "low", "rep", "open"), (F.col("key") == F.col("key2")) & (F.col("ctx") == F.col("ctx2")))
-    marked = joined.select("doc_id", "th", "lo", "n", F.coalesce(done, F.lit(False)).alias("done"), (F.col("open") & (member == F.col("rep"))).alias("rep"), "open")
-    marked = tmp.write(marked.where("done or open"), "marked")
+    classes = tmp.write(found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(member).alias("rep")), f"classes{tag}")
+    several = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("_key"))
+    classes = classes.join(several, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_key"), F.col("ctx").alias("_ctx"), "c", "low", "rep", F.col("_key").isNotNull().alias("open"))
+    hit = F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False)) if earlier else F.col("c") > 1
+    joined = found.join(classes.where("open or c > 1"), (F.col("key") == F.col("_key")) & (F.col("ctx") == F.col("_ctx")))
+    joined = joined.withColumn("hit", hit).withColumn("open", F.col("open") & (~F.col("hit") & ~F.col("done") | (member == F.col("rep"))))
+    marked = joined.where("open or (hit and not done)").drop("key", "ctx", "_key", "_ctx", "c", "low", "rep")
+    marked = tmp.write(marked, f"marked{tag}")
+    tmp.drop(f"classes{tag}")
+    return marked
+
+
+def repeated_ranges(docs: DataFrame, make_symbols, dtype: type, win: Windows, sizes: tuple[int, ...], earlier: bool) -> DataFrame:
+    """``(doc_id, th, lo, n)``: stretches of windows to remove. ``earlier``: a window counts when its
+    symbols also start in a document of smaller id; else when they also start anywhere else."""
+    tmp = Scratch(docs.sparkSession)
+    rows = tmp.write(anchor_rows(docs, make_symbols, win), "anchors").withColumn("done", F.lit(False))
+    marked = ranked(rows, tmp, "", earlier)
     tmp.drop("anchors")
-    tmp.drop("classes")
-    ranges = marked.where("done").select("doc_id", "th", "lo", "n")
-    left = marked.where("rep or not done").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n", F.coalesce("done", F.lit(False)).alias("done"))).alias("todo"))
-    source = docs.join(left.withColumnsRenamed({"doc_id": "d2", "th": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "text", "todo")
-    windows = tmp.write(window_rows(source, make_symbols, win), "windows")
-    groups = windows.groupBy("r1", "r2").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"))
-    hit = F.col("doc_id") > F.col("low") if earlier else F.col("c") > 1
-    groups = groups.where("c > 1").select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), "c", "low")
-    more = windows.where("not done").join(groups, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).where(hit)
-    more = more.select("doc_id", "th", F.col("p").alias("lo"), F.lit(1).cast("long").alias("n"))
-    return spark.createDataFrame([], ranges.schema).union(ranges).union(more)
-
-
-def window_rows(source: DataFrame, make_symbols, win: Windows) -> DataFrame:
-    """The rank pair of every window in the ``todo`` stretches of each document."""
+    ranges = marked.where("hit").select("doc_id", "th", "lo", "n")
+    todo = marked.where("open").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
+    source = docs.join(other(todo, "doc_id", "th"), same_document("", "_")).select("doc_id", "th", "text", "todo")
+    bodies = tmp.write(stretches(source, make_symbols, win), "bodies")
+    work = bodies.withColumn("todo", F.array(F.struct("lo", "n", "at", "done")))
+    for k, size in enumerate(sizes):
+        marked = ranked(tmp.write(block_rows(work, dtype, win, size), f"blocks{k}"), tmp, str(k), earlier)
+        tmp.drop(f"blocks{k}")
+        ranges = ranges.union(marked.where("hit and not done").select("doc_id", "th", "lo", "n"))
+        if size > 1:
+            todo = marked.where("open").groupBy("doc_id", "th", "base").agg(F.collect_list(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
+            work = bodies.drop("n", "at", "done").join(other(todo, "doc_id", "th"), same_document("", "_") & (F.col("lo") == F.col("base"))).select("doc_id", "th", "lo", "body", "todo")
+    return ranges
+
+
+def stretches(source: DataFrame, make_symbols, win: Windows) -> DataFrame:
+    """The symbols of each open stretch, as bytes: ``(doc_id, th, lo, n, at, done, body)``."""
 
     def run(batches):
         symbols = make_symbols()
         for batch in batches:
-            ids, th = batch.column("doc_id"), batch.column("th")
-            todo = batch.column("todo")
+            ids, th, todo = batch.column("doc_id"), batch.column("th"), batch.column("todo")
             for raw, off, base in symbols(batch.column("text")):
-                parts, count = [], 0
                 for i in range(len(off) - 1):
                     own = todo[base + i].values
-                    lo, n, done = (own.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "n", "done"))
-                    for x, m, d in zip(lo.tolist(), n.tolist(), done.tolist()):
-                        s = int(off[i]) + x
-                        r1, r2 = win.pairs(raw(s, s + m - 1 + win.span))
-                        parts.append((r1, r2, np.arange(x, x + m), base + i, d))
-                        count += m
-                        if count > STEP:
-                            yield made(parts, ids, th)
-                            parts, count = [], 0
-                if parts:
-                    yield made(parts, ids, th)
-
-    def made(parts, ids, th):
-        size = [len(x[0]) for x in parts]
-        row = pa.array(np.repeat([x[3] for x in parts], size))
-        return pa.RecordBatch.from_arrays(
-            [ids.take(row), th.take(row), long_array(np.concatenate([x[2] for x in parts])), long_array(np.concatenate([x[0] for x in parts])), long_array(np.concatenate([x[1] for x in parts])), pa.array(np.repeat([x[4] for x in parts], size))],
-            ["doc_id", "th", "p", "r1", "r2", "done"],
-        )
-
-    return source.mapInArrow(run, "doc_id long, th long, p long, r1 long, r2 long, done boolean")
+                    lo, n = (own.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "n"))
+                    body = [raw(int(off[i]) + x, int(off[i]) + x + m - 1 + win.span).tobytes() for x, m in zip(lo.tolist(), n.tolist())]
+                    row = pa.array(np.full(len(lo), base + i))
+                    yield pa.RecordBatch.from_arrays([ids.take(row), th.take(row), own.field("lo"), own.field("n"), own.field("at"), own.field("done"), pa.array(body, pa.binary())], ["doc_id", "th", "lo", "n", "at", "done", "body"])
+
+    return source.mapInArrow(run, "doc_id long, th long, lo long, n long, at long, done boolean, body binary")
+
+
+def block_rows(work: DataFrame, dtype: type, win: Windows, size: int) -> DataFrame:
+    """The blocks of every ``todo`` stretch of each body, a body being cut at ``lo`` of its document."""
+
+    each = np.dtype(dtype).itemsize
+
+    def run(batches):
+        for batch in batches:
+            ids, th, base, todo = (batch.column(x) for x in ("doc_id", "th", "lo", "todo"))
+            raw, off = flat(batch.column("body"))
+            for i, j in groups(off, STEP):
+                sym = np.frombuffer(raw[off[i] : off[j]].tobytes(), dtype)
+                lists = todo.slice(i, j - i)
+                own = lists.flatten()
+                row = np.repeat(np.arange(i, j), lists.value_lengths().to_numpy(zero_copy_only=False))
+                lo, n, at, done = (own.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "n", "at", "done"))
+                at0 = base.to_numpy(zero_copy_only=False)[row]
+                got = win.blocks(sym, (off[row] - off[i]) // each + lo - at0, n, at, size)
+                src = got["src"]
+                take = pa.array(row[src])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(take), th.take(take), base.take(take), pa.array(done[src]), *map(long_array, (got["lo"] + lo[src], got["n"], got["at"], got["key"], got["ctx"]))],
+                    ["doc_id", "th", "base", "done", "lo", "n", "at", "key", "ctx"],
+                )
+
+    return work.mapInArrow(run, "doc_id long, th long, base long, done boolean, lo long, n long, at long, key long, ctx long")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -124,8 +147,3 @@ def covered(size: int, ranges, span: int) -> np.ndarray | None:
     np.add.at(d, lo, 1)
     np.add.at(d, lo + n - 1 + span, -1)
     return np.cumsum(d[:-1]) > 0
-
-
-def byte_text(column):
-    raw, off = flat(column)
-    return raw, off

@@ -20,19 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meshlark.llm.anchors import Windows, byte_symbols
+from meshlark.llm.anchors import Windows
 from meshlark.llm.common import flat, with_row_key
 from meshlark.llm.repeats import covered, repeated_ranges, with_ranges
 
 SPAN = 400
+#: Windows in a block, round by round.
+BLOCKS = (64, 8, 1)
 
 
 def _symbols():
-    table = byte_symbols()
-
     def of(column):
         raw, off = flat(column)
-        yield (lambda s, e: table[raw[s:e]]), off, 0
+        yield (lambda s, e: raw[s:e]), off, 0
 
     return of
 
@@ -45,7 +45,7 @@ def _sizes(span: int) -> Windows:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """``doc_id, text, n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes); ``text`` is what is left."""
     rows = with_row_key(docs, id_col, text_col)
-    ranges = repeated_ranges(rows, _symbols, _sizes(span), earlier=False)
+    ranges = repeated_ranges(rows, _symbols, np.uint8, _sizes(span), BLOCKS, earlier=False)
 
     def run(batches):
         for batch in batches:
