@@ -56,10 +56,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, text, th)``: only the columns needed, so that extra ones cannot clash. A row is
-    known by its id and the hash of its text; rows equal in both have equal results."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def narrowed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, text)`` and the columns to pass on, renamed, so that none can clash."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+
+
+def keep_schema(rows: DataFrame, keep: tuple[str, ...]) -> str:
+    return "".join(f", `keep_{c}` {rows.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)
+
+
+def restored(found: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Passed-on columns under their own names; one that a result's name takes gets ``was_`` before it."""
+    return found.withColumnsRenamed({f"keep_{c}": f"was_{c}" if c in found.columns else c for c in keep}) if keep else found
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Narrowed rows with ``th``. A row is known by its id and the hash of its text; rows equal in
+    both have equal results."""
+    rows = narrowed(docs, id_col, text_col, keep).withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.withColumn("th", F.xxhash64("text"))
 
 
 def crc(data: bytes) -> int:
