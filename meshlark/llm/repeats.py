@@ -45,19 +45,18 @@ def other(df: DataFrame, *names: str) -> DataFrame:
 def ranked(found: DataFrame, tmp: Scratch, tag: str, earlier: bool) -> DataFrame:
     """One round over rows with ``key`` and ``ctx``: rows whose key is unique leave; members of a
     class that repeats are ``hit``; rows to look at more closely, one of each class at least where
-    a key has several classes, are ``open``.
+    a key has several classes, are ``open`` (a class is stood for by its member of least hash).
 
     Only counts and minima come out of the groupings, which pre-aggregate; the joins are plain
     equi-joins with their aggregate, which adaptive execution splits where a key is hot.
     """
-    shared = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    found = found.join(shared, "key", "left_semi")
-    member = F.struct("doc_id", "th", "lo")
-    classes = tmp.write(found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(member).alias("rep")), f"classes{tag}")
+    member = F.xxhash64("doc_id", "th", "lo")
+    classes = found.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(member).alias("rep"))
     several = classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select(F.col("key").alias("_key"))
-    classes = classes.join(several, F.col("key") == F.col("_key"), "left").select(F.col("key").alias("_key"), F.col("ctx").alias("_ctx"), "c", "low", "rep", F.col("_key").isNotNull().alias("open"))
+    classes = classes.join(several, F.col("key") == F.col("_key"), "left").withColumn("open", F.col("_key").isNotNull()).where("open or c > 1")
+    classes = tmp.write(classes.select(F.col("key").alias("_key"), F.col("ctx").alias("_ctx"), "c", "low", "rep", "open"), f"classes{tag}")
     hit = F.coalesce(F.col("doc_id") > F.col("low"), F.lit(False)) if earlier else F.col("c") > 1
-    joined = found.join(classes.where("open or c > 1"), (F.col("key") == F.col("_key")) & (F.col("ctx") == F.col("_ctx")))
+    joined = found.join(classes, (F.col("key") == F.col("_key")) & (F.col("ctx") == F.col("_ctx")))
     joined = joined.withColumn("hit", hit).withColumn("open", F.col("open") & (~F.col("hit") & ~F.col("done") | (member == F.col("rep"))))
     marked = joined.where("open or (hit and not done)").drop("key", "ctx", "_key", "_ctx", "c", "low", "rep")
     marked = tmp.write(marked, f"marked{tag}")
@@ -134,8 +133,8 @@ def block_rows(work: DataFrame, dtype: type, win: Windows, size: int) -> DataFra
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each document with the list of its stretches (bounded by its own length)."""
-    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n")).alias("ranges")).withColumnsRenamed({"doc_id": "d2", "th": "t2"})
-    return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc_id", "text", "ranges")
+    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    return docs.join(other(lists, "doc_id", "th"), same_document("", "_"), "left").drop("_doc_id", "_th", "th")
 
 
 def covered(size: int, ranges, span: int) -> np.ndarray | None:

@@ -8,8 +8,8 @@ Positions stand sparsely until the last round; see ``anchors`` for why no repeat
 
 Defined cases: null text counts as empty; texts under ``span`` bytes have no window and stay whole;
 repeated rows and equal ids are rows of their own; extra columns are passed over; an empty table
-gives an empty table. Cuts may fall inside a character: ``text`` then holds U+FFFD replacements
-while the digest is over the exact bytes.
+gives an empty table. Cuts may fall inside a character: ``text`` then lacks its odd bytes while the
+digest is over the exact bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from meshlark.llm.anchors import Windows
-from meshlark.llm.common import flat, with_row_key
+from meshlark.llm.common import flat, keep_schema, restored, with_row_key
 from meshlark.llm.repeats import covered, repeated_ranges, with_ranges
 
 SPAN = 400
@@ -42,29 +42,32 @@ def _sizes(span: int) -> Windows:
     return Windows(span, max(1, min(32, block // 2)), block)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """``doc_id, text, n_bytes, n_removed, n_spans, kept_sha256, kept`` (bytes); ``text`` is what is left."""
-    rows = with_row_key(docs, id_col, text_col)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, n_bytes, n_removed, n_spans, kept_sha256``; ``text`` is what is left. Columns
+    named in ``keep`` are passed on."""
+    rows = with_row_key(docs, id_col, text_col, keep)
     ranges = repeated_ranges(rows, _symbols, np.uint8, _sizes(span), BLOCKS, earlier=False)
 
     def run(batches):
         for batch in batches:
             raw, off = flat(batch.column("text"))
             todo = batch.column("ranges")
-            out = {k: [] for k in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out = {k: [] for k in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
             for i in range(batch.num_rows):
                 own = raw[off[i] : off[i + 1]]
                 cut = covered(len(own), todo[i].values if todo[i].is_valid else None, span)
                 kept = (own if cut is None else own[~cut]).tobytes()
-                out["text"].append(kept.decode("utf-8", "replace"))
+                out["text"].append(kept.decode("utf-8", "ignore"))
                 out["n_bytes"].append(len(own))
                 out["n_removed"].append(len(own) - len(kept))
                 out["n_spans"].append(0 if cut is None else int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["doc_id", *out])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            passed = [f"keep_{c}" for c in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds)), *(batch.column(c) for c in passed)], ["doc_id", *out, *passed])
 
-    return with_ranges(rows, ranges).mapInArrow(run, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return restored(with_ranges(rows, ranges).mapInArrow(run, schema + keep_schema(rows, keep)), keep)
 
 
 def op5(spark, sf_dir):
