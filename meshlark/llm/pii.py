@@ -25,9 +25,8 @@ from functools import lru_cache
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from meshlark.llm.common import texts
+from meshlark.llm.common import keep_schema, narrowed, restored, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -129,8 +128,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` and, if wanted, the redacted
     ``text``; columns named in ``keep`` are passed on."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", text string" * with_text
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    kinds = "".join(f", {f'`keep_{c}`'} {rows.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)
+    rows = narrowed(docs, id_col, text_col, keep)
 
     def run(batches):
         for batch in batches:
@@ -147,8 +145,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             columns = [batch.column("doc_id"), *(pa.array(x, pa.int64() if i < 4 else pa.string()) for i, x in enumerate(out)), *(batch.column(f"keep_{c}") for c in keep)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *["text"] * with_text, *(f"keep_{c}" for c in keep)])
 
-    found = rows.mapInArrow(run, schema + kinds)
-    return found.withColumnsRenamed({f"keep_{c}": f"was_{c}" if c in found.columns else c for c in keep}) if keep else found
+    return restored(rows.mapInArrow(run, schema + keep_schema(rows, keep)), keep)
 
 
 def op10(spark, sf_dir):

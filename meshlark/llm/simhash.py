@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.llm.common import flat
+from meshlark.llm.common import flat, with_row_key
 from meshlark.operators.graph import connected_components
 from meshlark.storage import checkpoint
 
@@ -47,16 +47,16 @@ digest = xxhash.xxh64_intdigest
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, fp`` (signed long), one row a document."""
+    """``doc_id, th, fp`` (signed longs), one row a document; ``th`` is the hash of its text."""
 
     def run(batches):
         for batch in batches:
             raw, off = flat(batch.column("text"))
             data = raw.tobytes()
             got = np.fromiter((fingerprint(data[off[i] : off[i + 1]], words) for i in range(batch.num_rows)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(got.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return with_row_key(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _syndromes() -> np.ndarray:
@@ -150,7 +150,8 @@ def _links(most: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id reachable over links of ``most`` (at most 3) bits."""
+    """``doc_id, th, fp, component, component_id``: the smallest fingerprint and the smallest id
+    reachable over links of ``most`` (at most 3) bits."""
     if not 0 <= most <= 3:
         raise ValueError("the cover holds for thresholds 0 to 3")
     rows = checkpoint(fingerprints(docs, id_col, text_col, words))
@@ -158,11 +159,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = each.select("fp").mapInArrow(_replicas, "anchor long, fp long")
     met = met.repartition("anchor").sortWithinPartitions("anchor")
     links = met.mapInArrow(_links(most), "src long, dst long").distinct()
-    part = checkpoint(connected_components(links))
-    part = each.join(part.withColumnRenamed("node", "fp"), "fp")
-    low = part.groupBy("component").agg(F.min("low").alias("component_id"))
-    part = part.join(low, "component").select("fp", "component_id")
-    return rows.join(part.withColumnRenamed("component_id", "c"), "fp", "left").join(each, "fp").select("doc_id", "fp", F.coalesce("c", "low").alias("component_id"))
+    part = checkpoint(connected_components(links)).withColumnRenamed("node", "fp")
+    each = each.join(part, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    low = each.groupBy("component").agg(F.min("low").alias("component_id"))
+    each = each.join(low, "component").select(F.col("fp").alias("_fp"), "component", "component_id")
+    return rows.join(each, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, all columns, of which none is linked to another: of each group the row
+    of smallest id stays (of equal ids that of least text hash, of equal rows one)."""
+    found = near_duplicates(docs, id_col, text_col, words, most)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    stay = checkpoint(found.join(first.withColumnRenamed("component", "_c"), (F.col("component") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).groupBy("doc_id", "th").agg(F.count("*").alias("same")))
+    again = stay.where("same > 1").limit(1).count()
+    stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("th").alias("_stay_th"))
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (key == F.col("_stay_th")))
+    if again:  # equal rows: one of them
+        kept = kept.dropDuplicates(["_stay_id", "_stay_th"])
+    return kept.drop("_stay_id", "_stay_th")
 
 
 def op2(spark, sf_dir):
