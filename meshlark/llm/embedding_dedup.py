@@ -29,7 +29,7 @@ from meshlark.llm.sampling import bounded_sample
 from meshlark.operators.graph import connected_components
 from meshlark.storage import checkpoint
 
-SAMPLE, PIVOTS, PREFIX, SHARED, BLOCK = 2048, 64, 6, 3, 1024
+SAMPLE, PIVOTS, PREFIX, SHARED, BLOCK = 2048, 32, 6, 3, 1024
 LEAST, SHORT, ROWS = 0.93, 24, 4096
 
 
