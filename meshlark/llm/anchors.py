@@ -64,6 +64,10 @@ class Windows:
         assert gram < span and block <= span <= 2 * block and 2 * span - gram <= 4 * block
         self.span, self.gram, self.block, self.grams = span, gram, block, span - gram + 1
 
+    def rounds(self, sizes: tuple[int, ...]) -> list[int]:
+        """Of the block sizes those whose cores and unions two blocks' names cover; 1 always does."""
+        return [s for s in sizes if self.span - s + 1 >= self.block and self.span + s - 1 <= 2 * self.block]
+
     def anchors(self, sym: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray] | None:
         """One row for each anchor of the documents ``sym[off[i]:off[i + 1]]``: row index ``doc``,
         ``lo`` (first owned window, from the document's start), ``n`` (owned windows), ``key`` (the

@@ -76,7 +76,7 @@ def repeated_ranges(docs: DataFrame, make_symbols, dtype: type, win: Windows, si
     source = docs.join(other(todo, "doc_id", "th"), same_document("", "_")).select("doc_id", "th", "text", "todo")
     bodies = tmp.write(stretches(source, make_symbols, win), "bodies")
     work = bodies.withColumn("todo", F.array(F.struct("lo", "n", "at", "done")))
-    for k, size in enumerate(sizes):
+    for k, size in enumerate(win.rounds(sizes)):
         marked = ranked(tmp.write(block_rows(work, dtype, win, size), f"blocks{k}"), tmp, str(k), earlier)
         tmp.drop(f"blocks{k}")
         ranges = ranges.union(marked.where("hit and not done").select("doc_id", "th", "lo", "n"))
