@@ -217,3 +217,14 @@ def _pack(batches):
 
 def op9(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE_SQL = f"""
+with recursive e as (select vec_id, label, embedding::double[] as v from embeddings),
+link as (select a, b from (select x.vec_id as a, y.vec_id as b, list_cosine_similarity(x.v, y.v) as c from e x join e y on x.label = y.label and x.vec_id <> y.vec_id) where not isnan(c) and c >= {LEAST}),
+reach(a, b) as (select vec_id, vec_id from e union select r.a, l.b from reach r join link l on l.a = r.b),
+low as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n from link group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from e join low on low.a = vec_id left join n on n.a = vec_id
+"""

@@ -81,3 +81,15 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op6(spark, sf_dir):
     return remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i:i+49], ' ')) as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+low as (select k, min(doc_id) as low from win group by k),
+cut as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join low using (k) where doc_id > low),
+word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from word anti join cut using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
