@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlark.llm import langid, packing, pii, simhash, suffix_dedup
+from meshlark.session import shipped
 from meshlark.storage import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source")
 
 
+@shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found stay: texts with letters, enough of whose n-grams are known."""
     filters = langid.learn(langid.training_rows(docs))
@@ -26,23 +28,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where("accepted").select(*COLUMNS)
 
 
+@shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of smallest id."""
     return simhash.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
+@shipped
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that start elsewhere too are cut out of the texts."""
     found = suffix_dedup.remove_repeats(docs, keep=OTHERS)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@shipped
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become the names of their kinds."""
     found = pii.personal_data(docs, keep=OTHERS)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@shipped
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two length, with their ids."""
     return packing.pack(docs)
