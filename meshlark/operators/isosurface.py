@@ -68,13 +68,16 @@ def surface(field: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarr
 def isosurfaces(planes: DataFrame, n: int, level: float = 0.0) -> DataFrame:
     """``mesh_id, vertices, faces`` of each mesh's planes (see ``sdf.fields``)."""
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("iz")
-        field = np.stack([np.asarray(s).reshape(n, n).T for s in f["sdf"]], axis=2)
-        v, t = surface(field, level)
-        return pd.DataFrame({"mesh_id": [f["mesh_id"].iloc[0]], "vertices": [v.tolist()], "faces": [(t + 1).tolist()]})
+    def run(frames):
+        many = max(1, (1 << 20) // n**3)
+        for f in frames:
+            for at in range(0, len(f), many):
+                part = f.iloc[at : at + many]
+                made = [surface(np.stack([np.asarray(r["sdf"]).reshape(n, n).T for r in rows], axis=2), level) for rows in part["s"]]
+                yield pd.DataFrame({"mesh_id": part["mesh_id"].to_numpy(), "vertices": [v.tolist() for v, _ in made], "faces": [(t + 1).tolist() for _, t in made]})
 
-    return planes.select("mesh_id", "iz", "sdf").groupBy("mesh_id").applyInPandas(one, "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
+    rows = planes.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("iz", "sdf"))).alias("s"))
+    return rows.mapInPandas(run, "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
 
 
 def as_tables(surfaces: DataFrame) -> tuple[DataFrame, DataFrame]:

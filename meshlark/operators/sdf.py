@@ -26,17 +26,17 @@ def _bounds(c: str) -> tuple[str, str]:
     return f"least({corners})", f"greatest({corners})"
 
 
-def seed_bins(tri: DataFrame, n: int, band: int = BAND, tile: tuple[int, int, int] = SEED_TILE) -> DataFrame:
+def seed_bins(tri: DataFrame, n: int, band: int = BAND, tile: tuple[int, int, int] = SEED_TILE, keep: tuple[str, ...] = ()) -> DataFrame:
     """``mesh_id, tile_id, tri_id``: tiles under the triangle's box grown by ``band`` voxels."""
     ranges, counts = {}, [-(-n // t) for t in tile]
     for c, t, m in zip("xyz", tile, counts):
         low, high = _bounds(c)
         lo, hi = f"greatest({X.voxel(low, n)} - {band}, 1)", f"least({X.voxel(high, n)} + {band}, {n})"
         ranges[f"t{c}"] = (F.expr(f"greatest(0, least({m - 1}, ({lo} - 1) div {t}))"), F.expr(f"greatest(0, least({m - 1}, ({hi} - 1) div {t}))"))
-    return explode_bins(tri, ranges).selectExpr("mesh_id", f"1 + tx + ty * {counts[0]} + tz * {counts[0] * counts[1]} as tile_id", "tri_id")
+    return explode_bins(tri, ranges).selectExpr("mesh_id", f"1 + tx + ty * {counts[0]} + tz * {counts[0] * counts[1]} as tile_id", "tri_id", *keep)
 
 
-def parity_bins(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE, mag: float | None = None) -> DataFrame:
+def parity_bins(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE, mag: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``mesh_id, tile_id, tri_id``: tiles of columns that a ray through the triangle may have."""
     mag = JITTER * 2 / (n - 1) if mag is None else mag
     some, ranges, counts = tri.where(f"abs(aby*acx - abx*acy) > {EPS_DET!r}D"), {}, [-(-n // t) for t in tile]
@@ -46,7 +46,7 @@ def parity_bins(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE, mag
         lo = f"greatest({X.voxel(f'greatest({low}, -1e0)', n)}, 1)"
         hi = f"least({X.voxel(f'least({high}, 1e0)', n)} + 1, {n})"
         ranges[f"t{c}"] = (F.expr(f"({lo} - 1) div {t}"), F.expr(f"least({m - 1}, ({hi} - 1) div {t})"))
-    return explode_bins(some, ranges).selectExpr("mesh_id", f"1 + tx + ty * {counts[0]} as tile_id", "tri_id")
+    return explode_bins(some, ranges).selectExpr("mesh_id", f"1 + tx + ty * {counts[0]} as tile_id", "tri_id", *keep)
 
 
 def _nodes(rows: DataFrame, n: int, tile: tuple[int, int, int]) -> DataFrame:
@@ -61,9 +61,8 @@ def _nodes(rows: DataFrame, n: int, tile: tuple[int, int, int]) -> DataFrame:
 def seed_nearest(tri: DataFrame, n: int, band: int = BAND, tile: tuple[int, int, int] = SEED_TILE) -> DataFrame:
     """``mesh_id, ix, iy, iz, d2, tri_id``: nearest triangle of the voxel's tile, ties to the lowest id.
 
-    The node expansion follows the bin join, and the minimum pre-aggregates before the shuffle."""
-    met = seed_bins(tri, n, band, tile).join(tri.select("mesh_id", "tri_id", *VECTORS), ["mesh_id", "tri_id"])
-    met = _nodes(met, n, tile).selectExpr("mesh_id", "tri_id", "ix", "iy", "iz", *(f"{v} as {k}" for k, v in X.DOTS.items()))
+    The bins carry the triangle, and the minimum pre-aggregates before the shuffle."""
+    met = _nodes(seed_bins(tri, n, band, tile, tuple(VECTORS)), n, tile).selectExpr("mesh_id", "tri_id", "ix", "iy", "iz", *(f"{v} as {k}" for k, v in X.DOTS.items()))
     best = met.groupBy("mesh_id", "ix", "iy", "iz").agg(F.min(F.struct(F.expr(X.DISTANCE2).alias("d2"), "tri_id")).alias("b"))
     return best.select("mesh_id", "ix", "iy", "iz", "b.d2", "b.tri_id")
 
@@ -71,7 +70,7 @@ def seed_nearest(tri: DataFrame, n: int, band: int = BAND, tile: tuple[int, int,
 def parity_hits(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE) -> DataFrame:
     """``mesh_id, ix, iy, z_idx, tri_id``: where the jittered ray of a column crosses a triangle."""
     mag = JITTER * 2 / (n - 1)
-    met = parity_bins(tri, n, tile, mag).join(tri.select("mesh_id", "tri_id", *VECTORS, "flags"), ["mesh_id", "tri_id"])
+    met = parity_bins(tri, n, tile, mag, (*VECTORS, "flags"))
     met = met.selectExpr("*", f"(tile_id - 1) % {-(-n // tile[0])} as tx", f"(tile_id - 1) div {-(-n // tile[0])} as ty")
     met = explode_bins(met, {f"i{c}": (F.expr(f"t{c} * {t} + 1"), F.expr(f"least(t{c} * {t} + {t}, {n})")) for c, t in zip("xy", tile)})
     jx, jy = X.jitter("ix", "iy", f"{mag!r}D")
@@ -123,13 +122,17 @@ def nodes(n: int) -> np.ndarray:
 
 
 def exact_index(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest triangle of every node (lowest number of equals) and its squared distance."""
-    p, best, index = nodes(n), np.full((n, n, n), np.inf), np.zeros((n, n, n), np.int64)
-    for k in range(len(t)):
-        d = distance2(p, t[k])
+    """Nearest triangle of every node (lowest number of equals) and its squared distance, for as many
+    triangles at a time as keep the table small."""
+    p, best, index = nodes(n).reshape(-1, 3), np.full(n**3, np.inf), np.zeros(n**3, np.int64)
+    step = max(1, (1 << 18) // n**3)
+    for k in range(0, len(t), step):
+        d = distance2(p[None], t[k : k + step, None])
+        low = d.argmin(axis=0)
+        d = d[low, np.arange(n**3)]
         closer = d < best
-        best[closer], index[closer] = d[closer], k
-    return best, index
+        best[closer], index[closer] = d[closer], low[closer] + k
+    return best.reshape(n, n, n), index.reshape(n, n, n)
 
 
 def seeded(t: np.ndarray, n: int, band: int = BAND, tile: tuple[int, int, int] = SEED_TILE) -> tuple[np.ndarray, np.ndarray]:
@@ -211,20 +214,31 @@ def signed(best: np.ndarray, within: np.ndarray) -> np.ndarray:
 
 
 def fields(tri: DataFrame, n: int, mode: str = "exact", corrections: int = 2) -> DataFrame:
-    """``mesh_id, iz, sdf, tri``: one row a plane, values in x-fastest order. A group is one mesh."""
+    """``mesh_id, iz, sdf, tri``: one row a plane, values in x-fastest order. A mesh is one row of its
+    triangles, so that small meshes share Arrow batches."""
     if not 8 <= n <= 1024:
         raise ValueError("the resolution must be 8 to 1024")
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("tri_id")
-        t = f[VECTORS].to_numpy(float)
+    def one(rows) -> tuple[list, list]:
+        t = np.array([[r[c] for c in VECTORS] for r in rows], float)
         best, index = exact_index(t, n) if mode == "exact" else jump_flood(t, n, corrections)
-        s = signed(best, inside(t, n, f["flags"].to_numpy()))
-        ids = np.where(index >= 0, f["tri_id"].to_numpy()[np.maximum(index, 0)], 0)
-        flat = lambda x: [x[:, :, k].T.ravel() for k in range(n)]
-        return pd.DataFrame({"mesh_id": f["mesh_id"].iloc[0], "iz": np.arange(1, n + 1), "sdf": flat(s), "tri": flat(ids)})
-
-    return tri.select("mesh_id", "tri_id", *VECTORS, "flags").groupBy("mesh_id").applyInPandas(one, "mesh_id long, iz int, sdf array<double>, tri array<int>")
+        s = signed(best, inside(t, n, np.array([r["flags"] for r in rows])))
+        ids = np.where(index >= 0, np.array([r["tri_id"] for r in rows])[np.maximum(index, 0)], 0)
+        return [s[:, :, k].T.ravel() for k in range(n)], [ids[:, :, k].T.ravel() for k in range(n)]
+
+    def run(frames):
+        many = max(1, (1 << 20) // n**3)
+        for f in frames:
+            for at in range(0, len(f), many):
+                mesh, sdf, ids = f["mesh_id"].iloc[at : at + many], [], []
+                for rows in f["t"].iloc[at : at + many]:
+                    s, i = one(rows)
+                    sdf += s
+                    ids += i
+                yield pd.DataFrame({"mesh_id": np.repeat(mesh.to_numpy(), n), "iz": np.tile(np.arange(1, n + 1), len(mesh)), "sdf": sdf, "tri": ids})
+
+    rows = tri.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("tri_id", *VECTORS, "flags"))).alias("t"))
+    return rows.mapInPandas(run, "mesh_id long, iz int, sdf array<double>, tri array<int>")
 
 
 def field_nodes(planes: DataFrame, n: int) -> DataFrame:
