@@ -8,8 +8,9 @@ Each anchor starts a local parser that expands to the boundaries of its kind and
 * ``card``: digits with single blanks or hyphens between, 12 to 19 passing Luhn's test;
 * ``phone``: a plus and digits with blanks, dots, brackets, hyphens, 9 to 15 digits;
 * ``url``: a scheme and a host with a dot, up to a blank, quote or bracket (added by the method);
-* ``account``: the value after a cue such as ``token =`` or ``IBAN``: eight or more letters, digits,
-  ``_`` or ``-`` with a digit among them (added by the method).
+* ``account``: the value after a cue such as ``token =``: eight or more letters, digits, ``_`` or
+  ``-`` with a digit among them; after ``IBAN`` also a number in groups that passes its mod-97 test
+  (added by the method).
 
 Within a kind matches are leftmost and do not overlap; a match that fails its test is passed over as
 a whole. Offsets count code points. Defined cases: null text counts as empty; rows of equal id are
@@ -41,6 +42,7 @@ CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DIAL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?:/[^\x00-\x20\"'<>()]*)?")
 VALUE = re.compile(r"s?\"?\x20?(?:[=:#]|is|no\.?)?\x20?[\"']?([A-Za-z0-9_-]{8,})")
+IBAN = re.compile(r"[\x20:=#]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 
 
 @lru_cache(1)
@@ -67,6 +69,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod97(number: str) -> bool:
+    """The check of international account numbers: country and check digits moved to the end, letters
+    as numbers from 10."""
+    number = number.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
 def small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 4 and int(part or "0") <= 255
@@ -103,6 +112,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 url_end = at + 1 + len(m[0].rstrip(".,;:!?"))
                 out.append((start, url_end, "url"))
         elif at + 1 >= account_end and (at < size or text[at - size] not in WORD_CHARS):
+            m = IBAN.match(text, at + 1)
+            if m and m.start(1) > at + 1 and mod97(m[1]):
+                account_end = m.end(1)
+                out.append((m.start(1), account_end, "account"))
+                continue
             m = VALUE.match(text, at + 1)
             if m and m.start(1) > at + 1 and any(c in DIGITS for c in m[1]):
                 account_end = m.end(1)

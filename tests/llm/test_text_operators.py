@@ -113,6 +113,8 @@ def test_personal_data(spark):
     assert values(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(map(repr, want))
     assert got.where("th <> 'clash'").count() == 0 and pii.personal_data(empty(spark)).count() == 0
     assert pii.redact("mail a@b.c now", pii.find("mail a@b.c now")) == "mail <EMAIL> now"
+    text = "IBAN: DE89 3704 0044 0532 0130 00, iban DE89370400440532013001"
+    assert [text[a:b] for a, b, k in pii.find(text) if k == "account"] == ["DE89 3704 0044 0532 0130 00", "DE89370400440532013001"]
     assert pii.small("0" * 5000 + "7") and not pii.small("256")
 
 
