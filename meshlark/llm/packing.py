@@ -8,7 +8,8 @@ groups sequences of one length for batching. No shuffle is needed.
 Ids are those of the ``tokenizers`` library for the vocabulary file; they are computed by a rank
 encoder built from the same file, several times as fast, whose equality the tests check. Splitting
 needs a look-ahead only inside runs of white space, so texts are cut there and the rest of the split
-pattern runs without one.
+pattern runs without one. The file's added tokens are found first, as the library does; what lies
+between two of them is a text of its own.
 
 Defined cases: null text counts as empty (its sequence is the single id 0); rows of equal id are
 documents of their own; extra columns are passed over; an empty table gives an empty table.
@@ -48,7 +49,8 @@ def byte_alphabet() -> dict[str, int]:
 @lru_cache(2)
 def encoder(path: str):
     """``text -> ids`` for a byte-level vocabulary file in which merges have the order of their ids."""
-    model = json.load(open(path, encoding="utf-8"))["model"]
+    file = json.load(open(path, encoding="utf-8"))
+    model = file["model"]
     alphabet = byte_alphabet()
     ids = model["vocab"]
     made = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
@@ -58,8 +60,12 @@ def encoder(path: str):
     ranks = {bytes(alphabet[c] for c in t): i for t, i in ids.items() if i in merged or len(t) == 1}
     pattern = public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", "")
     one = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = {t["content"]: t["id"] for t in file.get("added_tokens") or []}
+    if any(t.get(flag) for t in file.get("added_tokens") or [] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token takes in its surroundings")
+    token = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def encode(text: str) -> list[int]:
+    def between(text: str) -> list[int]:
         cuts = [m.end() for m in BEFORE_LAST_BLANK.finditer(text)]
         if not cuts:
             return one(text)
@@ -68,6 +74,15 @@ def encoder(path: str):
             out += one(text[a:b])
         return out
 
+    def encode(text: str) -> list[int]:
+        parts = token.split(text) if token else [text]
+        if len(parts) == 1:
+            return between(text)
+        out: list[int] = []
+        for k, part in enumerate(parts):
+            out += [added[part]] if k % 2 else between(part)
+        return out
+
     return encode
 
 

@@ -50,6 +50,19 @@ def test_packing(spark):
     assert packing.piece_lengths(2 * 1024 + 5) == [1024, 1024, 4, 1] and packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_added_token(spark):
+    """Against the library as it comes: a text that holds the added token has its id."""
+    hf, end = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    odd = [f"a {end} b", end, end * 3, f" {end} ", f"a  {end}  b", f"a\n\n{end}\n\n  b \t", f"it's{end}'s", f"x\u3000 {end}\u00a0\u3000y  ", f"{end[:-1]}{end}|>", f"<|{end}", "<|endoftext |>", f"日本{end}語   {end}   "]
+    want = {i: [*hf.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(odd)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).orderBy("doc_id", "start").collect():
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids))
+        got[r.doc_id] = [*got.get(r.doc_id, []), *r.ids]
+    assert got == want
+
+
 def test_bpe(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
