@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pydoc_data.topics import topics
 
 import numpy as np
 import public_tokenizers as P
@@ -101,6 +102,20 @@ def test_rules(spark):
     assert quality_rules.ratios(b"", None) == (0.0, 0, 0)
 
 
+def test_rules_keep_real_prose(spark):
+    """Manuals and measured ratios of real texts pass the bands; lines made from one mould do not."""
+    rng, manual = np.random.default_rng(1), [t for t in topics.values() if len(t) > 10_000]
+    line = "2024-03-{:02d} {:02d}:{:02d} INFO request {} from {} took {} ms status {}"
+    mould = "\n".join(line.format(*rng.integers(1, 24, 3), rng.integers(10**6), "host" + "abcdefghijkl"[rng.integers(12)], rng.integers(999), rng.integers(200, 210)) for _ in range(30))
+    got = {r.doc_id: r for r in quality_rules.rules(spark.createDataFrame(list(enumerate([mould, *manual])), "doc_id long, text string")).collect()}
+    assert len(manual) > 5 and all(got[i].kept or got[i].base_failed for i in range(1, len(got))) and sum(got[i].kept for i in range(1, len(got))) > 5
+    assert not got[0].kept and not got[0].base_failed
+    # GPL-3, MPL-2.0, Apache-2.0, GFDL, perldiag; Russian, Japanese, Ukrainian manuals
+    for size, ratio in ((35149, 2.79), (16726, 3.0), (11358, 2.77), (22955, 2.75), (300178, 3.27), (17735, 2.75), (13621, 2.51), (20000, 3.55), (70000, 4.07)):
+        low, high = quality_rules.band(size)
+        assert low <= ratio <= high
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
