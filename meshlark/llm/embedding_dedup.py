@@ -1,6 +1,7 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of vectors gives ``PIVOTS`` reference points, chosen farthest first. A vector is
+A bounded sample of the vectors of each length gives ``PIVOTS`` reference points, chosen farthest
+first; vectors of different lengths are never compared. A vector is
 described by the ordered list of its ``PREFIX`` nearest references; inverted lists hold vectors by
 label and by every ``SHARED`` references of that prefix, so two vectors meet exactly if they share so
 many; every vector is indexed. A pair that meets in several lists counts in one, that of its first
@@ -10,8 +11,8 @@ Equal vectors of one label are one class; only classes are compared. Lists over
 cut into salted parts, and pairs of parts are separate groups of bounded size. Large groups emit
 counts and links that span what they connect, not all pairs.
 
-Defined cases: vectors that are null, zero, of another length than the references or hold null or
-non-finite components link with nothing, as do rows of null label; a null id has no component and is
+Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing, as
+do rows of null label; a null id has no component and is
 not kept; rows of equal id are vectors of their own in the counts and one node in the components;
 extra columns are passed over; an empty table gives an empty table.
 """
@@ -75,28 +76,37 @@ def stacked(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
 
 
-def _index(pivots: np.ndarray, shared: int):
+def widths(column: pa.Array) -> np.ndarray:
+    """The number of components of each packed vector."""
+    return np.fromiter(map(len, column.to_pylist()), np.int32, len(column)) // 4
+
+
+def _index(pivots: dict[int, np.ndarray], shared: int):
+    """Rows of every list; ``pivots`` holds the references by length."""
+
     def run(batches):
-        for batch in batches:
-            x = unit(stacked(batch.column("v"), pivots.shape[1]))
-            if not len(x):
-                continue
-            prefix = prefixes(x, pivots)
-            keys, own = list_masks(prefix, shared), masks(prefix)
-            for at in range(0, len(x), ROWS):
-                part = keys[at : at + ROWS]
-                row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("label", "cid", "vh", "mult", "v")), pa.array(own.view(np.int64)).take(row), pa.array(part.ravel().view(np.int64))], ["label", "cid", "vh", "mult", "v", "own", "list"])
+        for whole in batches:
+            width = widths(whole.column("v"))
+            for w in np.unique(width).tolist():
+                batch = whole.filter(pa.array(width == w))
+                x = unit(stacked(batch.column("v"), w))
+                prefix = prefixes(x, pivots[w])
+                keys, own = list_masks(prefix, shared), masks(prefix)
+                for at in range(0, len(x), ROWS):
+                    part = keys[at : at + ROWS]
+                    row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("label", "cid", "vh", "mult", "v")), pa.array(np.full(len(row), w, np.int32)), pa.array(own.view(np.int64)).take(row), pa.array(part.ravel().view(np.int64))], ["label", "cid", "vh", "mult", "v", "width", "own", "list"])
 
     return run
 
 
-def _compare(width: int, shared: int, least: float):
-    """Verify the pairs of each run of equal ``label, list, pa, pb``: ``(cid, vh, links, dst)`` rows."""
+def _compare(shared: dict[int, int], least: float):
+    """Verify the pairs of each run of equal ``width, label, list, pa, pb``: ``(cid, vh, links, dst)`` rows.
+    ``shared`` is, by length, how many references a list stands for; calls take vectors of one length."""
 
     def pairs_small(d, x, a, b):
         """Pairs that are counted here and verified."""
-        both = first_shared(d["own"][a] & d["own"][b], shared)
+        both = first_shared(d["own"][a] & d["own"][b], shared[int(d["width"][0])])
         keep = (both == d["list"][a]) & ((d["pa"][a] == d["pb"][a]) | (d["part"][a] != d["part"][b]))
         a, b = a[keep], b[keep]
         keep = np.einsum("ij,ij->i", x[a], x[b]) >= least
@@ -118,7 +128,7 @@ def _compare(width: int, shared: int, least: float):
             label = low
         counted = np.zeros(n, np.int64)
         for i in range(0, n, 512):
-            here = close[i : i + 512] & (first_shared((own[i : i + 512, None] & own[None, :]).ravel(), shared).reshape(-1, n) == d["list"][s])
+            here = close[i : i + 512] & (first_shared((own[i : i + 512, None] & own[None, :]).ravel(), shared[int(d["width"][0])]).reshape(-1, n) == d["list"][s])
             if d["pa"][s] != d["pb"][s]:
                 here &= part[i : i + 512, None] != part[None, :]
             counted[i : i + 512] = here @ d["mult"][s:e]
@@ -150,29 +160,48 @@ def _compare(width: int, shared: int, least: float):
             dst.append(d["cid"][s + label[some]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in (cid, vh, add, dst)], ["cid", "vh", "links", "dst"])
 
-    names = ("label", "list", "pa", "pb", "part", "cid", "vh", "mult", "own")
+    names = ("width", "label", "list", "pa", "pb", "part", "cid", "vh", "mult", "own")
+
+    def pieces(batches):
+        """Rows as they come, at most ``ROWS`` of one length at a time."""
+        for batch in batches:
+            width = batch.column("width").to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(width[1:] != width[:-1]) + 1).tolist(), len(width)]
+            for s, e in zip(cut, cut[1:]):
+                for at in range(s, e, ROWS):
+                    yield batch.slice(at, min(ROWS, e - at))
 
     def run(batches):
         held = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                now = {c: part.column(c).to_numpy(zero_copy_only=False) for c in names}
-                now["own"], now["list"] = now["own"].astype(np.int64).view(np.uint64), now["list"].astype(np.int64).view(np.uint64)
-                now["v"] = stacked(part.column("v"), width)
-                if held is not None:
-                    now = {c: np.concatenate((held[c], now[c])) for c in now}
-                last = np.all([now[c] == now[c][-1] for c in ("label", "list", "pa", "pb")], axis=0)
-                end = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-                if end:
-                    yield made({c: v[:end] for c, v in now.items()})
-                held = {c: v[end:] for c, v in now.items()}
+        for part in pieces(batches):
+            now = {c: part.column(c).to_numpy(zero_copy_only=False) for c in names}
+            now["own"], now["list"] = now["own"].astype(np.int64).view(np.uint64), now["list"].astype(np.int64).view(np.uint64)
+            now["v"] = stacked(part.column("v"), int(now["width"][0]))
+            if held is not None and held["width"][0] != now["width"][0]:
+                yield made(held)
+                held = None
+            if held is not None:
+                now = {c: np.concatenate((held[c], now[c])) for c in now}
+            last = np.all([now[c] == now[c][-1] for c in ("label", "list", "pa", "pb")], axis=0)
+            end = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if end:
+                yield made({c: v[:end] for c, v in now.items()})
+            held = {c: v[end:] for c, v in now.items()}
         if held is not None:
             yield made(held)
 
     return run
 
 
+def learn(rows: DataFrame) -> dict[int, np.ndarray]:
+    """References by length, for every length of ``rows(vec_id, e)``: a bounded sample a length."""
+    found = {}
+    for r in rows.groupBy(F.size("e").alias("width")).count().orderBy("width").collect():
+        sample = [x["e"] for x in bounded_sample(rows.where(F.size("e") == r["width"]), "vec_id", SAMPLE).collect()]
+        found[r["width"]] = references(unit(np.array(sample, np.float32)))
+    return found
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST, shared: int = SHARED) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row a vector."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("e"), F.col(label_col).cast("long").alias("label"))
@@ -180,23 +209,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     finite = F.forall(x, lambda y: F.coalesce(~F.isnan(y) & (F.abs(y) < float("inf")), F.lit(False)))
     good = F.coalesce(x.isNotNull() & finite & F.exists(x, lambda y: y != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = rows.withColumn("good", good).withColumn("vh", F.when(F.col("good"), F.xxhash64("label", "e")))
-    sample = [r["e"] for r in bounded_sample(rows.where("good").select("vec_id", "e"), "vec_id", SAMPLE).collect()]
-    width = len(sample[0]) if sample else 1
-    sample = [e for e in sample if len(e) == width]
-    pivots = references(unit(np.array(sample, np.float32))) if sample else np.ones((1, 1))
-    classes = rows.where(F.col("good") & (F.size("e") == width)).groupBy("label", "e", "vh").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
+    pivots = learn(rows.where("good").select("vec_id", "e"))
+    classes = rows.where("good").groupBy("label", "e", "vh").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
     packed = classes.select("label", "cid", "vh", "mult", "e").mapInArrow(_pack, "label long, cid long, vh long, mult long, v binary")
     packed = checkpoint(packed)
-    lists = packed.mapInArrow(_index(pivots, shared), "label long, cid long, vh long, mult long, v binary, own long, list long")
-    keys = packed.mapInArrow(_index(pivots, shared), "label long, cid long, vh long, mult long, v binary, own long, list long").groupBy("label", "list").agg(F.count("*").alias("n")).where("n > 1")
-    keys = keys.select(F.col("label").alias("_label"), F.col("list").alias("_list"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    lists = lists.join(keys, (F.col("label") == F.col("_label")) & (F.col("list") == F.col("_list"))).drop("_label", "_list")
+    lists = packed.mapInArrow(_index(pivots, shared), "label long, cid long, vh long, mult long, v binary, width int, own long, list long")
+    keys = packed.mapInArrow(_index(pivots, shared), "label long, cid long, vh long, mult long, v binary, width int, own long, list long").groupBy("width", "label", "list").agg(F.count("*").alias("n")).where("n > 1")
+    keys = keys.select(F.col("width").alias("_width"), F.col("label").alias("_label"), F.col("list").alias("_list"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    lists = lists.join(keys, (F.col("width") == F.col("_width")) & (F.col("label") == F.col("_label")) & (F.col("list") == F.col("_list"))).drop("_width", "_label", "_list")
     part = F.pmod(F.xxhash64("cid", "vh"), F.col("parts")).cast("int")
     lists = lists.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lists = lists.withColumn("pa", F.least("part", "other")).withColumn("pb", F.greatest("part", "other")).drop("other", "parts")
-    group = ["label", "list", "pa", "pb"]
+    group = ["width", "label", "list", "pa", "pb"]
     met = lists.repartition(*group).sortWithinPartitions(*group)
-    found = checkpoint(met.mapInArrow(_compare(width, min(shared, PREFIX, len(pivots)), least), "cid long, vh long, links long, dst long"))
+    found = checkpoint(met.mapInArrow(_compare({w: min(shared, PREFIX, len(x)) for w, x in pivots.items()}, least), "cid long, vh long, links long, dst long"))
     degree = found.groupBy("cid", "vh").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("cid <> dst").select("cid", "dst").distinct(), "cid", "dst")
     out = rows.join(classes.select(F.col("label").alias("l2"), F.col("vh").alias("v2"), F.col("e").alias("e2"), "cid", "mult"), (F.col("label") == F.col("l2")) & (F.col("vh") == F.col("v2")) & (F.col("e") == F.col("e2")), "left")

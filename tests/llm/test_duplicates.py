@@ -225,3 +225,21 @@ def test_vectors(spark):
         assert all(h[1] <= w[1] for h, w in zip(have, want) if h[0] == w[0] and h[0] != 905)
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length_link(spark):
+    """Three lengths in one table, the rare one and one malformed row included: each row has its links."""
+    rng, data = np.random.default_rng(8), []
+    for width, groups in ((16, 40), (24, 40), (3, 1)):
+        for _ in range(groups):
+            c = rng.standard_normal(width)
+            data += [(len(data) + j, (c + 0.01 * rng.standard_normal(width)).astype(np.float32).tolist(), 0) for j in range(3)]
+    data.append((len(data), [1.0] * 5, 0))
+    x = [np.array(e, float) / np.linalg.norm(e) for _, e, _ in data]
+    want = [sum(i != j and len(a) == len(b) and a @ b >= 0.93 for j, b in enumerate(x)) for i, a in enumerate(x)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)).collect()
+    have = {r.vec_id: r.n_links for r in got}
+    assert len(got) == len(data) and want[-1] == 0 and min(want[:-1]) >= 2
+    for width in (16, 24, 3, 5):
+        ids = [i for i, e, _ in data if len(e) == width]
+        assert all(have[i] <= want[i] for i in ids) and sum(have[i] for i in ids) >= 0.97 * sum(want[i] for i in ids)
