@@ -1,10 +1,10 @@
-"""Removal of word passages that an earlier document has, by relative Lempel-Ziv factors.
+"""Removal of word passages that an earlier document has, by ranking at anchors.
 
-The reference is every document of smaller id, cut into indexed blocks: the stretches of up to
-97 words around content-chosen anchors (see ``anchors``). Greedy factoring looks up the whole block
-first; a block that an earlier document has is one factor. Where the lookup fails but an indexed
-block shares the anchor's words, the factor ends inside the block: its boundary is found by ranking
-the block's 50-word windows one by one. Factors of 50 words or more are the duplicate spans.
+Documents are cut into stretches of up to 97 words around content-chosen anchors (see ``anchors``).
+A whole stretch that a document of smaller id has is removed at once; where another stretch shares
+only the anchor's words, smaller blocks and then single 50-word windows are ranked. This takes the
+place of relative Lempel-Ziv factors: there is no reference index and no parse, and the windows
+found are the same.
 
 Defined cases: null text has no words; texts under ``span`` words stay whole; rows of equal id never
 remove from each other (only a smaller id counts); a null id neither removes nor loses; extra columns are passed over; an empty table gives
