@@ -66,13 +66,16 @@ def ranked(found: DataFrame, tmp: Scratch, tag: str, earlier: bool) -> DataFrame
 
 def repeated_ranges(docs: DataFrame, make_symbols, dtype: type, win: Windows, sizes: tuple[int, ...], earlier: bool) -> DataFrame:
     """``(doc_id, th, lo, n)``: stretches of windows to remove. ``earlier``: a window counts when its
-    symbols also start in a document of smaller id; else when they also start anywhere else."""
+    symbols also start in a document of smaller id; else when they also start anywhere else.
+
+    Rows equal in id and text name the same stretches: lists hold each once, so that every such row
+    meets one list and stays one row, counted as itself, in every round."""
     tmp = Scratch(docs.sparkSession)
     rows = tmp.write(anchor_rows(docs, make_symbols, win), "anchors").withColumn("done", F.lit(False))
     marked = ranked(rows, tmp, "", earlier)
     tmp.drop("anchors")
     ranges = marked.where("hit").select("doc_id", "th", "lo", "n")
-    todo = marked.where("open").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
+    todo = marked.where("open").groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
     source = docs.join(other(todo, "doc_id", "th"), same_document("", "_")).select("doc_id", "th", "text", "todo")
     bodies = tmp.write(stretches(source, make_symbols, win), "bodies")
     work = bodies.withColumn("todo", F.array(F.struct("lo", "n", "at", "done")))
@@ -81,7 +84,7 @@ def repeated_ranges(docs: DataFrame, make_symbols, dtype: type, win: Windows, si
         tmp.drop(f"blocks{k}")
         ranges = ranges.union(marked.where("hit and not done").select("doc_id", "th", "lo", "n"))
         if size > 1:
-            todo = marked.where("open").groupBy("doc_id", "th", "base").agg(F.collect_list(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
+            todo = marked.where("open").groupBy("doc_id", "th", "base").agg(F.collect_set(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
             work = bodies.drop("n", "at", "done").join(other(todo, "doc_id", "th"), same_document("", "_") & (F.col("lo") == F.col("base"))).select("doc_id", "th", "lo", "body", "todo")
     return ranges
 
@@ -133,7 +136,7 @@ def block_rows(work: DataFrame, dtype: type, win: Windows, size: int) -> DataFra
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each document with the list of its stretches (bounded by its own length)."""
-    lists = ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    lists = ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))
     return docs.join(other(lists, "doc_id", "th"), same_document("", "_"), "left").drop("_doc_id", "_th", "th")
 
 

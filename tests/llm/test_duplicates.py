@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from meshlark.llm import embedding_dedup, simhash, substring_dedup, suffix_dedup
+from meshlark.llm import embedding_dedup, repeats, simhash, substring_dedup, suffix_dedup
 from meshlark.llm.anchors import Windows, names
 from tests.llm.fixture import documents, empty, rows, values, words
 
@@ -98,6 +98,23 @@ def test_planted_passages(spark):
     assert substring_dedup.remove_passages(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("operator, plain, columns, span", [(suffix_dedup.remove_repeats, plain_bytes, BYTES, 400), (substring_dedup.remove_passages, plain_words, WORDS, 50)])
+def test_equal_rows_do_not_multiply(spark, monkeypatch, operator, plain, columns, span):
+    rng, r, seen = random.Random(3), 5, []
+    a = words(rng, 600)
+    parts = [[*words(rng, 30), *a[k : k + 150], *words(rng, 30), *a[k + 170 : k + 300], "edit"] for k in (0, 90, 250)]
+    docs = [(7, " ".join(a))] * r + [(5 + 2 * k, " ".join(w)) for k, w in enumerate(parts)]
+
+    def spy(work, *rest, make=repeats.block_rows):
+        seen.append(work.groupBy("doc_id", "th", "lo", "todo").count().selectExpr("max(count)", "max(size(todo) - size(array_distinct(todo)))").first())
+        return make(work, *rest)
+
+    monkeypatch.setattr(repeats, "block_rows", spy)
+    got = operator(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert values(got, *columns) == plain(docs, span)
+    assert len(seen) > 1 and all(n is not None and n <= r and twice == 0 for n, twice in seen)
+
+
 def test_anchors_own_every_window_once():
     rng = np.random.default_rng(0)
     raw, off = rng.integers(97, 99, 5000).astype(np.uint8), np.array([0, 10, 10, 1200, 1650, 5000])
