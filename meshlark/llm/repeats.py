@@ -1,9 +1,12 @@
-"""Relational part of the repeat search, shared by the byte and the word operator."""
+"""Relational part of the repeat search: anchors of bytes or words, and rounds of ranking."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,35 @@ from meshlark.storage import Scratch
 
 ROWS = "doc_id long, th long, lo long, n long, at long, key long, ctx long"
 STEP = 1 << 18
+PART = 1 << 21
+
+
+def word_symbols(cut=bytes.split):
+    """``make_symbols`` for words: the 64-bit names of what ``cut`` makes of a text, by groups of rows."""
+
+    def make():
+        digest = xxhash.xxh3_64_intdigest
+
+        def of(column):
+            raw, off = flat(column)
+            data = raw.tobytes()
+            for i, j in groups(off, PART):
+                counts, parts = [0], []
+                for r in range(i, j):
+                    words = cut(data[off[r] : off[r + 1]])
+                    counts.append(len(words))
+                    parts.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+                sym = np.concatenate(parts)
+                yield (lambda s, e, sym=sym: sym[s:e]), np.cumsum(counts), i
+
+        return of
+
+    return make
+
+
+def word_windows(span: int) -> Windows:
+    block = 1 << (span.bit_length() - 1)
+    return Windows(span, max(1, min(8, block // 2)), block)
 
 
 def anchor_rows(docs: DataFrame, make_symbols, win: Windows) -> DataFrame:
@@ -74,7 +106,7 @@ def repeated_ranges(docs: DataFrame, make_symbols, dtype: type, win: Windows, si
     rows = tmp.write(anchor_rows(docs, make_symbols, win), "anchors").withColumn("done", F.lit(False))
     marked = ranked(rows, tmp, "", earlier)
     tmp.drop("anchors")
-    ranges = marked.where("hit").select("doc_id", "th", "lo", "n")
+    ranges = [marked.where("hit").select("doc_id", "th", "lo", "n")]
     todo = marked.where("open").groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
     source = docs.join(other(todo, "doc_id", "th"), same_document("", "_")).select("doc_id", "th", "text", "todo")
     bodies = tmp.write(stretches(source, make_symbols, win), "bodies")
@@ -82,11 +114,14 @@ def repeated_ranges(docs: DataFrame, make_symbols, dtype: type, win: Windows, si
     for k, size in enumerate(win.rounds(sizes)):
         marked = ranked(tmp.write(block_rows(work, dtype, win, size), f"blocks{k}"), tmp, str(k), earlier)
         tmp.drop(f"blocks{k}")
-        ranges = ranges.union(marked.where("hit and not done").select("doc_id", "th", "lo", "n"))
+        ranges.append(marked.where("hit and not done").select("doc_id", "th", "lo", "n"))
         if size > 1:
             todo = marked.where("open").groupBy("doc_id", "th", "base").agg(F.collect_set(F.struct("lo", "n", "at", (F.col("hit") | F.col("done")).alias("done"))).alias("todo"))
             work = bodies.drop("n", "at", "done").join(other(todo, "doc_id", "th"), same_document("", "_") & (F.col("lo") == F.col("base"))).select("doc_id", "th", "lo", "body", "todo")
-    return ranges
+    found = tmp.write(reduce(DataFrame.union, ranges), "ranges")
+    for name in ("bodies", "marked", *(f"marked{k}" for k in range(len(ranges) - 1))):
+        tmp.drop(name)
+    return found
 
 
 def stretches(source: DataFrame, make_symbols, win: Windows) -> DataFrame:

@@ -91,15 +91,15 @@ def test_passages(spark):
     assert values(substring_dedup.remove_passages(documents(spark, clash=True)), *WORDS) == plain_words(docs, 50)
 
 
-def test_planted_passages(spark):
+@pytest.mark.parametrize("limit", [substring_dedup.LIMIT, 2])
+def test_planted_passages(spark, limit):
     docs = planted(9)
-    got = substring_dedup.remove_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    got = substring_dedup.remove_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), limit=limit)
     assert values(got, *WORDS) == plain_words(docs, 50)
     assert substring_dedup.remove_passages(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("operator, plain, columns, span", [(suffix_dedup.remove_repeats, plain_bytes, BYTES, 400), (substring_dedup.remove_passages, plain_words, WORDS, 50)])
-def test_equal_rows_do_not_multiply(spark, monkeypatch, operator, plain, columns, span):
+def test_equal_rows_do_not_multiply(spark, monkeypatch):
     rng, r, seen = random.Random(3), 5, []
     a = words(rng, 600)
     parts = [[*words(rng, 30), *a[k : k + 150], *words(rng, 30), *a[k + 170 : k + 300], "edit"] for k in (0, 90, 250)]
@@ -110,11 +110,44 @@ def test_equal_rows_do_not_multiply(spark, monkeypatch, operator, plain, columns
         return make(work, *rest)
 
     monkeypatch.setattr(repeats, "block_rows", spy)
-    got = operator(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
-    assert values(got, *columns) == plain(docs, span)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert values(suffix_dedup.remove_repeats(df), *BYTES) == plain_bytes(docs, 400)
+    assert values(substring_dedup.remove_passages(df), *WORDS) == plain_words(docs, 50)
     assert len(seen) > 1 and all(n is not None and n <= r and twice == 0 for n, twice in seen)
 
 
+def test_parse_factors():
+    """Greedy factors, the windows across their ends, and no source of the same owner."""
+    w = [xxhash.xxh3_64_digest(str(k).encode()) for k in range(200)]
+    body = lambda *parts: b"".join(x for p in parts for x in p)
+    a, b = body(w[:30]), body(w[20:50])
+    block = [("a", 1, a), ("b", 2, b), ("c", 2, body(w[90:100], w[20:40])), ("d", 5, body(w[60:63], w[5:45], w[70:80])), ("e", 5, body(w[95:100], w[20:30], w[100:104]))]
+    got = list(substring_dedup.parse(iter(block), 10))
+    for k, (name, owner, text) in enumerate(block):
+        words_of = [text[i : i + 8] for i in range(0, len(text), 8)]
+        want = set()
+        for i in range(len(words_of) - 9):
+            if any(o < owner and b"".join(words_of[i : i + 10]) in {t[j : j + 80] for j in range(0, len(t) - 79, 8)} for _, o, t in block[:k]):
+                want |= set(range(i, i + 10))
+        factors = [f for f in got if f[0] == name]
+        assert {i for _, _, at, n in factors for i in range(at, at + n)} == want
+        assert all(n >= 10 and source < owner for _, source, _, n in factors)
+        for (_, _, at, n), (_, _, then, _) in zip(factors, factors[1:]):
+            assert then > at + n - 10  # the next factor starts at a window that crosses the end, or later
+    assert max(n for name, _, _, n in got if name == "d") > 10
+
+
+def test_factors_name_their_source(spark):
+    w = words(random.Random(2), 400)
+    docs = [(1, " ".join(w[:120])), (2, " ".join(w[60:200])), (3, "x y " + " ".join(w[30:180]))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    got = substring_dedup.factor_ranges(rows, 50).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(2, 1), (3, 1), (3, 2)}
+    text = dict(docs)
+    for r in got:
+        assert " ".join(text[r.doc_id].split()[r.lo : r.lo + r.n + 49]) in text[r.source]
+
+
 def test_anchors_own_every_window_once():
     rng = np.random.default_rng(0)
     raw, off = rng.integers(97, 99, 5000).astype(np.uint8), np.array([0, 10, 10, 1200, 1650, 5000])
