@@ -6,7 +6,8 @@ an open-addressing hash table, and rows and columns are compacted; a row leaves
 rank. A piece that is itself in the vocabulary is one id. Pieces over ``LONG`` bytes merge by the
 same rule on a heap, as a matrix of their width would take a round for each merge.
 
-Defined cases: null text counts as empty (no ids, the digests of nothing); rows of equal id are
+Defined cases: null text counts as empty (no ids, the digests of nothing); very long texts are split
+by the pattern like any other; of pairs of equal rank the leftmost merges first; rows of equal id are
 documents of their own; extra columns are passed over; an empty table gives an empty table.
 """
 

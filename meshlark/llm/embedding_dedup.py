@@ -13,7 +13,7 @@ counts and links that span what they connect, not all pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing, as
 do rows of null label; a null id has no component and is
-not kept; rows of equal id are vectors of their own in the counts and one node in the components;
+not kept; of references equally near the one chosen first counts as nearer; rows of equal id are vectors of their own in the counts and one node in the components;
 extra columns are passed over; an empty table gives an empty table.
 """
 

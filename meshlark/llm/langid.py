@@ -10,7 +10,7 @@ texts; an n-gram belongs to a language if it is in at least ``MIN_SHARE`` of its
 
 Defined cases: null text and texts without a letter are ``und`` with score 0; if no n-gram is known
 the most frequent language is given with score 0; ties go to the more frequent language, then by
-name; with no training rows everything is ``und``; rows of equal id are documents of their own;
+name; with no training rows everything is ``und``; of very long texts every n-gram counts; rows of equal id are documents of their own;
 extra columns are passed over; an empty table gives an empty table.
 """
 
@@ -113,6 +113,8 @@ def learn(train: DataFrame, sample: int = SAMPLE) -> Filters:
                     c, n = np.unique(pair[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.view(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
+    # the ranking leaves one partition a language
+    some = some.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     found = some.select("lang", "text").mapInArrow(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     least = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, MIN_SHARE * min(n, sample))])
     rows = found.where(F.col("n") >= least[F.col("lang")]).select("lang", "code").toPandas()

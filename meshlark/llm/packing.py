@@ -11,8 +11,8 @@ needs a look-ahead only inside runs of white space, so texts are cut there and t
 pattern runs without one. The file's added tokens are found first, as the library does; what lies
 between two of them is a text of its own.
 
-Defined cases: null text counts as empty (its sequence is the single id 0); rows of equal id are
-documents of their own; extra columns are passed over; an empty table gives an empty table.
+Defined cases: null text counts as empty (its sequence is the single id 0); a very long text is
+encoded whole, in memory in proportion to its bytes; rows of equal id are documents of their own; extra columns are passed over; an empty table gives an empty table.
 ``sequence_id`` is unique, not dense: the partition's number and the row's number within it.
 """
 

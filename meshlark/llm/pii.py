@@ -13,7 +13,8 @@ Each anchor starts a local parser that expands to the boundaries of its kind and
   (added by the method).
 
 Within a kind matches are leftmost and do not overlap; a match that fails its test is passed over as
-a whole. Offsets count code points. Defined cases: null text counts as empty; rows of equal id are
+a whole. Offsets count code points. Defined cases: null text counts as empty; very long texts
+are searched whole; of spans of one start the kinds come in the order above; rows of equal id are
 documents of their own; extra columns are passed over; an empty table gives an empty table.
 """
 

@@ -9,8 +9,9 @@ document is then compared with every labelled vector by exact cosine products in
 Learning takes at most ``SAMPLE`` labelled rows outside the held-out quarter (those of least id
 hash); their vectors (``SAMPLE`` x ``DIMENSIONS`` floats) are broadcast. Only text is an input.
 
-Defined cases: null and blank texts score 0; without labelled rows every score is 0; a document
-labelled twice counts with its lower label; rows of equal id are documents of their own; extra
+Defined cases: null and blank texts score 0; without labelled rows every score is 0; very long texts count whole,
+in memory in proportion to their words; a document labelled twice counts with its lower label; of
+neighbours equally similar at the last place some vote, the same in every run; rows of equal id are documents of their own; extra
 columns are passed over; an empty table gives an empty table.
 """
 

@@ -7,7 +7,7 @@ most ``BAD_CHUNKS`` of its whole chunks are out of theirs. The upper limits lie
 several scripts (README), those that compress best among them: Cyrillic and technical manuals.
 
 Defined cases: null text has no words and fails the base rule; a text too short for the first band
-has no ratio limits; rows of equal id are documents of their own; extra columns are passed over; an
+has no ratio limits; very long texts are compressed whole and chunk by chunk; rows of equal id are documents of their own; extra columns are passed over; an
 empty table gives an empty table.
 """
 

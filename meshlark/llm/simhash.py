@@ -9,7 +9,8 @@ always meets a replica of the other. Distinct fingerprints are compared, not doc
 cost nothing; an anchor emits links that span what it connects rather than all pairs.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; texts of
-fewer than ``words`` words hash as a whole; repeated rows share fingerprint and component; a null id
+fewer than ``words`` words hash as a whole; of very long texts every shingle counts, bits being added
+up 65,536 shingles at a time; a bit set in exactly half the shingles is 0; repeated rows share fingerprint and component; a null id
 never names a component unless all ids in it are null; an empty table gives an empty table.
 """
 

@@ -1,20 +1,30 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
-
-Ranks of strings of 1, 2, 4 ... bytes are doubled locally into 64-bit names; Spark then shuffles and
-sorts positions by rank at growing lengths, reranking only positions whose rank is not yet unique:
-32-byte grams at content-chosen anchors, the 400 to 768 bytes around those that repeat, and rank
-pairs of single positions, at offsets 0 and 144 with 256 bytes each, at the threshold of 400.
-Positions stand sparsely until the last round; see ``anchors`` for why no repeat is lost.
-
-Defined cases: null text counts as empty; texts under ``span`` bytes have no window and stay whole;
-repeated rows and equal ids are rows of their own; extra columns are passed over; an empty table
-gives an empty table. Cuts may fall inside a character: ``text`` then lacks its odd bytes while the
-digest is over the exact bytes.
+"""Removal of repeated strings by ranking positions at growing lengths.
+
+This is not the dealt prefix doubling in full: ranking every byte position, in Spark, at each power of
+two does not fit the disk budget (see the README for figures). What is kept of it: positions get
+ranks for growing lengths, each length is ranked by a shuffle, and only positions whose rank is not
+yet unique go on to the next. What differs: the names of powers of two are doubled inside a task,
+equality is told by hashing (a grouping, not a sort; the order of ranks is not needed), and positions
+stand sparsely until the last round. The lengths ranked, for 400 bytes, are 32 (at content-chosen
+anchors), 337 and 393 (what blocks of 64 and 8 windows share) and 400, each named by a pair of ranks;
+see ``anchors`` for why no repeat is lost.
+
+Strings are bytes, or words (``unit``). Words are runs without blanks, but characters of scripts
+without spaces (Han, kana, Thai, Lao, Khmer, Burmese) are words each. ``leave_first`` takes out only
+strings that a document of smaller id has too, so that one copy of a passage stays.
+
+Defined cases: null text counts as empty; texts under ``span`` symbols have no window and stay whole;
+very long texts are cut into overlapping pieces, so that no window is lost or seen twice; repeated
+rows and equal ids are rows of their own (with ``leave_first`` rows of equal id never remove from
+each other, and a null id neither removes nor loses); extra columns are passed over; an empty table
+gives an empty table. Cuts of bytes may fall inside a character: ``text`` then lacks its odd bytes
+while the digest is over the exact bytes. A run of removed words goes with the blanks that follow it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +32,16 @@ from pyspark.sql import DataFrame
 
 from meshlark.llm.anchors import Windows
 from meshlark.llm.common import flat, keep_schema, restored, with_row_key
-from meshlark.llm.repeats import covered, repeated_ranges, with_ranges
+from meshlark.llm.repeats import covered, repeated_ranges, with_ranges, word_symbols, word_windows
 
 SPAN = 400
 #: Windows in a block, round by round.
 BLOCKS = (64, 8, 1)
+WORD_BLOCKS = (8, 1)
+#: UTF-8 of the characters that are words of their own.
+ALONE = rb"(?:\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xbf][\x80-\xbf]{2})"
+UNSPACED, PLAIN = re.compile(ALONE), re.compile(rb"[^\x20\x09-\x0d]+")
+MIXED = re.compile(ALONE + rb"|(?:(?!" + ALONE + rb")[^\x20\x09-\x0d])+")
 
 
 def _symbols():
@@ -37,16 +52,34 @@ def _symbols():
     return of
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return MIXED.findall(text) if UNSPACED.search(text) else text.split()
+
+
+def word_cut(text: bytes, ranges, span: int) -> np.ndarray | None:
+    """Mask of the bytes under the removed words, from a word's start to that of the next that stays."""
+    if ranges is None or len(ranges) == 0:
+        return None
+    start = np.fromiter((m.start() for m in (MIXED if UNSPACED.search(text) else PLAIN).finditer(text)), np.int64)
+    cut = covered(len(start), ranges, span)
+    return np.concatenate((np.zeros(start[0], bool), np.repeat(cut, np.diff(np.append(start, len(text))))))
+
+
 def _sizes(span: int) -> Windows:
     block = 1 << (span.bit_length() - 1)
     return Windows(span, max(1, min(32, block // 2)), block)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, text, n_bytes, n_removed, n_spans, kept_sha256``; ``text`` is what is left. Columns
-    named in ``keep`` are passed on."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, keep: tuple[str, ...] = (), unit: str = "byte", leave_first: bool = False) -> DataFrame:
+    """``doc_id, text, n_bytes, n_removed, n_spans, kept_sha256`` (bytes, for either unit); ``text`` is
+    what is left. Columns named in ``keep`` are passed on."""
     rows = with_row_key(docs, id_col, text_col, keep)
-    ranges = repeated_ranges(rows, _symbols, np.uint8, _sizes(span), BLOCKS, earlier=False)
+    if unit == "word":
+        ranges = repeated_ranges(rows, word_symbols(words_of), np.uint64, word_windows(span), WORD_BLOCKS, leave_first)
+    elif unit == "byte":
+        ranges = repeated_ranges(rows, _symbols, np.uint8, _sizes(span), BLOCKS, leave_first)
+    else:
+        raise ValueError("the unit is byte or word")
 
     def run(batches):
         for batch in batches:
@@ -55,7 +88,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = {k: [] for k in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
             for i in range(batch.num_rows):
                 own = raw[off[i] : off[i + 1]]
-                cut = covered(len(own), todo[i].values if todo[i].is_valid else None, span)
+                found = todo[i].values if todo[i].is_valid else None
+                cut = word_cut(own.tobytes(), found, span) if unit == "word" else covered(len(own), found, span)
                 kept = (own if cut is None else own[~cut]).tobytes()
                 out["text"].append(kept.decode("utf-8", "ignore"))
                 out["n_bytes"].append(len(own))

@@ -79,6 +79,44 @@ def test_repeats(spark, span):
     assert got.where("th <> 'clash'").count() == 0
 
 
+def plain_word_cut(docs, span):
+    """Texts without the 50-word passages of documents of smaller id, blanks after a removed run included."""
+    alone = r"[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]"
+    token = re.compile(f"{alone}|(?:(?!{alone})[^\\x20\\x09-\\x0D])+")
+    found = [(i, t or "", [(m.start(), m[0]) for m in token.finditer(t or "")]) for i, t in docs]
+    low = {}
+    for i, _, w in found:
+        for k in range(len(w) - span + 1):
+            if i is not None:
+                key = tuple(x for _, x in w[k : k + span])
+                low[key] = min(i, low.get(key, i))
+    out = []
+    for i, t, w in found:
+        gone = set()
+        for k in range(len(w) - span + 1):
+            if i is not None and low[tuple(x for _, x in w[k : k + span])] < i:
+                gone |= set(range(k, k + span))
+        ends = [s for s, _ in w[1:]] + [len(t)]
+        out.append((i, (t[: w[0][0]] if w else t) + "".join(t[s:e] for k, ((s, _), e) in enumerate(zip(w, ends)) if k not in gone)))
+    return sorted(map(repr, out))
+
+
+def test_word_repeats_leave_the_first(spark):
+    """Passages of 51 to 60 words go from all documents but the first, whatever the script; blanks stay."""
+    rng = random.Random(11)
+    docs = [(i, t) for i, t, *_ in rows()] + planted(12)
+    for n in range(51, 61):
+        passage = words(rng, n)
+        docs += [(100 + n, " ".join([*words(rng, 20), *passage])), (200 + n, "\t ".join([*passage, *words(rng, 15)])), (300 + n, "\n".join([*words(rng, 5), *passage, "end"]))]
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(80))
+    docs += [(400, "前" + han + "後 tail"), (401, "x" + han[5:70] + " y"), (402, "ไทย" * 30), (403, "a " + "ไทย" * 30)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), span=50, unit="word", leave_first=True)
+    assert values(got, "doc_id", "text") == plain_word_cut(docs, 50)
+    left = {r.doc_id: r for r in got.where("doc_id between 101 and 403").collect()}
+    assert all(left[100 + n].n_removed == 0 < left[200 + n].n_removed and left[300 + n].n_spans == 1 for n in range(51, 61))
+    assert left[400].n_removed == 0 < left[401].n_removed and left[403].text == "a "
+
+
 def test_planted_repeats(spark):
     docs = planted(4)
     got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
