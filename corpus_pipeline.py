@@ -18,6 +18,8 @@ from meshlark.storage import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source")
+#: Words of a repeated passage.
+PASSAGE = 50
 
 
 @shipped
@@ -36,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that start elsewhere too are cut out of the texts."""
-    found = suffix_dedup.remove_repeats(docs, keep=OTHERS)
+    """Passages of 50 words or more that a document of smaller id has too are cut out; one copy stays."""
+    found = suffix_dedup.remove_repeats(docs, span=PASSAGE, keep=OTHERS, unit="word", leave_first=True)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
