@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; creates a local one only when none is configured."""
+    """The shared scratch folder. Where none is configured, a local one on a single machine; on a
+    cluster, whose executors could not see it, that raises."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="meshlark-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
@@ -36,7 +39,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Parquet tables in the shared folder, for intermediates read more than once."""
+    """Parquet tables in the shared folder, for intermediates read more than once. A result may read
+    them until the session ends, so what has not been dropped goes then."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -45,10 +49,13 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self._files(self.root, "deleteOnExit")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:
-        path = self.root if name is None else f"{self.root}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._files(self.root if name is None else f"{self.root}/{name}", "delete", True)
+
+    def _files(self, path: str, method: str, *rest) -> None:
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(at.getFileSystem(sc._jsc.hadoopConfiguration()), method)(at, *rest)
