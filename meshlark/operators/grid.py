@@ -19,11 +19,14 @@ def _points(rows: DataFrame, n: int) -> DataFrame:
 
 
 def grid_points(spark: SparkSession, n: int, k0: int = 1, k1: int | None = None, slab: int | None = None) -> DataFrame:
-    """Nodes of the planes ``k0`` to ``k1`` in column-major numbering; one partition a slab if given."""
+    """Nodes of the planes ``k0`` to ``k1`` in column-major numbering; one partition a slab if given,
+    which must divide the planes."""
     k1 = n if k1 is None else k1
     if not 1 <= k0 <= k1 <= n:
         raise IndexError("planes out of the grid")
-    parts = None if slab is None else -(-(k1 - k0 + 1) // slab)
+    if slab is not None and (slab < 1 or (k1 - k0 + 1) % slab):
+        raise ValueError("slabs must divide the planes")
+    parts = None if slab is None else (k1 - k0 + 1) // slab
     return _points(spark.range((k0 - 1) * n * n + 1, k1 * n * n + 1, 1, parts), n)
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.operators.sdf import NODES
+
 
 def tetrahedra() -> np.ndarray:
     """Six paths from corner (0,0,0) to (1,1,1), as corner offsets (6, 4, 3), positively oriented."""
@@ -27,12 +29,17 @@ def tetrahedra() -> np.ndarray:
     return np.array(out)
 
 
-def surface(field: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Vertices in [-1, 1]^3 and faces of the surface of a field (x, y, z); inside is below the level."""
-    n = field.shape[0]
+def crossing_faces(field: np.ndarray, n: int, first: int = 0, level: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``name`` and place of the vertices and faces (three names each) of the surface in the layers of
+    cells between the given planes (x, y, z) from plane ``first`` on of a grid of ``n``; inside is below
+    the level. Only cells whose corners differ in sign are cut up. A vertex is named by the grid
+    nodes of its edge, so that layers fit together."""
     value = field.ravel() - level
-    base = np.stack(np.meshgrid(*[np.arange(n - 1)] * 3, indexing="ij"), -1).reshape(-1, 1, 3)
-    number = lambda c: (c[..., 0] * n + c[..., 1]) * n + c[..., 2]
+    deep = field.shape[2]
+    below = field < level
+    near = [below[i : n - 1 + i, j : n - 1 + j, k : deep - 1 + k] for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    base = np.stack(np.nonzero(np.logical_or.reduce(near) & ~np.logical_and.reduce(near)), -1).reshape(-1, 1, 3)
+    number = lambda c: (c[..., 0] * n + c[..., 1]) * deep + c[..., 2]
     corners = np.concatenate([number(base + t[None]) for t in tetrahedra()])
     low = value[corners] < 0
     faces = []
@@ -58,26 +65,59 @@ def surface(field: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarr
             quad = [e(i, k), e(i, m), e(j, m), e(j, k)]
             faces += [np.stack((quad[0], quad[1], quad[2]), 1), np.stack((quad[0], quad[2], quad[3]), 1)]
     ends = np.sort(np.concatenate(faces).reshape(-1, 2), axis=1)
-    key, index = np.unique(ends[:, 0].astype(np.int64) * n**3 + ends[:, 1], return_inverse=True)
-    a, b = key // n**3, key % n**3
+    whole = ends // deep * n + ends % deep + first  # numbers in the whole grid
+    name, one = np.unique(whole[:, 0] * n**3 + whole[:, 1], return_index=True)
+    a, b = ends[one, 0], ends[one, 1]
     at = lambda q: np.stack((q // (n * n), q // n % n, q % n), 1) * (2 / (n - 1)) - 1
     s = (value[a] / np.where(value[a] == value[b], 1, value[a] - value[b]))[:, None]
-    return at(a) + s * (at(b) - at(a)), index.reshape(-1, 3)
+    p, q = at(whole[one, 0]), at(whole[one, 1])
+    return name, p + s * (q - p), (whole[:, 0] * n**3 + whole[:, 1]).reshape(-1, 3)
+
+
+def joined(name: np.ndarray, place: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices once each, by name, and faces by their numbers from 0."""
+    name, one = np.unique(name, return_index=True)
+    return place[one], np.searchsorted(name, faces)
+
+
+def surface(field: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices in [-1, 1]^3 and faces of the surface of a whole field (x, y, z)."""
+    return joined(*crossing_faces(field, field.shape[0], 0, level))
 
 
 def isosurfaces(planes: DataFrame, n: int, level: float = 0.0) -> DataFrame:
-    """``mesh_id, vertices, faces`` of each mesh's planes (see ``sdf.fields``)."""
-
-    def run(frames):
-        many = max(1, (1 << 20) // n**3)
-        for f in frames:
-            for at in range(0, len(f), many):
-                part = f.iloc[at : at + many]
-                made = [surface(np.stack([np.asarray(r["sdf"]).reshape(n, n).T for r in rows], axis=2), level) for rows in part["s"]]
-                yield pd.DataFrame({"mesh_id": part["mesh_id"].to_numpy(), "vertices": [v.tolist() for v, _ in made], "faces": [(t + 1).tolist() for _, t in made]})
-
-    rows = planes.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("iz", "sdf"))).alias("s"))
-    return rows.mapInPandas(run, "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
+    """``mesh_id, vertices, faces`` of each mesh's planes (see ``sdf.fields``).
+
+    Cells are cut up layer by layer: a plane goes to the layers below and above it, and a task
+    holds the planes of a few layers. What meets in one row a mesh is the surface, not the field."""
+    deep = max(1, min(n - 1, NODES // n**2))
+    nested = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 3), pa.array(x.ravel(), kind))
+    lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.concat_arrays(rows))
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column("s")[i].values
+                first = own.field("iz")[0].as_py() - 1
+                field = own.field("sdf").flatten().to_numpy().reshape(len(own), n, n).transpose(2, 1, 0)
+                name, place, faces = crossing_faces(field, n, first, level)
+                yield pa.RecordBatch.from_arrays([batch.column("mesh_id").slice(i, 1), *(lists([pa.array(x.ravel(), k)]) for x, k in ((name, pa.int64()), (place, pa.float64()), (faces, pa.int64())))], ["mesh_id", "name", "place", "faces"])
+
+    def whole(batches):
+        for batch in batches:
+            made = []
+            for i in range(batch.num_rows):
+                own = batch.column("p")[i].values
+                made.append(joined(*(own.field(c).flatten().to_numpy().reshape(shape) for c, shape in (("name", -1), ("place", (-1, 3)), ("faces", (-1, 3))))))
+            if made:
+                yield pa.RecordBatch.from_arrays([batch.column("mesh_id"), lists([nested(v, pa.float64()) for v, _ in made]), lists([nested(f + 1, pa.int32()) for _, f in made])], ["mesh_id", "vertices", "faces"])
+
+    layer = F.array_distinct(F.array(F.expr(f"greatest(iz - 2, 0) div {deep}"), F.expr(f"least(iz - 1, {n - 2}) div {deep}")))
+    rows = planes.select("mesh_id", "iz", "sdf", F.explode(layer).alias("layer"))
+    rows = rows.groupBy("mesh_id", "layer").agg(F.sort_array(F.collect_list(F.struct("iz", "sdf"))).alias("s"))
+    parts = rows.mapInArrow(cut, "mesh_id long, name array<long>, place array<double>, faces array<long>")
+    parts = parts.groupBy("mesh_id").agg(F.collect_list(F.struct("name", "place", "faces")).alias("p"))
+    return parts.mapInArrow(whole, "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
 
 
 def as_tables(surfaces: DataFrame) -> tuple[DataFrame, DataFrame]:

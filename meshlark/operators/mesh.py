@@ -39,8 +39,11 @@ def with_area(tri: DataFrame) -> DataFrame:
 
 
 def triangles(vertices: DataFrame, faces: DataFrame, least: float = 1e-20) -> DataFrame:
-    """Non-degenerate triangles renumbered 1..T per mesh in face order, with edge-ownership flags."""
-    tri = with_area(face_vectors(vertices, faces)).where(f"area2 * area2 > {least!r}D")
+    """Non-degenerate triangles renumbered 1..T per mesh in face order, with edge-ownership flags. A
+    mesh all of whose faces are degenerate raises."""
+    tri = with_area(face_vectors(vertices, faces)).withColumn("most", F.max(F.expr("area2 * area2")).over(Window.partitionBy("mesh_id")))
+    none = F.raise_error(F.concat(F.lit("all faces are degenerate: mesh "), F.col("mesh_id"))).cast("boolean")
+    tri = tri.where(F.when(F.col("most") > least, F.col("area2") * F.col("area2") > least).otherwise(none))
     number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("face_id"))
     return tri.select("mesh_id", number.alias("tri_id"), "face_id", *VECTORS, "area2", F.expr(edge_flags()).alias("flags"))
 
@@ -141,6 +144,24 @@ def reorient(vertices: DataFrame, faces: DataFrame, check: bool = True) -> DataF
     return out.select("mesh_id", "face_id", "component", "a", F.expr("if(flip = 1, c, b)").alias("b"), F.expr("if(flip = 1, b, c)").alias("c"), "flip")
 
 
+def flip_share(wound: DataFrame) -> DataFrame:
+    """``mesh_id, flipped_percent`` of ``reorient``'s faces."""
+    return wound.groupBy("mesh_id").agg((F.round(100.0 * F.sum("flip") / F.count("*"), 2) + 0.0).alias("flipped_percent"))
+
+
+def checked(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Faces, with an error for meshes without vertices (their corners are missing) and for ids that
+    the numbering of nodes cannot hold."""
+    corner = faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vertex_id")).distinct()
+    lost = corner.join(vertices.select("mesh_id", "vertex_id"), ["mesh_id", "vertex_id"], "left_anti").select("mesh_id").limit(5).collect()
+    if lost:
+        raise ValueError(f"faces without their vertices in meshes {sorted({r[0] for r in lost})}")
+    most = faces.agg(F.max("face_id")).first()[0]
+    if most is not None and most >= NODE // 2:
+        raise ValueError("too many faces")
+    return faces
+
+
 def centred(vertices: DataFrame) -> DataFrame:
     mean = vertices.groupBy("mesh_id").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     return vertices.join(mean, "mesh_id").withColumns({c: F.col(c) - F.col(f"m{c}") for c in "xyz"}).drop("mx", "my", "mz")
@@ -184,7 +205,7 @@ def canonicalize(vertices: DataFrame, faces: DataFrame, eps: float = 1e-7) -> tu
     """Weld, centre, orient, align: canonical ``vertices`` and ``faces``."""
     welded = checkpoint(weld_components(vertices, eps))
     clusters = weld_vertices(welded)
-    kept = checkpoint(weld_faces(faces, welded, clusters).select("mesh_id", F.col("new_id").alias("face_id"), "a", "b", "c"))
+    kept = checkpoint(weld_faces(checked(vertices, faces), welded, clusters).select("mesh_id", F.col("new_id").alias("face_id"), "a", "b", "c"))
     points = checkpoint(centred(clusters.select("mesh_id", "vertex_id", "x", "y", "z")))
     wound = reorient(points, kept)
     return aligned(points, principal_axes(moments(points))), wound

@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LAYERS, SKIP = 8, 5
+from meshlark.functions.expressions import draw_key, hashed
+from meshlark.operators.grid import check_resolution
+
+LAYERS, SKIP, FIXED = 8, 5, ("B", "mu", "sigma")
 Weights = dict[str, np.ndarray]
 
 
@@ -42,6 +45,11 @@ def swish_slope(x: np.ndarray) -> np.ndarray:
     return s * (1 + x * (1 - s))
 
 
+def swish_bend(x: np.ndarray) -> np.ndarray:
+    s = 1 / (1 + np.exp(-x))
+    return s * (1 - s) * (2 + x * (1 - 2 * s))
+
+
 def standardised(w: Weights, p: np.ndarray) -> np.ndarray:
     return (p - w["mu"]) / np.where(w["sigma"] < np.finfo(np.float32).eps, 1, w["sigma"])
 
@@ -121,27 +129,38 @@ def eikonal_penalty(g: np.ndarray) -> float:
     return float(((np.sqrt((g * g).sum(axis=1) + 1e-8) - 1) ** 2).mean()) if len(g) else 0.0
 
 
-def parameter_gradients(w: Weights, x: np.ndarray, p: np.ndarray, y: np.ndarray, delta: float, scale: float = 0.2) -> tuple[float, Weights]:
-    """Loss (clamped mean distance) and its gradient by every trainable weight, for one mesh."""
-    keep: list = []
-    out = forward(w, x, p, scale, keep)
-    a, e, q, gamma = keep[-1]
-    diff = np.clip(out, -delta, delta) - np.clip(y, -delta, delta)
-    go = np.sign(diff) * (np.abs(out) <= delta) / len(x)
-    g: Weights = {"Wo": (go @ a)[None], "bo": np.array([go.sum()])}
-    ga = go[:, None] * w["Wo"][0]
-    gmod = np.zeros((LAYERS, 2, w["Wo"].shape[1]))
-    hidden, n_e = w["Wo"].shape[1], e.shape[1]
+def weight_gradients(w: Weights, x: np.ndarray, p: np.ndarray, by_value: np.ndarray, along: np.ndarray, scale: float = 0.2) -> Weights:
+    """Gradient by every trainable weight of ``sum(by_value * f(x)) + sum(along . grad f(x))``.
+
+    The second sum is a directional derivative, so the forward pass carries tangents along ``along``
+    beside the values and the backward pass goes through both; no second derivative is formed."""
+    q, e = standardised(w, p), fourier(w["B"], x)
+    gamma, beta = modulation(w, q)
+    m, hidden = len(w["B"]), w["Wo"].shape[1]
+    turn = 2 * np.pi * (along @ w["B"].T)
+    de = np.concatenate((along, e[:, 3 + m :] * turn, -e[:, 3 : 3 + m] * turn), axis=1)
+    layers, a, da = [], None, None
+    for k in range(1, LAYERS + 1):
+        inputs = [e] if k == 1 else [a, e] if k == SKIP else [a]
+        tangents = [de] if k == 1 else [da, de] if k == SKIP else [da]
+        inputs, tangents = np.concatenate(inputs, axis=1), np.concatenate(tangents, axis=1)
+        h = linear_parts(w[f"W{k}"], w[f"b{k}"], [inputs], q if k in (1, SKIP) else q[:0])
+        dh = tangents @ w[f"W{k}"][:, : inputs.shape[1]].T
+        z, dz = film(h, gamma[k - 1], beta[k - 1], scale), dh * (1 + scale * gamma[k - 1])
+        a, da = swish(z), swish_slope(z) * dz
+        layers.append((inputs, tangents, h, dh, z, dz))
+    g: Weights = {"Wo": (by_value @ a + da.sum(axis=0))[None], "bo": np.array([by_value.sum()])}
+    ga, gda = by_value[:, None] * w["Wo"][0], np.broadcast_to(w["Wo"][0], a.shape)
+    gmod = np.zeros((LAYERS, 2, hidden))
     for k in range(LAYERS, 0, -1):
-        before, z = keep[k - 1]
-        gz = ga * swish_slope(z)
-        inputs = [e] if k == 1 else [before, e] if k == SKIP else [before]
-        h = linear_parts(w[f"W{k}"], w[f"b{k}"], inputs, q) if k in (1, SKIP) else before @ w[f"W{k}"].T + w[f"b{k}"]
-        gmod[k - 1, 0], gmod[k - 1, 1] = scale * (gz * h).sum(axis=0), scale * gz.sum(axis=0)
-        gh = gz * (1 + scale * gamma[k - 1])
-        parts = [gh.T @ i for i in inputs] + ([np.outer(gh.sum(axis=0), q)] if k in (1, SKIP) else [])
+        inputs, tangents, h, dh, z, dz = layers[k - 1]
+        gz, gdz = ga * swish_slope(z) + gda * swish_bend(z) * dz, gda * swish_slope(z)
+        gmod[k - 1] = scale * (gz * h + gdz * dh).sum(axis=0), scale * gz.sum(axis=0)
+        gh, gdh = (v * (1 + scale * gamma[k - 1]) for v in (gz, gdz))
+        parts = [gh.T @ inputs + gdh.T @ tangents] + [np.outer(gh.sum(axis=0), q)] * (k in (1, SKIP))
         g[f"W{k}"], g[f"b{k}"] = np.concatenate(parts, axis=1), gh.sum(axis=0)
-        ga = (gh @ w[f"W{k}"])[:, :hidden] if k > 1 else ga
+        if k > 1:
+            ga, gda = gh @ w[f"W{k}"][:, :hidden], gdh @ w[f"W{k}"][:, :hidden]
     s1 = w["F1"] @ q + w["f1"]
     h1 = swish(s1)
     s2 = w["F2"] @ h1 + w["f2"]
@@ -150,7 +169,25 @@ def parameter_gradients(w: Weights, x: np.ndarray, p: np.ndarray, y: np.ndarray,
     g1 = (w["F2"].T @ g2) * swish_slope(s1)
     for k, (gk, i) in enumerate(((g1, q), (g2, h1), (g3, swish(s2))), 1):
         g[f"F{k}"], g[f"f{k}"] = np.outer(gk, i), gk
-    return float(np.abs(diff).mean()), g
+    return g
+
+
+def parameter_gradients(w: Weights, x: np.ndarray, p: np.ndarray, y: np.ndarray, delta: float, scale: float = 0.2, free: np.ndarray | None = None, weight: float = 0.0) -> tuple[float, Weights]:
+    """Composite loss of one mesh and its gradient by every trainable weight: the clamped mean distance
+    over points ``x`` with distances ``y``, and ``weight`` times the penalty on the gradient's length at
+    the points ``free``."""
+    free = np.zeros((0, 3)) if free is None else free
+    out = forward(w, x, p, scale)
+    diff = np.clip(out, -delta, delta) - np.clip(y, -delta, delta)
+    by_value, along = np.sign(diff) * (np.abs(out) <= delta) / max(1, len(x)), np.zeros((0, 3))
+    loss = float(np.abs(diff).mean()) if len(x) else 0.0
+    if len(free):
+        g = gradient(w, free, p, scale)
+        size = np.sqrt((g * g).sum(axis=1, keepdims=True) + 1e-8)
+        along = weight * 2 * (size - 1) / size * g / len(free)
+        loss += weight * eikonal_penalty(g)
+    at = np.concatenate((x, free))
+    return loss, weight_gradients(w, at, p, np.concatenate((by_value, np.zeros(len(free)))), np.concatenate((np.zeros_like(x), along)), scale)
 
 
 class AdamW:
@@ -170,20 +207,85 @@ class AdamW:
             w[k] = w[k] - self.rate * (m / (np.sqrt(v) + self.eps) + self.decay * w[k])
 
 
-def train(w: Weights, samples: DataFrame, parameters: dict[int, np.ndarray], delta: float, epochs: int = 1, rate: float = 1e-3, scale: float = 0.2) -> list[float]:
-    """Epochs over ``samples(mesh_id, x, y, z, sd)``, a step a mesh, meshes streamed to the driver one
-    partition ahead; returns the mean loss of each epoch and keeps the weights in ``w``."""
-    rows = samples.groupBy("mesh_id").agg(F.collect_list(F.array("x", "y", "z", "sd")).alias("s")).orderBy("mesh_id")
-    optimiser, losses = AdamW(rate), []
-    for _ in range(epochs):
+def train(
+    w: Weights, samples, parameters: dict[int, np.ndarray], delta: float, epochs: int = 1, rate: float = 1e-3, scale: float = 0.2,
+    weight: float = 0.1, validation: DataFrame | None = None, on_best=None,
+) -> list[dict]:
+    """Epochs over ``samples(mesh_id, x, y, z, sd[, free])``, or over what ``samples(epoch)`` returns,
+    a step a mesh; rows with ``free`` also bear the penalty on the gradient's length, ``weight`` times.
+
+    Meshes come to the driver, where the optimiser runs, one partition ahead and in an order of their
+    own each epoch. After each epoch, and before the first, the mean loss over ``validation`` is taken
+    on the executors; ``on_best(w, epoch)`` is called when it is strictly the best so far. ``w`` ends
+    as it is best on validation (without any, as the last epoch leaves it). Returns ``epoch, loss,
+    validation, best`` for each."""
+    optimiser, log = AdamW(rate), []
+    held, best = {k: v.copy() for k, v in w.items()}, None
+
+    def judged(epoch: int, loss: float | None) -> None:
+        nonlocal best, held
+        value = None if validation is None else dataset_loss(validation, parameters, w, delta, scale)
+        better = value is not None and (best is None or value < best)
+        if better:
+            best, held = value, {k: v.copy() for k, v in w.items()}
+            if on_best:
+                on_best(w, epoch)
+        log.append({"epoch": epoch, "loss": loss, "validation": value, "best": better})
+
+    judged(0, None)
+    for epoch in range(1, epochs + 1):
+        now = samples(epoch) if callable(samples) else samples
+        now = now if "free" in now.columns else now.withColumn("free", F.lit(False))
+        rows = now.groupBy("mesh_id").agg(F.collect_list(F.array("x", "y", "z", "sd", F.col("free").cast("double"))).alias("s"))
         seen = []
-        for r in rows.toLocalIterator(prefetchPartitions=True):
+        for r in hashed(rows, {"turn": draw_key("mesh_id", str(epoch), 1)}).orderBy("turn", "mesh_id").toLocalIterator(prefetchPartitions=True):
             s = np.array(r["s"])
-            loss, g = parameter_gradients(w, s[:, :3], parameters[r["mesh_id"]], s[:, 3], delta, scale)
+            loss, g = parameter_gradients(w, s[:, :3], parameters[r["mesh_id"]], s[:, 3], delta, scale, s[s[:, 4] > 0, :3], weight)
             optimiser.step(w, g)
             seen.append(loss)
-        losses.append(float(np.mean(seen)))
-    return losses
+        judged(epoch, float(np.mean(seen)))
+    if best is not None:
+        w.update(held)
+    return log
+
+
+def dataset_loss(samples: DataFrame, parameters: dict[int, np.ndarray], w: Weights, delta: float, scale: float = 0.2) -> float | None:
+    """Mean over meshes of the mean clamped distance between ``sd`` and the prediction; None without rows."""
+    found = losses(samples, parameters, w, delta, scale).agg(F.avg("loss")).first()
+    return found[0]
+
+
+def losses(samples: DataFrame, parameters: dict[int, np.ndarray], w: Weights, delta: float, scale: float = 0.2) -> DataFrame:
+    """``mesh_id, loss``: the mean clamped distance of each mesh. Predictions stay on the executors."""
+    p = samples.sparkSession.createDataFrame([(int(k), [float(x) for x in v]) for k, v in parameters.items()], "mesh_id long, p array<double>")
+    met = predict(samples.select("mesh_id", "x", "y", "z", "sd").join(p, "mesh_id"), w, scale)
+    clip = lambda c: F.greatest(F.lit(-delta), F.least(F.lit(delta), F.col(c)))
+    return met.groupBy("mesh_id").agg(F.avg(F.abs(clip("sd") - clip("pred"))).alias("loss"))
+
+
+def infer(parameters: DataFrame, w: Weights, n: int, slab: int = 8, scale: float = 0.2) -> DataFrame:
+    """``mesh_id, iz, sdf, tri``: fields that the model predicts for ``parameters(mesh_id, p)``, planes
+    as in ``sdf.fields``. A row a slab of ``slab`` planes is all that is shuffled; its points are made
+    where they are used, some thousands at a time."""
+    check_resolution(n)
+    if n % slab:
+        raise ValueError("slabs must divide the resolution")
+    spark = parameters.sparkSession
+    shared, x = spark.sparkContext.broadcast(w), -1 + np.arange(n) * (2 / (n - 1))
+    some = 8192
+
+    def run(frames):
+        for f in frames:
+            for mesh, p, first in zip(f["mesh_id"], f["p"], f["first"]):
+                p = np.asarray(p, float)
+                for k in range(first, first + slab):
+                    plane = np.stack((np.tile(x, n), np.repeat(x, n), np.full(n * n, x[k])), axis=1)
+                    value = np.concatenate([forward(shared.value, plane[i : i + some], p, scale) for i in range(0, n * n, some)])
+                    yield pd.DataFrame({"mesh_id": [mesh], "iz": [k + 1], "sdf": [value], "tri": [np.zeros(0, np.int32)]})
+
+    rows = parameters.select(F.col("mesh_id").cast("long"), "p", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(slab))).alias("first"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mesh_id", "first")
+    return rows.mapInPandas(run, "mesh_id long, iz int, sdf array<double>, tri array<int>")
 
 
 def predict(points: DataFrame, w: Weights, scale: float = 0.2, with_gradient: bool = False) -> DataFrame:
@@ -207,8 +309,10 @@ def predict(points: DataFrame, w: Weights, scale: float = 0.2, with_gradient: bo
 
 
 def weight_table(spark: SparkSession, w: Weights) -> DataFrame:
-    rows = [(k, list(v.shape), v.ravel().astype(float).tolist()) for k, v in w.items()]
-    return spark.createDataFrame(rows, "name string, shape array<int>, data array<double>")
+    """``name, shape, data, trainable``: the fixed parts (encoding, standardisation) are never trained,
+    which is all that a training or test mode would change in this model."""
+    rows = [(k, list(v.shape), v.ravel().astype(float).tolist(), k not in FIXED) for k, v in w.items()]
+    return spark.createDataFrame(rows, "name string, shape array<int>, data array<double>, trainable boolean")
 
 
 def from_table(table: DataFrame) -> Weights:

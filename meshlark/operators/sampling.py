@@ -6,12 +6,17 @@ A draw is a hash of (mesh, sample, draw number), so samples do not depend on par
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import expressions as X
+from meshlark.operators.grid import check_resolution
+from meshlark.operators.mesh import bounding_box, canonicalize, triangles
+from meshlark.operators.sdf import field_nodes, fields
+from meshlark.storage import checkpoint
 
 
 def partition_slice(start: int, stop: int, splits: tuple[float, ...]) -> list[tuple[int, int]]:
@@ -70,23 +75,32 @@ def area_weights(tri: DataFrame) -> DataFrame:
 
 
 def cumulated(rows: DataFrame, by: str, order: str, weight: str) -> DataFrame:
-    """``lo, hi``: half-open slices of [0, 1) by weight, in order."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(weight).over(Window.partitionBy(by))
-    rows = rows.withColumn("_run", F.sum(weight).over(w)).withColumn("_all", total)
-    return rows.withColumn("lo", (F.col("_run") - F.col(weight)) / F.col("_all")).withColumn("hi", F.col("_run") / F.col("_all")).drop("_run", "_all")
-
-
-def cdf_arrays(cdf: DataFrame, by: str, *columns: str) -> DataFrame:
-    """One row a group with its slices in order; bounded by the group's faces."""
-    return cdf.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("hi", *columns))).alias("slices"))
-
-
-def draw(samples: DataFrame, arrays: DataFrame, by: str, u: str) -> DataFrame:
-    """``pick``: the slice that holds ``u`` (the last one if rounding leaves none)."""
-    met = samples.join(arrays, by)
-    found = F.filter("slices", lambda s: s["hi"] > F.col(u))
-    return met.withColumn("pick", F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(F.element_at("slices", -1))).drop("slices")
+    """``lo, hi, slices``: half-open slices of [0, 1) by weight, in order, without gaps (a slice begins
+    where the one before it ends), and how many the group has."""
+    every, w = Window.partitionBy(by), Window.partitionBy(by).orderBy(order)
+    run = F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("hi", run / F.sum(weight).over(every)).withColumn("slices", F.count("*").over(every))
+    return rows.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
+
+
+def draw(samples: DataFrame, cdf: DataFrame, by: str, u: str, *columns: str) -> DataFrame:
+    """``pick``: of the slice that holds ``u``, the named columns; ``cdf`` comes from ``cumulated``.
+
+    [0, 1) is cut into as many equal bins as the group has slices. A slice stands in the bins it
+    touches, at most twice as many rows as there are slices, and a sample in its own, so that it meets
+    two slices on average however many the group has; a sample past the last end (rounding) draws from
+    the last slice that has weight."""
+    many = F.col("slices")
+    bin_of = lambda x: F.least(F.floor(x * many), many - 1)
+    size = cdf.groupBy(by).agg(F.max("slices").alias("slices"), F.max("hi").alias("_end")).withColumnRenamed(by, "_by")
+    end = cdf.groupBy(by).agg(F.max("hi").alias("_end")).withColumnRenamed(by, "_by")
+    last = F.col("hi") == F.col("_end")
+    placed = cdf.join(end, F.col(by) == F.col("_by")).where("hi > lo").withColumn("_hi", F.when(last, F.lit(float("inf"))).otherwise(F.col("hi")))
+    placed = placed.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("lo")), F.when(last, many - 1).otherwise(bin_of(F.col("hi"))))))
+    placed = placed.select(F.col(by).alias("_of"), "_bin", F.col("lo").alias("_lo"), "_hi", F.struct(*columns).alias("pick"))
+    asked = samples.join(size, F.col(by) == F.col("_by")).withColumn("_at", bin_of(F.col(u))).drop("_by", "_end", "slices")
+    met = asked.join(placed, (F.col(by) == F.col("_of")) & (F.col("_at") == F.col("_bin")) & (F.col(u) >= F.col("_lo")) & (F.col(u) < F.col("_hi")))
+    return met.drop("_at", "_of", "_bin", "_lo", "_hi")
 
 
 def sample_ids(meshes: DataFrame, first: int, last: int) -> DataFrame:
@@ -96,29 +110,26 @@ def sample_ids(meshes: DataFrame, first: int, last: int) -> DataFrame:
 def surface_samples(tri: DataFrame, first: int, last: int) -> DataFrame:
     """Uniform points on the surface: ``mesh_id, sample_id, face, x, y, z``."""
     vectors = [f"{e}{c}" for e in ("a", "ab", "ac") for c in "xyz"]
-    arrays = cdf_arrays(cumulated(area_weights(tri), "mesh_id", "tri_id", "weight"), "mesh_id", "tri_id", *vectors)
-    s = sample_ids(arrays, first, last).withColumns({f"u{k}": F.expr(X.uniform("mesh_id", "sample_id", k)) for k in range(3)})
-    s = draw(s, arrays, "mesh_id", "u0").selectExpr("mesh_id", "sample_id", "pick.*", "sqrt(u1) as r", "u2")
-    return s.selectExpr("mesh_id", "sample_id", "tri_id as face", *(f"a{c} + r*(1-u2)*ab{c} + r*u2*ac{c} as {c}" for c in "xyz"))
+    cdf = cumulated(area_weights(tri), "mesh_id", "tri_id", "weight")
+    s = X.with_uniforms(sample_ids(tri.select("mesh_id").distinct(), first, last), "mesh_id", "sample_id", {"u0": 0, "u1": 1, "u2": 2})
+    s = draw(s, cdf, "mesh_id", "u0", "tri_id", *vectors).select("mesh_id", "sample_id", "u1", "u2", "pick.*")
+    return s.selectExpr("mesh_id", "sample_id", "tri_id as face", *(f"a{c} + sqrt(u1)*(1-u2)*ab{c} + sqrt(u1)*u2*ac{c} as {c}" for c in "xyz"))
 
 
-def normals(k: int) -> list[str]:
-    """Three standard normals of attempt ``k`` by Box-Muller."""
-    u = [X.uniform("mesh_id", "sample_id", 10 + 6 * k + i) for i in range(6)]
-    return [f"sqrt(-2e0 * ln({u[2 * i]})) * cos(2e0 * pi() * {u[2 * i + 1]})" for i in range(3)]
-
-
-def near_surface_samples(surface: DataFrame, sigma: float, attempts: int = 4) -> DataFrame:
-    """Surface points moved by normal offsets; the first attempt inside the cube, else clamped."""
-    tried = F.array(*(F.struct(*(F.expr(f"{c} + {sigma!r}D * {g}").alias(c) for c, g in zip("xyz", normals(k)))) for k in range(attempts)))
-    good = F.filter(tried, lambda p: F.greatest(F.abs(p["x"]), F.abs(p["y"]), F.abs(p["z"])) <= 1)
-    rows = surface.withColumn("_t", F.get(good, F.lit(0)))
-    return rows.selectExpr("mesh_id", "sample_id", *(f"greatest(-1e0, least(1e0, coalesce(_t.{c}, {c}))) as {c}" for c in "xyz"))
+def near_surface_samples(surface: DataFrame, sigma: float) -> DataFrame:
+    """Surface points moved by normal offsets, each axis drawn until it is inside the cube: a normal
+    cut off at -1 and 1, taken in one draw by its inverse distribution."""
+    rows = X.with_uniforms(surface.select("mesh_id", "sample_id", "x", "y", "z"), "mesh_id", "sample_id", {f"u{c}": 10 + i for i, c in enumerate("xyz")})
+    rows = rows.withColumns({f"{e}{c}": F.expr(f"({at} - {c}) / {sigma!r}D") for c in "xyz" for e, at in (("l", "-1e0"), ("h", "1e0"))})
+    rows = rows.withColumns({f"{e}{c}": F.expr(X.normal_cdf(f"{e}{c}")) for c in "xyz" for e in "lh"})
+    rows = rows.withColumns({f"q{c}": F.expr(f"l{c} + u{c} * (h{c} - l{c})") for c in "xyz"})
+    return rows.selectExpr("mesh_id", "sample_id", *(f"greatest(-1e0, least(1e0, {c} + {sigma!r}D * {X.normal_quantile(f'q{c}')})) as {c}" for c in "xyz"))
 
 
 def volume_samples(meshes: DataFrame, first: int, last: int) -> DataFrame:
     """Uniform points of the cube."""
-    return sample_ids(meshes, first, last).selectExpr("mesh_id", "sample_id", *(f"2e0 * {X.uniform('mesh_id', 'sample_id', k)} - 1e0 as {c}" for k, c in enumerate("xyz")))
+    rows = X.with_uniforms(sample_ids(meshes, first, last), "mesh_id", "sample_id", {c: k for k, c in enumerate("xyz")})
+    return rows.selectExpr("mesh_id", "sample_id", *(f"2e0 * {c} - 1e0 as {c}" for c in "xyz"))
 
 
 def trilinear(points: DataFrame, nodes: DataFrame, n: int, key: list[str]) -> DataFrame:
@@ -134,12 +145,44 @@ def trilinear(points: DataFrame, nodes: DataFrame, n: int, key: list[str]) -> Da
     return met.groupBy(*key, *[c for c in "xyz" if c not in key]).agg(F.sum(F.col("w") * F.col("sdf")).alias("sd"))
 
 
+def mesh_samples(tri: DataFrame, planes: DataFrame, p: SamplingParameters) -> DataFrame:
+    """``mesh_id, sample_id, stratum, x, y, z, sd``: all strata of every mesh, in one order of sample
+    ids: surface points at distance 0, points near it by sigma, points of the cube, these with
+    distances blended from the fields in ``planes`` (of the resolution of ``p``)."""
+    strata, meshes = p.strata(), tri.select("mesh_id").distinct()
+    surface = surface_samples(tri, 1, max(stop for stratum, _, stop, _ in strata if stratum != "volume")).drop("face")
+    found, parts = [], []
+    for stratum, start, stop, sigma in strata:
+        part = volume_samples(meshes, start, stop) if stratum == "volume" else surface.where(F.col("sample_id").between(start, stop))
+        if stratum == "surface":
+            found.append(part.select("mesh_id", "sample_id", F.lit(stratum).alias("stratum"), "x", "y", "z", F.lit(0.0).alias("sd")))
+        else:
+            part = near_surface_samples(part, sigma) if stratum == "band" else part
+            parts.append(part.select("mesh_id", "sample_id", F.lit(stratum).alias("stratum"), "x", "y", "z"))
+    off = reduce(DataFrame.union, parts)
+    n = p.resolution
+    met = trilinear(off, field_nodes(planes, n), n, ["mesh_id", "sample_id", "stratum"])
+    return reduce(DataFrame.union, found).union(met.select("mesh_id", "sample_id", "stratum", "x", "y", "z", "sd"))
+
+
+def mesh_samplers(vertices: DataFrame, faces: DataFrame, parameters: DataFrame, resolution: int = 256, mode: str = "exact") -> dict[str, DataFrame]:
+    """The sampler dataset of raw meshes with ``parameters(mesh_id, p)``: canonical ``vertices`` and
+    ``faces``, ``triangles`` with area weights, ``planes`` (the field) and ``samplers`` (resolution,
+    bounds, parameters), all by ``mesh_id``; ``sinks.write_dataset`` stores them."""
+    check_resolution(resolution)
+    points, wound = canonicalize(vertices, faces)
+    points, wound = checkpoint(points), checkpoint(wound)
+    tri = triangles(points, wound)
+    box = bounding_box(points, "mesh_id").select("mesh_id", *(F.array(*(f"{m}_{c}" for c in "xyz")).alias(f"bbox_{m}") for m in ("min", "max")))
+    return {"vertices": points, "faces": wound, "triangles": area_weights(tri), "planes": fields(tri, resolution, mode), "samplers": parameters.join(box, "mesh_id").withColumn("resolution", F.lit(resolution))}
+
+
 def random_subset(rows: DataFrame, by: str, key: str, k: int, salt: int = 99) -> DataFrame:
     """``k`` rows of each group by least hash, all if there are no more."""
-    h = F.expr(X.uniform(by, key, salt))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(h, key))).where(F.col("_r") <= k).drop("_r")
+    rows = X.with_uniforms(rows, by, key, {"_h": salt})
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_h", key))).where(F.col("_r") <= k).drop("_r", "_h")
 
 
 def eikonal_subset(samples: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Off-surface samples farther than ``threshold``, ``k`` of each mesh."""
+    """Off-surface samples farther than ``threshold``, ``k`` of each mesh (all if there are no more)."""
     return random_subset(samples.where((F.col("stratum") != "surface") & (F.abs("sd") > threshold)), "mesh_id", "sample_id", k)

@@ -1,24 +1,29 @@
 """Signed distance grids of triangle meshes.
 
 Spatial bins turn every lookup into an equi-join: a voxel or a column meets only triangles of its
-tile. The relational forms serve small grids and cross-checks; ``fields`` does one mesh a group with
+tile. The relational forms serve small grids and cross-checks; ``fields`` does slabs of a mesh with
 numpy, for any resolution, its input being the mesh's own triangles.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import expressions as X
+from meshlark.operators.grid import check_resolution
 from meshlark.operators.mesh import VECTORS
 from meshlark.operators.spatial import explode_bins
 
 # Seed tile (it decides what a voxel is compared with), band, parity tile, tolerances.
 SEED_TILE, PARITY_TILE, BAND = (8, 8, 4), (16, 16), 5
 JITTER, EPS_DET, EPS_BARY, FALLBACK = 1e-3, 1e-10, 5e-8, 10.0
+#: Nodes of a slab, and pairs of nodes or columns with triangles looked at together.
+NODES, PAIRS = 1 << 19, 1 << 15
 
 
 def _bounds(c: str) -> tuple[str, str]:
@@ -73,11 +78,14 @@ def parity_hits(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE) ->
     met = parity_bins(tri, n, tile, mag, (*VECTORS, "flags"))
     met = met.selectExpr("*", f"(tile_id - 1) % {-(-n // tile[0])} as tx", f"(tile_id - 1) div {-(-n // tile[0])} as ty")
     met = explode_bins(met, {f"i{c}": (F.expr(f"t{c} * {t} + 1"), F.expr(f"least(t{c} * {t} + {t}, {n})")) for c, t in zip("xy", tile)})
-    jx, jy = X.jitter("ix", "iy", f"{mag!r}D")
+    jx, jy = X.offsets("h", f"{mag!r}D")
+    met = X.hashed(met, {"h": X.column_key("ix", "iy")})
     met = met.withColumns({"sx": F.expr(f"{X.coordinate('ix', n)} + {jx} - ax"), "sy": F.expr(f"{X.coordinate('iy', n)} + {jy} - ay"), "det": F.expr("aby*acx - abx*acy")})
     met = met.withColumns({"u": F.expr("(sy*acx - sx*acy)/det"), "v": F.expr("(sx*aby - sy*abx)/det")}).withColumn("w", F.expr("1 - u - v"))
-    inside = " and ".join(f"({b} > {EPS_BARY!r}D or (abs({b}) <= {EPS_BARY!r}D and (flags & {1 << i}) <> 0))" for i, b in enumerate("uvw"))
-    met = met.where(inside).withColumn("z", F.expr("az + u*abz + v*acz")).where("not isnan(z) and z > -1 and z < 1")
+    met = met.where(f"least(u, v, w) >= -{EPS_BARY!r}D")  # most candidates end here; what is left may lie on an edge
+    for i, b in enumerate("uvw"):
+        met = met.where(f"{b} > {EPS_BARY!r}D or (flags & {1 << i}) <> 0")
+    met = met.withColumn("z", F.expr("az + u*abz + v*acz")).where("not isnan(z) and z > -1 and z < 1")
     return met.selectExpr("mesh_id", "ix", "iy", f"cast((z + 1) / (2e0 / {n - 1}) as bigint) + 2 as z_idx", "tri_id").where(f"z_idx between 1 and {n}")
 
 
@@ -121,91 +129,134 @@ def nodes(n: int) -> np.ndarray:
     return np.stack(np.meshgrid(x, x, x, indexing="ij"), axis=-1)
 
 
-def exact_index(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest triangle of every node (lowest number of equals) and its squared distance, for as many
-    triangles at a time as keep the table small."""
-    p, best, index = nodes(n).reshape(-1, 3), np.full(n**3, np.inf), np.zeros(n**3, np.int64)
-    step = max(1, (1 << 18) // n**3)
-    for k in range(0, len(t), step):
-        d = distance2(p[None], t[k : k + step, None])
-        low = d.argmin(axis=0)
-        d = d[low, np.arange(n**3)]
-        closer = d < best
-        best[closer], index[closer] = d[closer], low[closer] + k
-    return best.reshape(n, n, n), index.reshape(n, n, n)
+def exact_index(t: np.ndarray, n: int, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest triangle of every node of the planes ``first`` to ``last`` - 1 (lowest number of
+    equals) and its squared distance, as (n, n, planes).
+
+    Boxes of nodes are halved until few triangles can be nearest: one whose distance to the box's
+    centre passes the least such distance by more than the box's diameter is nearest to none of its
+    nodes. Only a box with its candidates is in memory."""
+    x, last = axis(n), n if last is None else last
+    best, index = np.empty((n, n, last - first)), np.empty((n, n, last - first), np.int32)
+    work = [(0, n, 0, n, first, last, np.arange(len(t)))]
+    while work:
+        *box, some = work.pop()
+        size = [box[1] - box[0], box[3] - box[2], box[5] - box[4]]
+        many = size[0] * size[1] * size[2]
+        if many * len(some) <= PAIRS and (many <= 64 or len(some) <= 64) or many == 1:
+            p = np.stack(np.meshgrid(x[box[0] : box[1]], x[box[2] : box[3]], x[box[4] : box[5]], indexing="ij"), -1).reshape(-1, 3)
+            d = distance2(p[None], t[some, None])
+            low = d.argmin(axis=0)
+            at = tuple(slice(a - o, b - o) for a, b, o in zip(box[::2], box[1::2], (0, 0, first)))
+            best[at], index[at] = d[low, np.arange(len(p))].reshape(size), some[low].reshape(size)
+            continue
+        ends = np.array([[x[box[2 * i]], x[box[2 * i + 1] - 1]] for i in range(3)])
+        d = np.sqrt(distance2(ends.mean(axis=1), t[some]))
+        some = some[d <= d.min() + np.linalg.norm(ends[:, 1] - ends[:, 0]) + 1e-9]
+        cut = int(np.argmax(size))
+        half = (box[2 * cut] + box[2 * cut + 1]) // 2
+        for edge in (2 * cut + 1, 2 * cut):
+            part = list(box)
+            part[edge] = half
+            work.append((*part, some))
+    return best, index
 
 
 def seeded(t: np.ndarray, n: int, band: int = BAND, tile: tuple[int, int, int] = SEED_TILE) -> tuple[np.ndarray, np.ndarray]:
     """Seeds: nearest of the triangles of the node's tile; -1 in tiles without any."""
-    p, best, index = nodes(n), np.full((n, n, n), np.inf), np.full((n, n, n), -1)
+    x, best, index = axis(n), np.full((n, n, n), np.inf), np.full((n, n, n), -1, np.int32)
     corners = np.stack((t[:, :3], t[:, :3] + t[:, 3:6], t[:, :3] + t[:, 6:]))
-    at = lambda x: np.trunc((x + 1) / (2 / (n - 1))).astype(int) + 1
+    at = lambda v: np.trunc((v + 1) / (2 / (n - 1))).astype(int) + 1
     last = -(-n // np.array(tile)) - 1
     lo = np.clip((np.maximum(at(corners.min(axis=0)) - band, 1) - 1) // np.array(tile), 0, last)
     hi = np.clip((np.minimum(at(corners.max(axis=0)) + band, n) - 1) // np.array(tile), 0, last)
     for k in range(len(t)):
-        s = tuple(slice(a * w, (b + 1) * w) for a, b, w in zip(lo[k], hi[k], tile))
-        d = distance2(p[s], t[k])
-        closer = d < best[s]
-        best[s][closer], index[s][closer] = d[closer], k
+        for z in range(lo[k][2], hi[k][2] + 1):  # a layer of tiles at a time
+            s = tuple(slice(a * w, min((b + 1) * w, n)) for a, b, w in zip((*lo[k][:2], z), (*hi[k][:2], z), tile))
+            d = distance2(np.stack(np.meshgrid(*(x[q] for q in s), indexing="ij"), -1), t[k])
+            closer = d < best[s]
+            best[s][closer], index[s][closer] = d[closer], k
     return best, index
 
 
 def jump_flood(t: np.ndarray, n: int, corrections: int = 2, band: int = BAND) -> tuple[np.ndarray, np.ndarray]:
     """Jump flooding from the seeds: strides n/2, n/4 ... 1, then ``corrections`` at 1. A node takes a
-    neighbour's triangle only if strictly nearer, neighbours in (dz, dy, dx) order. For few triangles
-    all distances are tabled first, so that a pass only looks up."""
-    p, (best, index) = nodes(n), seeded(t, n, band)
-    table = np.stack([distance2(p, x) for x in t], axis=-1) if len(t) * n**3 <= 1 << 22 else None
-    strides, j = [], n // 2
+    neighbour's triangle only if strictly nearer, neighbours in (dz, dy, dx) order. The whole grid is
+    in memory, 20 bytes a node; distances are taken some planes at a time, and only where a neighbour
+    has another triangle. For few triangles all distances are tabled first."""
+    x, (best, index) = axis(n), seeded(t, n, band)
+    table = np.stack([distance2(nodes(n), v) for v in t]) if len(t) * n**3 <= 1 << 20 else None
+    strides, j, deep = [], n // 2, max(1, (1 << 18) // n**2)
     while j >= 1:
         strides.append(j)
         j //= 2
     for jump in strides + [1] * corrections:
         before = index.copy()
-        for dz in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    if dx == dy == dz == 0:
-                        continue
-                    to = tuple(slice(max(0, -d * jump), n - max(0, d * jump)) for d in (dx, dy, dz))
-                    fro = tuple(slice(max(0, d * jump), n - max(0, -d * jump)) for d in (dx, dy, dz))
-                    cand = before[fro]
-                    if not cand.size:
-                        continue
-                    own = np.maximum(cand, 0)
-                    d2 = distance2(p[to], t[own]) if table is None else np.take_along_axis(table[to], own[..., None], -1)[..., 0]
-                    d2 = np.where(cand >= 0, d2, np.inf)
-                    closer = (cand != index[to]) & (d2 < best[to])
-                    best[to][closer], index[to][closer] = d2[closer], cand[closer]
+        for dz, dy, dx in product((-1, 0, 1), repeat=3):
+            if dx == dy == dz == 0:
+                continue
+            lo, hi = zip(*((max(0, -d * jump), n - max(0, d * jump)) for d in (dx, dy, dz)))
+            for z in range(lo[2], hi[2], deep):
+                to = (slice(lo[0], hi[0]), slice(lo[1], hi[1]), slice(z, min(z + deep, hi[2])))
+                fro = tuple(slice(q.start + d * jump, q.stop + d * jump) for q, d in zip(to, (dx, dy, dz)))
+                cand = before[fro]
+                at = np.nonzero((cand >= 0) & (cand != index[to]))
+                if not len(at[0]):
+                    continue
+                own = cand[at]
+                at = tuple(a + q.start for a, q in zip(at, to))
+                d2 = distance2(np.stack([x[a] for a in at], -1), t[own]) if table is None else table[(own, *at)]
+                closer = d2 < best[at]
+                at = tuple(a[closer] for a in at)
+                best[at], index[at] = d2[closer], own[closer]
     return best, index
 
 
-def inside(t: np.ndarray, n: int, flags: np.ndarray) -> np.ndarray:
-    """Nodes inside the mesh by ray parity along z, with jitter and edge ownership."""
-    i = np.arange(1, n + 1, dtype=np.uint64)
-    h = (i[:, None] * np.uint64(X.COLUMN_X) + i[None, :] * np.uint64(X.COLUMN_Y)) & np.uint64(X.MASK)
-    for shift, k in ((16, X.MIX_1), (15, X.MIX_2)):
-        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(k)) & np.uint64(X.MASK)
-    h ^= h >> np.uint64(16)
-    mag = JITTER * 2 / (n - 1)
-    rx = axis(n)[:, None] + ((h & np.uint64(65535)) / 65535 - 0.5) * mag
-    ry = axis(n)[None, :] + ((h >> np.uint64(16)) / 65535 - 0.5) * mag
-    toggle = np.zeros((n, n, n + 2), np.int8)
-    for (ax, ay, az, abx, aby, abz, acx, acy, acz), own in zip(t, flags):
+def crossings(t: np.ndarray, n: int, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``column, plane``: where the jittered rays along z cross triangles, columns being numbered
+    x * n + y and planes from 0 (the first above the crossing). Triangles meet the columns of their own
+    bounds, so many pairs at a time."""
+    t, flags = t[keep := np.abs(t[:, 4] * t[:, 6] - t[:, 3] * t[:, 7]) > EPS_DET], flags[keep]
+    mag, h = JITTER * 2 / (n - 1), 2 / (n - 1)
+    corners = np.stack((t[:, :2], t[:, :2] + t[:, 3:5], t[:, :2] + t[:, 6:8]))
+    lo = np.clip(np.ceil((corners.min(axis=0) - mag + 1) / h), 0, n).astype(np.int64)
+    hi = np.clip(np.floor((corners.max(axis=0) + mag + 1) / h), -1, n - 1).astype(np.int64)
+    wide = np.maximum(hi - lo + 1, 0)
+    many = wide[:, 0] * wide[:, 1]
+    ends = np.cumsum(many)
+    out = []
+    for a in range(0, int(many.sum()), PAIRS):
+        pair = np.arange(a, min(a + PAIRS, int(ends[-1])))
+        k = np.searchsorted(ends, pair, "right")
+        pair -= (ends - many)[k]
+        ix, iy = lo[k, 0] + pair // wide[k, 1], lo[k, 1] + pair % wide[k, 1]
+        hash_ = ((ix + 1).astype(np.uint64) * np.uint64(X.COLUMN_X) + (iy + 1).astype(np.uint64) * np.uint64(X.COLUMN_Y)) & np.uint64(X.MASK)
+        for shift, by in ((16, X.MIX_1), (15, X.MIX_2)):
+            hash_ = ((hash_ ^ (hash_ >> np.uint64(shift))) * np.uint64(by)) & np.uint64(X.MASK)
+        hash_ ^= hash_ >> np.uint64(16)
+        ax, ay, az, abx, aby, abz, acx, acy, acz = t[k].T
+        sx = -1 + ix * h + ((hash_ & np.uint64(65535)) / 65535 - 0.5) * mag - ax
+        sy = -1 + iy * h + ((hash_ >> np.uint64(16)) / 65535 - 0.5) * mag - ay
         det = aby * acx - abx * acy
-        if abs(det) <= EPS_DET:
-            continue
-        sx, sy = rx - ax, ry - ay
         u, v = (sy * acx - sx * acy) / det, (sx * aby - sy * abx) / det
-        ok = np.ones((n, n), bool)
-        for k, b in enumerate((u, v, 1 - u - v)):
-            ok &= (b > EPS_BARY) | ((np.abs(b) <= EPS_BARY) & bool(int(own) >> k & 1))
+        ok = np.ones(len(pair), bool)
+        for i, b in enumerate((u, v, 1 - u - v)):
+            ok &= (b > EPS_BARY) | ((np.abs(b) <= EPS_BARY) & (flags[k] >> i & 1 == 1))
         z = az + u * abz + v * acz
         ok &= (z > -1) & (z < 1)
-        x, y = np.nonzero(ok)
-        np.add.at(toggle, (x, y, ((z[ok] + 1) / (2 / (n - 1))).astype(int) + 1), 1)
-    return np.cumsum(toggle[:, :, :n], axis=2) % 2 == 1
+        out.append(((ix * n + iy)[ok], ((z[ok] + 1) / h).astype(np.int64) + 1))
+    return tuple(np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out) if out else ((), ())))
+
+
+def inside(t: np.ndarray, n: int, flags: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Nodes of the planes ``first`` to ``last`` - 1 inside the mesh, by ray parity along z with jitter
+    and edge ownership."""
+    last = n if last is None else last
+    column, plane = crossings(t, n, np.asarray(flags).astype(np.int64))
+    toggle = np.zeros((n * n, last - first), np.int32)
+    below = plane < last
+    np.add.at(toggle, (column[below], np.maximum(plane[below] - first, 0)), 1)
+    return (np.cumsum(toggle, axis=1) % 2 == 1).reshape(n, n, -1)
 
 
 def signed(best: np.ndarray, within: np.ndarray) -> np.ndarray:
@@ -214,31 +265,38 @@ def signed(best: np.ndarray, within: np.ndarray) -> np.ndarray:
 
 
 def fields(tri: DataFrame, n: int, mode: str = "exact", corrections: int = 2) -> DataFrame:
-    """``mesh_id, iz, sdf, tri``: one row a plane, values in x-fastest order. A mesh is one row of its
-    triangles, so that small meshes share Arrow batches."""
-    if not 8 <= n <= 1024:
-        raise ValueError("the resolution must be 8 to 1024")
-
-    def one(rows) -> tuple[list, list]:
-        t = np.array([[r[c] for c in VECTORS] for r in rows], float)
-        best, index = exact_index(t, n) if mode == "exact" else jump_flood(t, n, corrections)
-        s = signed(best, inside(t, n, np.array([r["flags"] for r in rows])))
-        ids = np.where(index >= 0, np.array([r["tri_id"] for r in rows])[np.maximum(index, 0)], 0)
-        return [s[:, :, k].T.ravel() for k in range(n)], [ids[:, :, k].T.ravel() for k in range(n)]
-
-    def run(frames):
-        many = max(1, (1 << 20) // n**3)
-        for f in frames:
-            for at in range(0, len(f), many):
-                mesh, sdf, ids = f["mesh_id"].iloc[at : at + many], [], []
-                for rows in f["t"].iloc[at : at + many]:
-                    s, i = one(rows)
-                    sdf += s
-                    ids += i
-                yield pd.DataFrame({"mesh_id": np.repeat(mesh.to_numpy(), n), "iz": np.tile(np.arange(1, n + 1), len(mesh)), "sdf": sdf, "tri": ids})
+    """``mesh_id, iz, sdf, tri``: one row a plane, values in x-fastest order.
+
+    Exact fields are made slab by slab, each a row of its own with the mesh's triangles, so that a
+    large grid spreads over the cluster and a task holds ``NODES`` nodes. Jump flooding needs the
+    whole grid of a mesh in one task. Small meshes share Arrow batches."""
+    check_resolution(n)
+    deep = n if mode == "jfa" else max(1, min(n, NODES // n**2))
+
+    def one(rows: pa.StructArray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        t = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in VECTORS], axis=1)
+        flags, ids, last = rows.field("flags").to_numpy(zero_copy_only=False), rows.field("tri_id").to_numpy(zero_copy_only=False), min(n, first + deep)
+        best, index = exact_index(t, n, first, last) if mode == "exact" else jump_flood(t, n, corrections)
+        s = signed(best, inside(t, n, flags, first, last))
+        return s.T.ravel(), np.where(index >= 0, ids[np.maximum(index, 0)], 0).T.ravel().astype(np.int32)
+
+    def run(batches):
+        for batch in batches:
+            t, held = batch.column("t"), []
+            for i, (mesh, first) in enumerate(zip(batch.column("mesh_id").to_pylist(), batch.column("first").to_pylist())):
+                held.append((mesh, first, *one(t[i].values, first)))
+                if i + 1 == batch.num_rows or sum(len(s) for _, _, s, _ in held) > NODES:
+                    iz = [np.arange(f + 1, f + 1 + len(s) // n**2, dtype=np.int32) for _, f, s, _ in held]
+                    off = pa.array(np.arange(sum(map(len, iz)) + 1, dtype=np.int32) * n**2)
+                    lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in list(zip(*held))[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([m for m, *_ in held], [len(z) for z in iz]), pa.int64()), pa.array(np.concatenate(iz)), *lists], ["mesh_id", "iz", "sdf", "tri"])
+                    held = []
 
     rows = tri.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("tri_id", *VECTORS, "flags"))).alias("t"))
-    return rows.mapInPandas(run, "mesh_id long, iz int, sdf array<double>, tri array<int>")
+    rows = rows.select(F.col("mesh_id").cast("long"), "t", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(deep))).alias("first"))
+    if deep < n:
+        rows = rows.repartition(int(tri.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mesh_id", "first")
+    return rows.mapInArrow(run, "mesh_id long, iz int, sdf array<double>, tri array<int>")
 
 
 def field_nodes(planes: DataFrame, n: int) -> DataFrame:

@@ -45,6 +45,10 @@ def positional_split(rows: DataFrame, order: str, held: int = 8) -> DataFrame:
     return rows.join(F.broadcast(top), F.col(order) == F.col("_o"), "left").withColumn("split", split).drop("_o", "rank")
 
 
+def first_row(rows: DataFrame, order: str) -> DataFrame:
+    return rows.orderBy(order).limit(1)
+
+
 def parameter_statistics(rows: DataFrame, vector: str, size: int) -> DataFrame:
     """``dim, mean, std`` (sample deviation) of the first ``size`` components."""
     wide = rows.agg(*(f(F.col(vector)[i].cast("double")).alias(f"{n}{i}") for i in range(size) for n, f in (("m", F.avg), ("s", F.stddev_samp))))

@@ -6,6 +6,7 @@ has faces 2, 7 and 11 reversed, or all of them.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,54 @@ def box_soup(box: DataFrame, shift: bool = True) -> DataFrame:
     return box.select("mesh_id", F.expr(f"inline(array({', '.join(rows)}))"))
 
 
+#: Which of the faces with a corner a face is, from 0: the number of a corner's copy in a soup.
+COPY = {(f, c): sum(c in g for g in FACES[:f]) for f, face in enumerate(FACES) for c in face}
+#: Tolerance, and the step between neighbouring copies of a corner in ``chained_soup``.
+EPS, STEP = 1e-3, 6e-4
+#: A rotation about z, then x, by angles of Pythagorean triangles.
+TURN = np.array([[0.6, -0.8, 0], [0.8, 0.6, 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, 5 / 13, -12 / 13], [0, 12 / 13, 5 / 13]])
+
+
+def chained_soup(box: DataFrame) -> DataFrame:
+    """A soup whose copies of a corner lie in a row: neighbours are within ``EPS``, the ends are not."""
+    rows = []
+    for f, face in enumerate(FACES):
+        for k, c in enumerate(face):
+            x, y, z = CORNERS[c]
+            rows.append(f"struct({f + 1}L as face_id, {3 * f + k + 1}L as vertex_id, {x}*hx + {COPY[f, c]} * {STEP!r}D as x, {y}*hy as y, {z}*hz as z)")
+    return box.select("mesh_id", F.expr(f"inline(array({', '.join(rows)}))"))
+
+
+def turned(vertices: DataFrame) -> DataFrame:
+    """Vertices rotated by ``TURN``."""
+    at = [" + ".join(f"{float(TURN[i, j])!r}D * {c}" for j, c in enumerate("xyz")) for i in range(3)]
+    return vertices.select(*(c for c in vertices.columns if c not in "xyz"), *(F.expr(v).alias(c) for c, v in zip("xyz", at)))
+
+
+def tessellated(box: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
+    """The clean box with every side cut into ``m`` x ``m`` squares of two triangles."""
+    lookup = {(x, y, z): None for x in range(m + 1) for y in range(m + 1) for z in range(m + 1) if {x, y, z} & {0, m}}
+    names = {p: i for i, p in enumerate(lookup, 1)}
+    faces = []
+    for a in range(3):
+        u, v = (a + 1) % 3, (a + 2) % 3
+        for side in (0, m):
+            for i in range(m):
+                for j in range(m):
+                    square = []
+                    for x, y in ((i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1)):
+                        p = [0, 0, 0]
+                        p[a], p[u], p[v] = side, x, y
+                        square.append(names[tuple(p)])
+                    square = square if side else square[::-1]
+                    faces += [(square[0], square[1], square[2]), (square[0], square[2], square[3])]
+    at = lambda k: f"{2 * k / m - 1!r}D"
+    v = ", ".join(f"struct({n}L as vertex_id, {at(x)} as x, {at(y)} as y, {at(z)} as z)" for (x, y, z), n in names.items())
+    f = ", ".join(f"struct({i}L as face_id, {a}L as a, {b}L as b, {c}L as c)" for i, (a, b, c) in enumerate(faces, 1))
+    vertices = box.select("mesh_id", "hx", "hy", "hz", F.expr(f"inline(array({v}))")).selectExpr("mesh_id", "vertex_id", "x*hx as x", "y*hy as y", "z*hz as z")
+    return vertices, box.select("mesh_id", F.expr(f"inline(array({f}))"))
+
+
 def box_welded(box: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The clean box: 8 vertices and 12 outward faces, about the origin."""
     v = ", ".join(f"struct({i}L as vertex_id, {x}*hx as x, {y}*hy as y, {z}*hz as z)" for i, (x, y, z) in enumerate(CORNERS, 1))
@@ -50,8 +99,12 @@ face(face_id, a, b, c) as (values {_face})"""
 SQL_SOUP = f"""{SQL_BOX},
 turned as (select box.*, f.face_id, f.a, case when kind = 2 or (kind = 1 and f.face_id in (2, 7, 11)) then f.c else f.b end as b,
   case when kind = 2 or (kind = 1 and f.face_id in (2, 7, 11)) then f.b else f.c end as c from box, face f),
-soup as (select mesh_id, t.face_id, 3*(t.face_id-1)+k.k+1 as vertex_id, c.sx*hx + tx as x, c.sy*hy as y, c.sz*hz as z
+soup as materialized (select mesh_id, t.face_id, 3*(t.face_id-1)+k.k+1 as vertex_id, c.sx*hx + tx as x, c.sy*hy as y, c.sz*hz as z
   from turned t, (values (0), (1), (2)) k(k) join corner c on c.c = case k.k when 0 then t.a when 1 then t.b else t.c end)"""
+_copy = ", ".join(f"({f + 1}, {k}, {c}, {COPY[f, c]})" for f, face in enumerate(FACES) for k, c in enumerate(face))
+SQL_CHAIN = f"""{SQL_BOX},
+copy(face_id, k, c, r) as (values {_copy}),
+chain as materialized (select mesh_id, 3*(face_id-1)+k+1 as vertex_id, copy.c, r, sx*hx + r*{STEP!r} as x, sy*hy as y, sz*hz as z from box, copy join corner on corner.c = copy.c)"""
 SQL_TRI = f"""{SQL_BOX},
 tri as (select mesh_id, hx, hy, hz, f.face_id as tri_id, p.sx*hx as ax, p.sy*hy as ay, p.sz*hz as az,
   (q.sx-p.sx)*hx as abx, (q.sy-p.sy)*hy as aby, (q.sz-p.sz)*hz as abz, (r.sx-p.sx)*hx as acx, (r.sy-p.sy)*hy as acy, (r.sz-p.sz)*hz as acz

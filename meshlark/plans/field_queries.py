@@ -8,7 +8,7 @@ from meshlark.functions.expressions import DISTANCE2, DOTS, DUCK, box_distance,
 from meshlark.operators import isosurface, sdf
 from meshlark.operators.mesh import triangles
 from meshlark.operators.tables import counts_and_offsets
-from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes
+from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes, tessellated
 
 N, M = 8, 12
 
@@ -73,6 +73,12 @@ def signed_field(spark, sf_dir):
     return total.selectExpr("mesh_id", "iz", f"{tidy('total')} as total", f"{tidy('least')} as least")
 
 
+def tessellated_field(spark, sf_dir):
+    """The signed field of boxes of 108 triangles, whose edges run through the sides."""
+    got = sdf.fields(triangles(*tessellated(boxes(spark, sf_dir), 3)), N).selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + v) as total", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
+    return got.selectExpr("mesh_id", "iz", f"{tidy('total')} as total", "n")
+
+
 def negative_slice_counts(spark, sf_dir):
     return sdf.fields(_tri(spark, sf_dir), M).selectExpr("mesh_id", "cast(iz as bigint) as iz", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
 
@@ -84,13 +90,12 @@ def isosurface_meshes(spark, sf_dir):
 
 
 def isosurface_zmax(spark, sf_dir):
-    """Greatest height of the reconstruction. Along z the corrected field is linear between nodes next
-    to the top face, so it is the box's own height."""
+    """Greatest height of the reconstruction."""
     got = isosurface.isosurfaces(sdf.fields(_tri(spark, sf_dir), M), M)
     return got.selectExpr("mesh_id", "array_max(transform(vertices, v -> v[2])) as z").selectExpr("mesh_id", f"{tidy('z')} as z")
 
 
-QUERIES = {f.__name__: f for f in (point_triangle_distance, seed_bins, seed_bin_offsets, parity_bins, active_tiles, seed_nearest, exact_field, jfa_field, parity_hits, parity_fill, signed_field, negative_slice_counts, isosurface_meshes, isosurface_zmax)}
+QUERIES = {f.__name__: f for f in (point_triangle_distance, seed_bins, seed_bin_offsets, parity_bins, active_tiles, seed_nearest, exact_field, jfa_field, parity_hits, parity_fill, signed_field, tessellated_field, negative_slice_counts, isosurface_meshes, isosurface_zmax)}
 
 
 def _span(c: str) -> tuple[str, str]:
@@ -116,6 +121,10 @@ def _grid(n: int) -> str:
     return f"node as (select ix, iy, iz, {p} from range(1, {n + 1}) a(ix), range(1, {n + 1}) b(iy), range(1, {n + 1}) c(iz)), field as (select mesh_id, ix, iy, iz, {box_distance('x', 'y', 'z')} as sdf from box, node)"
 
 
+#: The surface crosses the edges of the tetrahedra: seven directions from each node.
+_EDGES = f"""with {SQL_BOX}, {_grid(M)}, way(dx, dy, dz) as (values (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)),
+kept as materialized (select * from field),
+crossing as (select a.mesh_id, {coordinate('a.iz', M)} + a.sdf / (a.sdf - b.sdf) * dz * 2e0 / {M - 1} as z from kept a cross join way join kept b on b.mesh_id = a.mesh_id and b.ix = a.ix + dx and b.iy = a.iy + dy and b.iz = a.iz + dz where (a.sdf < 0) <> (b.sdf < 0))"""
 ORACLES = {
     "point_triangle_distance": f"select vec_id, round(sqrt({DISTANCE2}), 6) + 0e0 as d from (select vec_id, {', '.join(f'{v} as {k}' for k, v in DOTS.items())} from (select vec_id, {', '.join(f'embedding[{i}]::double as p{c}' for i, c in enumerate('xyz', 1))}, {', '.join(f'{v}::double as {k}' for k, v in _TRIANGLE.items())} from embeddings))",
     "seed_bins": f"with {SQL_TRI}, {_SEED} select * from bins",
@@ -128,5 +137,11 @@ ORACLES = {
     "parity_hits": f"with {SQL_BOX}, {_grid(M)}, col as (select mesh_id, ix, iy, iz, sdf < 0 as i, lag(sdf < 0, 1, false) over (partition by mesh_id, ix, iy order by iz) as b from field) select mesh_id, ix, iy, iz as z_idx from col where i <> b",
     "parity_fill": f"with {SQL_BOX}, {_grid(M)} select mesh_id, ix, iy, iz from field where sdf < 0",
     "signed_field": f"with {SQL_BOX}, {_grid(M)} select mesh_id, iz, round(sum(sdf), 6) + 0e0 as total, round(min(sdf), 6) + 0e0 as least from field group by 1, 2",
+    # flooding finds the nearest triangle of a box everywhere on this grid
+    "jfa_field": f"with {SQL_BOX}, {_grid(M)} select mesh_id, round(sum(abs(sdf)), 6) + 0e0 as d from field group by 1",
+    "tessellated_field": f"with {SQL_BOX}, {_grid(N)} select mesh_id, iz, round(sum(sdf), 6) + 0e0 as total, count(*) filter (sdf < 0) as n from field group by 1, 2",
+    # of a closed surface without handles, faces = 2 vertices - 4
+    "isosurface_meshes": f"{_EDGES} select mesh_id, count(*) as vertices, 2 * count(*) - 4 as faces, true as closed from crossing group by 1",
+    "isosurface_zmax": f"{_EDGES} select mesh_id, round(max(z), 6) + 0e0 as z from crossing group by 1",
     "negative_slice_counts": f"with {SQL_BOX}, {_grid(M)} select mesh_id, iz, count(*) filter (sdf < 0) as n from field group by 1, 2",
 }

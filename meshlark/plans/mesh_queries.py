@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshlark.functions.expressions import DUCK, edge_flags, jitter, tidy
 from meshlark.operators import mesh as M
-from meshlark.plans.derived import SQL_BOX, SQL_SOUP, SQL_TRI, box_soup, box_welded, boxes
+from meshlark.plans.derived import EPS, SQL_BOX, SQL_CHAIN, SQL_SOUP, SQL_TRI, TURN, box_soup, box_welded, boxes, chained_soup, tessellated, turned
 from meshlark.sources.meshes import soup_tables
 from meshlark.storage import checkpoint
 
@@ -50,6 +50,17 @@ def weld_pairs(spark, sf_dir):
     return M.weld_pairs(soup_tables(_soup(spark, sf_dir))[0])
 
 
+def weld_chain_pairs(spark, sf_dir):
+    """Pairs where copies of a corner lie in a row and only neighbours are within the tolerance."""
+    return M.weld_pairs(chained_soup(boxes(spark, sf_dir)), EPS)
+
+
+def weld_chain_vertices(spark, sf_dir):
+    """Clusters that only chains of pairs hold together, with their means."""
+    clusters = M.weld_vertices(M.weld_components(chained_soup(boxes(spark, sf_dir)), EPS))
+    return clusters.selectExpr("mesh_id", "cast(vertex_id as bigint) as vertex_id", "root", *_XYZ, "members")
+
+
 def weld_components(spark, sf_dir):
     return M.weld_components(soup_tables(_soup(spark, sf_dir))[0]).select("mesh_id", "vertex_id", "root")
 
@@ -83,6 +94,12 @@ def orient_flips(spark, sf_dir):
     return M.reorient(clusters, faces).selectExpr("mesh_id", "cast(face_id as bigint) as face_id", "cast(flip as bigint) as flip")
 
 
+def reorient_metrics(spark, sf_dir):
+    """Share of faces that orienting turns, in percent."""
+    clusters, faces = _welded(spark, sf_dir)
+    return M.flip_share(M.reorient(clusters, faces))
+
+
 def component_volume(spark, sf_dir):
     clusters, faces = _welded(spark, sf_dir)
     wound = M.reorient(clusters, faces).select("mesh_id", "face_id", "component", "a", "b", "c", F.lit(0).alias("flip"))
@@ -105,6 +122,21 @@ def mesh_axes(spark, sf_dir):
     return u.selectExpr("mesh_id", *(f"{tidy(f'u{i}{j}')} as u{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)))
 
 
+def turned_axes(spark, sf_dir):
+    """Principal axes of rotated boxes."""
+    u = M.principal_axes(M.moments(turned(box_welded(boxes(spark, sf_dir))[0])))
+    return u.selectExpr("mesh_id", *(f"{tidy(f'u{i}{j}')} as u{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)))
+
+
+def turned_canonical(spark, sf_dir):
+    """The cleaning pipeline on rotated boxes whose sides are of several triangles."""
+    vertices, faces = tessellated(boxes(spark, sf_dir), 3)
+    v, f = M.canonicalize(turned(vertices), faces)
+    v = v.groupBy("mesh_id").agg(F.count("*").alias("n"), *(F.max(F.abs(c)).alias(f"reach_{c}") for c in "xyz"))
+    v = v.join(f.groupBy("mesh_id").agg(F.count("*").alias("faces"), F.sum("flip").cast("long").alias("flips")), "mesh_id")
+    return v.selectExpr("mesh_id", "n", "faces", "flips", *(f"{tidy(f'reach_{c}')} as reach_{c}" for c in "xyz"))
+
+
 def mesh_canonical(spark, sf_dir):
     points = M.centred(_welded(spark, sf_dir)[0])
     v = M.aligned(points, M.principal_axes(M.moments(points)))
@@ -131,7 +163,7 @@ def mesh_sampler_summary(spark, sf_dir):
     return out.selectExpr("mesh_id", "vertices", "triangles", "flips", f"{tidy('area')} as area", *(f"{tidy(f'max_{c}')} as max_{c}" for c in "xyz"))
 
 
-QUERIES = {f.__name__: f for f in (mesh_soup, face_vectors, degenerate_filter, edge_flag_bits, weld_pairs, weld_components, weld_vertices, weld_faces, weld_metrics, edge_multiplicity, face_adjacency, orient_flips, component_volume, mesh_centroid, mesh_moments, mesh_axes, mesh_canonical, bounding_box, hash_jitter, mesh_sampler_summary)}
+QUERIES = {f.__name__: f for f in (mesh_soup, face_vectors, degenerate_filter, edge_flag_bits, weld_pairs, weld_chain_pairs, weld_chain_vertices, weld_components, weld_vertices, weld_faces, weld_metrics, edge_multiplicity, face_adjacency, orient_flips, reorient_metrics, component_volume, mesh_centroid, mesh_moments, mesh_axes, turned_axes, turned_canonical, mesh_canonical, bounding_box, hash_jitter, mesh_sampler_summary)}
 
 _FV = """fv as (select mesh_id, face_id, {first} from (select mesh_id, face_id, {pick} from soup group by 1, 2))""".format(
     first=", ".join([f"{c}0 as a{c}" for c in "xyz"] + [f"{c}{i} - {c}0 as {e}{c}" for i, e in ((1, "ab"), (2, "ac")) for c in "xyz"]),
@@ -154,6 +186,8 @@ ORACLES = {
     "degenerate_filter": f"with {SQL_BOX} select mesh_id, 12::bigint as n, 12::bigint as last_tri, 12::bigint as last_face from box",
     "edge_flag_bits": f"with {SQL_TRI} select mesh_id, tri_id::bigint as face_id, ({edge_flags()})::bigint as flags from tri",
     "weld_pairs": f"with {SQL_SOUP} select a.mesh_id, a.vertex_id::bigint as i, b.vertex_id::bigint as j from soup a join soup b on a.mesh_id = b.mesh_id and a.vertex_id < b.vertex_id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 1e-14",
+    "weld_chain_pairs": f"with {SQL_CHAIN} select a.mesh_id, least(a.vertex_id, b.vertex_id)::bigint as i, greatest(a.vertex_id, b.vertex_id)::bigint as j from chain a join chain b on a.mesh_id = b.mesh_id and a.c = b.c and b.r = a.r + 1",
+    "weld_chain_vertices": f"with {SQL_CHAIN}, k as (select mesh_id, min(vertex_id) as root, avg(x) as x, avg(y) as y, avg(z) as z, count(*) as members from chain group by mesh_id, c) select mesh_id, row_number() over (partition by mesh_id order by root) as vertex_id, root::bigint as root, {', '.join(f'round({c}, 6) + 0e0 as {c}' for c in 'xyz')}, members from k",
     "weld_components": f"with {SQL_SOUP}, {_ROOTS} select mesh_id, vertex_id::bigint as vertex_id, root::bigint as root from rooted",
     "weld_vertices": f"{_WELD} select mesh_id, vertex_id, root::bigint as root, {', '.join(f'round({c}, 6) + 0e0 as {c}' for c in 'xyz')}, members from dense",
     "weld_faces": f"{_WELD}, {_NF} select mesh_id, face_id::bigint as face_id, a, b, c from nf",
@@ -162,10 +196,14 @@ ORACLES = {
     "face_adjacency": f"{_WELD}, {_NF}, {_EDGES.format(faces='nf')} select p.mesh_id, p.face_id::bigint as f, q.face_id::bigint as g, (p.s = q.s)::bigint as toggle from e p join e q on p.mesh_id = q.mesh_id and p.lo = q.lo and p.hi = q.hi and p.face_id < q.face_id",
     # outward faces of a convex body look away from its centre: independent of the graph search
     "orient_flips": f"with {SQL_SOUP}, {_FV} select mesh_id, face_id::bigint as face_id, ((ax - tx + (abx+acx)/3)*(aby*acz-abz*acy) + (ay + (aby+acy)/3)*(abz*acx-abx*acz) + (az + (abz+acz)/3)*(abx*acy-aby*acx) < 0)::bigint as flip from fv join (select mesh_id, tx from box) using (mesh_id)",
+    "reorient_metrics": f"with {SQL_BOX} select mesh_id, case kind when 1 then 25e0 when 2 then 100e0 else 0e0 end as flipped_percent from box",
     "component_volume": f"with {SQL_BOX} select mesh_id, round(8 * hx * hy * hz, 6) + 0e0 as volume from box",
     "mesh_centroid": f"with {SQL_BOX} select mesh_id, round(tx, 6) + 0e0 as x, 0e0 as y, 0e0 as z from box",
     "mesh_moments": f"with {SQL_BOX} select mesh_id, round(hx*hx, 6) + 0e0 as xx, 0e0 as xy, 0e0 as xz, round(hy*hy, 6) + 0e0 as yy, 0e0 as yz, round(hz*hz, 6) + 0e0 as zz from box",
     "mesh_axes": f"with {SQL_BOX}, {_AXES} select mesh_id, " + ", ".join(f"(case when p{c} = {j} then {'s' if j == 3 else '1e0'} else 0e0 end) + 0e0 as u{i}{j}" for i, c in enumerate("xyz", 1) for j in (1, 2, 3)) + " from ax",
+    # the columns of the rotation have their largest entries positive, so a turned axis is one of them
+    "turned_axes": f"with {SQL_BOX}, {_AXES} select mesh_id, " + ", ".join(f"round(({' + '.join(f'(case when p{c} = {j} then {float(TURN[i, k])!r}::double else 0e0 end)' for k, c in enumerate('xyz'))}) * {'s' if j == 3 else '1e0'}, 6) + 0e0 as u{i + 1}{j}" for i in range(3) for j in (1, 2, 3)) + " from ax",
+    "turned_canonical": f"with {SQL_BOX}, {_ORDER} select mesh_id, 56::bigint as n, 108::bigint as faces, 0::bigint as flips, round(0.9e0 * h1 / {_R}, 6) as reach_x, round(0.9e0 * h2 / {_R}, 6) as reach_y, round(0.9e0 * h3 / {_R}, 6) as reach_z from ord",
     "mesh_canonical": f"with {SQL_BOX}, {_ORDER} select mesh_id, 8::bigint as n, round(0.9e0 * h1 / {_R}, 6) as reach_x, round(0.9e0 * h2 / {_R}, 6) as reach_y, round(0.9e0 * h3 / {_R}, 6) as reach_z, 0.9e0 as r from ord",
     "bounding_box": "select label::bigint as label, " + ", ".join(f"round({m}(embedding[{i}]::double), 6) + 0e0 as {m}_{c}" for m in ("min", "max") for i, c in enumerate("xyz", 1)) + " from embeddings group by 1",
     "hash_jitter": f"select p_partkey, round({_jx}, 9) + 0e0 as jx, round({_jy}, 9) + 0e0 as jy from part",

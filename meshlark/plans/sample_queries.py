@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlark.functions.expressions import DUCK, box_distance, coordinate, tidy, uniform
+from meshlark.functions.expressions import DUCK, box_distance, coordinate, normal_cdf, normal_quantile, tidy, uniform, with_uniforms
 from meshlark.operators import sdf
 from meshlark.operators import sampling as S
 from meshlark.operators.mesh import triangles
 from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes
 
 N, SAMPLES, KEPT = 8, 24, 5
+#: Wide enough for many offsets to be cut off at the cube.
+SIGMA = 0.8
 PARAMETERS = S.SamplingParameters(samples=SAMPLES, resolution=N)
 
 
@@ -30,8 +32,9 @@ def area_cdf(spark, sf_dir):
 def weighted_draw(spark, sf_dir):
     """For every order, a line drawn with probability in proportion to its quantity."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
-    arrays = S.cdf_arrays(S.cumulated(lines, "l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber")
-    got = S.draw(arrays.select("l_orderkey", F.expr(uniform("l_orderkey", "1", 0)).alias("u")), arrays, "l_orderkey", "u")
+    cdf = S.cumulated(lines, "l_orderkey", "l_linenumber", "l_quantity")
+    orders = with_uniforms(lines.select("l_orderkey").distinct(), "l_orderkey", "1", {"u": 0})
+    got = S.draw(orders, cdf, "l_orderkey", "u", "l_linenumber")
     return got.select("l_orderkey", F.col("pick.l_linenumber").cast("long").alias("l_linenumber"))
 
 
@@ -45,7 +48,7 @@ def surface_samples(spark, sf_dir):
 
 
 def near_surface_samples(spark, sf_dir):
-    got = S.near_surface_samples(S.surface_samples(_tri(spark, sf_dir), 1, SAMPLES), 0.02)
+    got = S.near_surface_samples(S.surface_samples(_tri(spark, sf_dir), 1, SAMPLES), SIGMA)
     return got.selectExpr("mesh_id", "cast(sample_id as bigint) as sample_id", *(f"{tidy(c)} as {c}" for c in "xyz"))
 
 
@@ -70,20 +73,8 @@ def eikonal_subset(spark, sf_dir):
 
 def training_samples(spark, sf_dir):
     """All three strata of every mesh: surface at distance 0, band by sigma, volume; with distances."""
-    tri, planes = _tri(spark, sf_dir), sdf.fields(_tri(spark, sf_dir), N)
-    parts = []
-    for stratum, start, stop, sigma in PARAMETERS.strata():
-        if stratum == "volume":
-            part = S.volume_samples(boxes(spark, sf_dir), start, stop)
-        else:
-            part = S.surface_samples(tri, start, stop)
-            part = part.drop("face") if stratum == "surface" else S.near_surface_samples(part, sigma)
-        parts.append(part.withColumn("stratum", F.lit(stratum)))
-    points = parts[0]
-    for part in parts[1:]:
-        points = points.unionByName(part)
-    got = S.trilinear(points, sdf.field_nodes(planes, N), N, ["mesh_id", "sample_id", "stratum"])
-    got = got.withColumn("sd", F.when(F.col("stratum") == "surface", 0.0).otherwise(F.col("sd")))
+    tri = _tri(spark, sf_dir)
+    got = S.mesh_samples(tri, sdf.fields(tri, N), PARAMETERS)
     return got.groupBy("mesh_id", "stratum").agg(F.count("*").alias("n"), F.avg(F.abs("sd")).alias("d")).selectExpr("mesh_id", "stratum", "n", f"{tidy('d', 5)} as d")
 
 
@@ -98,9 +89,13 @@ best as (select d.mesh_id, d.sample_id, d.u1, d.u2, min(c.tri_id) as face from d
 pts as (select b.mesh_id, sample_id, face, {', '.join(f'a{c} + sqrt(u1)*(1-u2)*ab{c} + sqrt(u1)*u2*ac{c} as {c}' for c in 'xyz')} from best b join cdf c on c.mesh_id = b.mesh_id and c.tri_id = b.face)"""
 
 
-def _normal(k: int) -> list[str]:
-    u = [uniform("mesh_id", "sample_id", 10 + 6 * k + i, DUCK) for i in range(6)]
-    return [f"sqrt(-2e0 * ln({u[2 * i]})) * cos(2e0 * pi() * {u[2 * i + 1]})" for i in range(3)]
+def _near(sigma: str, source: str = "pts") -> str:
+    """Points of ``source`` moved by a cut-off normal of width ``sigma``."""
+    draws = ", ".join(f"{uniform('mesh_id', 'sample_id', 10 + i, DUCK)} as u{c}" for i, c in enumerate("xyz"))
+    ends = ", ".join(f"({at} - {c}) / ({sigma}) as {e}{c}" for c in "xyz" for e, at in (("l", "-1e0"), ("h", "1e0")))
+    shares = ", ".join(f"{normal_cdf(f'{e}{c}')} as p{e}{c}" for c in "xyz" for e in "lh")
+    return f"""n1 as (select *, {draws}, {ends} from {source}), n2 as (select *, {shares} from n1), n3 as (select *, {', '.join(f'pl{c} + u{c} * (ph{c} - pl{c}) as q{c}' for c in 'xyz')} from n2),
+near as (select * replace ({', '.join(f'greatest(-1e0, least(1e0, {c} + ({sigma}) * {normal_quantile(f"q{c}")})) as {c}' for c in 'xyz')}) from n3)"""
 
 
 _VOLUME = f"vol as (select mesh_id, sample_id, {', '.join(f'2e0 * {u} - 1e0 as {c}' for u, c in zip(_U, 'xyz'))} from (select mesh_id, unnest(range(1, {SAMPLES + 1})) as sample_id from box))"
@@ -110,6 +105,9 @@ _BLEND = " + ".join(
     "(" + " * ".join(f"(f{c} - c{c})" if o else f"(1 - (f{c} - c{c}))" for c, o in zip("xyz", (i, j, k))) + f") * {box_distance(*(coordinate(f'(c{c} + {o})', N) for c, o in zip('xyz', (i, j, k))))}"
     for i in (0, 1) for j in (0, 1) for k in (0, 1)
 )
+_STRATA = PARAMETERS.strata()
+_OF = "case " + " ".join(f"when sample_id <= {stop} then '{stratum}'" for stratum, _, stop, _ in _STRATA) + " end"
+_WIDTH = "case " + " ".join(f"when sample_id <= {stop} then {sigma!r}::double" for _, _, stop, sigma in _STRATA if sigma or stop == _STRATA[0][2]) + " else 1e0 end"
 _SD = f"with {SQL_BOX}, {_VOLUME}, {_CELL}, sds as (select mesh_id, sample_id, {_BLEND} as sd from cell)"
 ORACLES = {
     "area_weights": f"with {SQL_TRI}, {_CDF} select mesh_id, tri_id::bigint as tri_id, round(weight, 6) + 0e0 as weight from cdf",
@@ -117,7 +115,8 @@ ORACLES = {
     "weighted_draw": f"with c as (select l_orderkey, l_linenumber, sum(l_quantity) over (partition by l_orderkey order by l_linenumber rows unbounded preceding) / sum(l_quantity) over (partition by l_orderkey) as hi from lineitem) select l_orderkey, min(l_linenumber)::bigint as l_linenumber from c where {uniform('l_orderkey', '1', 0, DUCK)} < hi group by 1",
     "sample_strata": "select * from (values ('surface', 1::bigint, 26214::bigint, 0e0), ('band', 26215, 58327, 0.007843), ('band', 58328, 85852, 0.031373), ('band', 85853, 104202, 0.062745), ('band', 104203, 117965, 0.094118), ('volume', 117966, 131072, 0e0)) t(stratum, start, stop, sigma)",
     "surface_samples": f"{_POINTS} select mesh_id, sample_id, face::bigint as face, {', '.join(f'round({c}, 6) + 0e0 as {c}' for c in 'xyz')} from pts",
-    "near_surface_samples": f"{_POINTS} select mesh_id, sample_id, {', '.join(f'round({c} + 0.02e0 * {g}, 6) + 0e0 as {c}' for c, g in zip('xyz', _normal(0)))} from pts",
+    "near_surface_samples": f"{_POINTS}, {_near(f'{SIGMA!r}::double')} select mesh_id, sample_id, {', '.join(f'round({c}, 6) + 0e0 as {c}' for c in 'xyz')} from near",
+    "training_samples": f"{_POINTS}, {_near(_WIDTH, '(select * from pts where sample_id > %d)' % _STRATA[0][2])}, {_VOLUME.replace('vol as', 'cube as')}, vol as (select mesh_id, sample_id, x, y, z from cube where {_OF} = 'volume' union all select mesh_id, sample_id, x, y, z from near where {_OF} = 'band' union all select mesh_id, sample_id, x, y, z from pts where {_OF} = 'surface'), {_CELL} select mesh_id, {_OF} as stratum, count(*) as n, round(avg(case when {_OF} = 'surface' then 0 else abs({_BLEND}) end), 5) + 0e0 as d from cell group by 1, 2",
     "volume_samples": f"with {SQL_BOX}, {_VOLUME} select mesh_id, sample_id, {', '.join(f'round({c}, 6) + 0e0 as {c}' for c in 'xyz')} from vol",
     "trilinear_lookup": f"{_SD} select mesh_id, sample_id, round(sd, 5) + 0e0 as sd from sds",
     "eikonal_subset": f"{_SD} select mesh_id, sample_id from sds where abs(sd) > 0.5 qualify row_number() over (partition by mesh_id order by {uniform('mesh_id', 'sample_id', 99, DUCK)}, sample_id) <= {KEPT}",

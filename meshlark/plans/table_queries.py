@@ -46,6 +46,12 @@ def split_train_val_test(spark, sf_dir):
     return T.positional_split(_read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", HELD).select("vec_id", "split")
 
 
+def first_test_mesh(spark, sf_dir):
+    """The first row of the test split."""
+    rows = T.positional_split(_read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", HELD).where("split = 'test'")
+    return T.first_row(rows, "vec_id").selectExpr("vec_id", "cast(label as bigint) as label")
+
+
 def param_mean_std(spark, sf_dir):
     rows = T.positional_split(_read(spark, sf_dir, "embeddings"), "vec_id", HELD).where("split <> 'test'")
     return T.parameter_statistics(rows, "embedding", 4).selectExpr("cast(dim as bigint) as dim", f"{tidy('mean')} as mean", f"{tidy('std')} as std")
@@ -68,7 +74,7 @@ def prefix_xor_events(spark, sf_dir):
 
 
 def prefix_offsets_events(spark, sf_dir):
-    return T.counts_and_offsets(_read(spark, sf_dir, "events").select("event_type", "user_id"), "event_type", "user_id")
+    return T.counts_and_offsets(_read(spark, sf_dir, "events").select("event_type", "user_id"), "user_id", "event_type")
 
 
 def best_checkpoint(spark, sf_dir):
@@ -90,7 +96,7 @@ def dataset_loss(spark, sf_dir):
     return clamped_l1(spark, sf_dir).agg(F.avg("loss").alias("loss")).selectExpr(f"{tidy('loss', 5)} as loss")
 
 
-QUERIES = {f.__name__: f for f in (extract_trailing_id, delimited_params, param_join_audit, batch_union, dedupe_last_by_key, split_train_val_test, param_mean_std, param_standardise, shuffle_order, prefix_xor_events, prefix_offsets_events, best_checkpoint, clamped_l1, dataset_loss)}
+QUERIES = {f.__name__: f for f in (extract_trailing_id, delimited_params, param_join_audit, batch_union, dedupe_last_by_key, split_train_val_test, first_test_mesh, param_mean_std, param_standardise, shuffle_order, prefix_xor_events, prefix_offsets_events, best_checkpoint, clamped_l1, dataset_loss)}
 
 _CLAMP = "select l_suppkey, round(avg(abs(greatest(-0.05e0, least(0.05e0, l_discount - 0.04e0)) - greatest(-0.05e0, least(0.05e0, l_tax - 0.04e0)))), 6) + 0e0 as loss from lineitem group by 1"
 _STATS = ", ".join(f"avg(embedding[{i}]::double) as m{i}, stddev_samp(embedding[{i}]::double) as s{i}" for i in range(1, 5))
@@ -101,11 +107,12 @@ ORACLES = {
     "batch_union": "select 1::bigint as batch, c_custkey as id, c_acctbal as value from customer union all select 2, p_partkey, p_retailprice from part",
     "dedupe_last_by_key": "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
     "split_train_val_test": f"select vec_id, case when r <= {HELD} then 'test' when r <= {2 * HELD} then 'val' else 'train' end as split from (select vec_id, row_number() over (order by vec_id desc) as r from embeddings)",
+    "first_test_mesh": f"select vec_id, label::bigint as label from (select * from embeddings order by vec_id desc limit {HELD}) order by vec_id limit 1",
     "param_mean_std": f"with e as (select embedding, row_number() over (order by vec_id desc) as r from embeddings), s as (select {_STATS} from e where r > {HELD}) " + " union all ".join(f"select {i}::bigint as dim, round(m{i}, 6) + 0e0 as mean, round(s{i}, 6) + 0e0 as std from s" for i in range(1, 5)),
     "param_standardise": f"with s as (select {_STATS} from embeddings) select vec_id, " + ", ".join(f"round((embedding[{i}]::double - m{i}) / s{i}, 6) + 0e0 as p{i}" for i in range(1, 5)) + " from embeddings, s",
     "shuffle_order": f"select o_orderkey, {u32_hash('((o_orderkey * 2654435761 + 7) & 4294967295)', DUCK)} as key from orders",
     "prefix_xor_events": "select event_id, (sum((event_type = 'click')::bigint) over (partition by user_id order by ts, event_id rows unbounded preceding) % 2)::bigint as state from events",
-    "prefix_offsets_events": "select event_type, user_id, n, (sum(n) over (partition by event_type order by user_id rows unbounded preceding) - n + 1)::bigint as first from (select event_type, user_id, count(*) as n from events group by 1, 2)",
+    "prefix_offsets_events": "select event_type, user_id, n, (sum(n) over (partition by user_id order by event_type rows unbounded preceding) - n + 1)::bigint as first from (select event_type, user_id, count(*) as n from events group by 1, 2)",
     "best_checkpoint": "select event_id, round(min(value) over w, 6) + 0e0 as best, coalesce(value < min(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), true) as improved from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)",
     "clamped_l1": _CLAMP,
     "dataset_loss": f"select round(avg(loss), 5) + 0e0 as loss from ({_CLAMP})",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,16 @@ VERTEX = re.compile(rb"vertex\s+(%b)\s+(%b)\s+(%b)" % (NUMBER, NUMBER, NUMBER))
 
 
 def decode_stl(data: bytes) -> np.ndarray:
-    """Corners (T, 3, 3). The size a binary header announces tells the two kinds apart."""
-    if len(data) >= 84 and len(data) == 84 + 50 * int.from_bytes(data[80:84], "little"):
-        return np.frombuffer(data, FACET, offset=84)["corners"].astype(float)
-    if not data.lstrip().startswith(b"solid"):
+    """Corners (T, 3, 3). A binary file is as long as its header announces, or longer (some writers add
+    bytes) unless it reads as text, whose header may be that of either kind."""
+    many = int.from_bytes(data[80:84], "little")
+    rest = len(data) - 84 - 50 * many if len(data) >= 84 else -1
+    text = data.lstrip().startswith(b"solid") and (VERTEX.search(data) or b"endsolid" in data)
+    if rest == 0 or rest > 0 and not text:
+        return np.frombuffer(data, FACET, many, 84)["corners"].astype(float)
+    if not text:
         raise ValueError("not an STL file")
-    found = np.array(VERTEX.findall(data), dtype="S32").astype(float) if VERTEX.search(data) else np.zeros((0, 3))
+    found = np.array([[float(x) for x in v] for v in VERTEX.findall(data)]).reshape(-1, 3)
     if len(found) % 3:
         raise ValueError("an STL facet has three vertices")
     return found.reshape(-1, 3, 3)
@@ -65,9 +70,23 @@ def read_parameters(spark: SparkSession, path: str, sep: str | None = ",") -> Da
     return parse_delimited(spark.read.text(path).where("trim(value) <> ''"), "value", sep)
 
 
+def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that ``sinks.write_dataset`` stored."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    return {s.getPath().getName(): spark.read.parquet(str(s.getPath())) for s in found if s.isDirectory()}
+
+
 def read_batch(spark: SparkSession, table: str, meshes: str, folder: str, sep: str | None = ",") -> tuple[DataFrame, DataFrame]:
-    """Facets and parameters of a batch; a folder without a row in the table is an error."""
+    """Facets and parameters of a batch. A folder without a row in the table is an error, rows without
+    a folder are a warning; of folders with one number the last by name counts."""
     facets, params = read_stl(spark, meshes, folder), read_parameters(spark, table, sep)
+    last = facets.select("mesh_id", "path").groupBy("mesh_id").agg(F.max("path").alias("_path"))
+    facets = facets.join(last.withColumnRenamed("mesh_id", "_id"), (F.col("mesh_id") == F.col("_id")) & (F.col("path") == F.col("_path"))).drop("_id", "_path")
+    spare = params.join(facets.select("mesh_id").distinct(), "mesh_id", "left_anti").count()
+    if spare:
+        warnings.warn(f"{spare} rows of the table have no mesh", stacklevel=2)
     lost = integrity_join(facets.select("mesh_id").distinct(), params, "mesh_id", "mesh_id").where("not matched").limit(5).collect()
     if lost:
         raise ValueError(f"no parameters for meshes {[r[0] for r in lost]}")

@@ -10,7 +10,7 @@ def write_dataset(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet table each; grids are split by mesh so that a mesh is read alone."""
     for name, df in tables.items():
         w = df.write.mode("overwrite")
-        (w.partitionBy("mesh_id") if name == "grid" else w).parquet(f"{path.rstrip('/')}/{name}")
+        (w.partitionBy("mesh_id") if name in ("grid", "planes") else w).parquet(f"{path.rstrip('/')}/{name}")
 
 
 def write_split(samplers: DataFrame, path: str) -> None:
