@@ -1,11 +1,14 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of the vectors of each length gives ``PIVOTS`` reference points, chosen farthest
-first; vectors of different lengths are never compared. A vector is
-described by the ordered list of its ``PREFIX`` nearest references; inverted lists hold vectors by
-label and by every ``SHARED`` references of that prefix, so two vectors meet exactly if they share so
-many; every vector is indexed. A pair that meets in several lists counts in one, that of its first
-shared references, and is verified by its cosine in double precision.
+A bounded sample of the vectors of each length gives the reference points, chosen farthest first;
+vectors of different lengths are never compared. There are as many as ``GROWTH`` times the square root
+of the number of vectors (from ``PIVOTS`` to ``MOST``), so that the lists, of which there are about
+half its square, stay as long as they are. A vector is described by the ordered list of its ``PREFIX``
+nearest references; inverted lists hold vectors by label and by every ``SHARED`` references of that
+prefix, so two vectors meet exactly if they share so many; every vector is indexed. A pair that meets
+in several lists counts in one, that of its least shared references, and is verified by its cosine in
+double precision. Lists carry the vectors: pairs of ids, to be joined with vectors later, would be some
+hundred a vector.
 
 Equal vectors of one label are one class; only classes are compared. Lists over ``BLOCK`` classes are
 cut into salted parts, and pairs of parts are separate groups of bounded size. Large groups emit
@@ -30,19 +33,30 @@ from meshlark.llm.sampling import bounded_sample
 from meshlark.operators.graph import connected_components
 from meshlark.storage import checkpoint
 
-SAMPLE, PIVOTS, PREFIX, SHARED, BLOCK = 2048, 32, 6, 3, 1024
+SAMPLE, PIVOTS, MOST, GROWTH, PREFIX, SHARED, BLOCK = 2048, 32, 512, 0.6, 7, 2, 1024
 LEAST, SHORT, ROWS = 0.93, 24, 4096
+APART = 0.8
+DIGIT = np.int64(9)  # bits of a reference's number
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # squares of large components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def pivot_count(vectors: int) -> int:
+    return min(MOST, max(PIVOTS, int(np.ceil(GROWTH * vectors**0.5))))
+
+
 def references(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    """Farthest-first choice among unit vectors, from the first row on."""
+    """Farthest-first choice among unit vectors, from the first row on. Past the first ``PIVOTS`` it
+    ends where all that is left has a reference within ``APART``: among references as near as that,
+    whose order noise would decide, close vectors would share too few."""
     chosen, near = [0], sample @ sample[0]
     while len(chosen) < min(count, len(sample)):
+        if len(chosen) >= PIVOTS and near.min() >= APART:
+            break
         chosen.append(int(near.argmin()))
         near = np.maximum(near, sample @ sample[chosen[-1]])
     return sample[chosen]
@@ -53,68 +67,79 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, size: int = PREFIX) -> np.ndarra
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :size]
 
 
-def masks(prefix: np.ndarray) -> np.ndarray:
-    return np.bitwise_or.reduce(np.uint64(1) << prefix.astype(np.uint64), axis=1)
+def packed(numbers: np.ndarray) -> np.ndarray:
+    """Rows of rising reference numbers as one integer each, the first in the lowest digit."""
+    out = np.zeros(len(numbers), np.int64)
+    for k in range(numbers.shape[1]):
+        out |= numbers[:, k].astype(np.int64) << DIGIT * k
+    return out
 
 
-def list_masks(prefix: np.ndarray, shared: int = SHARED) -> np.ndarray:
-    """Of each vector, the masks of all sets of ``shared`` references in its prefix."""
-    return np.stack([masks(prefix[:, list(c)]) for c in combinations(range(prefix.shape[1]), min(shared, prefix.shape[1]))], axis=1)
+def unpacked(own: np.ndarray, size: int) -> np.ndarray:
+    return own[..., None] >> DIGIT * np.arange(size) & ((1 << DIGIT) - 1)
 
 
-def first_shared(both: np.ndarray, shared: int) -> np.ndarray:
-    """The lowest ``shared`` bits of each mask."""
-    out, rest = np.zeros_like(both), both.copy()
-    for _ in range(shared):
-        low = rest & (~rest + np.uint64(1))
-        out |= low
-        rest ^= low
-    return out
+def list_keys(prefix: np.ndarray, shared: int = SHARED) -> np.ndarray:
+    """Of each vector, the keys of all sets of ``shared`` references in its prefix."""
+    rising = np.sort(prefix, axis=1)
+    return np.stack([packed(rising[:, list(c)]) for c in combinations(range(prefix.shape[1]), min(shared, prefix.shape[1]))], axis=1)
 
 
-def stacked(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
+def first_shared(a: np.ndarray, b: np.ndarray, size: int, shared: int) -> np.ndarray:
+    """The key of the ``shared`` least references that two packed prefixes have in common."""
+    x, y = unpacked(a, size), unpacked(b, size)
+    common = (x[..., :, None] == y[..., None, :]).any(axis=-1)
+    place = np.cumsum(common, axis=-1)
+    return np.where(common & (place <= shared), x << DIGIT * np.maximum(place - 1, 0), 0).sum(axis=-1)
 
 
-def widths(column: pa.Array) -> np.ndarray:
+def stacked(column: pa.Array, width: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def widths(column: pa.Array, kind) -> np.ndarray:
     """The number of components of each packed vector."""
-    return np.fromiter(map(len, column.to_pylist()), np.int32, len(column)) // 4
+    return np.fromiter(map(len, column.to_pylist()), np.int32, len(column)) // np.dtype(kind).itemsize
 
 
-def _index(pivots: dict[int, np.ndarray], shared: int):
+def _index(pivots: dict[int, np.ndarray], shared: int, kind):
     """Rows of every list; ``pivots`` holds the references by length."""
 
     def run(batches):
         for whole in batches:
-            width = widths(whole.column("v"))
+            width = widths(whole.column("v"), kind)
             for w in np.unique(width).tolist():
                 batch = whole.filter(pa.array(width == w))
-                x = unit(stacked(batch.column("v"), w))
+                x = unit(stacked(batch.column("v"), w, kind))
                 prefix = prefixes(x, pivots[w])
-                keys, own = list_masks(prefix, shared), masks(prefix)
+                keys, own = list_keys(prefix, shared), packed(np.sort(prefix, axis=1))
                 for at in range(0, len(x), ROWS):
                     part = keys[at : at + ROWS]
                     row = pa.array(np.repeat(np.arange(at, at + len(part)), part.shape[1]))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("label", "cid", "vh", "mult", "v")), pa.array(np.full(len(row), w, np.int32)), pa.array(own.view(np.int64)).take(row), pa.array(part.ravel().view(np.int64))], ["label", "cid", "vh", "mult", "v", "width", "own", "list"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("label", "cid", "vh", "mult", "v")), pa.array(np.full(len(row), w, np.int32)), pa.array(own).take(row), pa.array(part.ravel())], ["label", "cid", "vh", "mult", "v", "width", "own", "list"])
 
     return run
 
 
-def _compare(shared: dict[int, int], least: float):
+def _compare(size: dict[int, int], shared: int, least: float, kind):
     """Verify the pairs of each run of equal ``width, label, list, pa, pb``: ``(cid, vh, links, dst)`` rows.
-    ``shared`` is, by length, how many references a list stands for; calls take vectors of one length."""
+    ``size`` is, by length, how many references a prefix has; calls take vectors of one length."""
+
+    def here(d, a, b):
+        """Whether a pair is counted in this list and in this pair of its parts."""
+        many = size[int(d["width"][0])]
+        return (first_shared(d["own"][a], d["own"][b], many, min(shared, many)) == d["list"][a]) & ((d["pa"][a] == d["pb"][a]) | (d["part"][a] != d["part"][b]))
 
     def pairs_small(d, x, a, b):
-        """Pairs that are counted here and verified."""
-        both = first_shared(d["own"][a] & d["own"][b], shared[int(d["width"][0])])
-        keep = (both == d["list"][a]) & ((d["pa"][a] == d["pb"][a]) | (d["part"][a] != d["part"][b]))
-        a, b = a[keep], b[keep]
+        """Pairs that are verified and counted here."""
         keep = np.einsum("ij,ij->i", x[a], x[b]) >= least
+        a, b = a[keep], b[keep]
+        keep = here(d, a, b)
         return a[keep], b[keep]
 
     def large(d, x, s, e):
         """Counts and spanning links of one run."""
-        own, part, n = d["own"][s:e], d["part"][s:e], e - s
+        n = e - s
         close = np.zeros((n, n), bool)
         for i in range(0, n, 512):
             close[i : i + 512] = x[s + i : min(s + i + 512, e)] @ x[s:e].T >= least
@@ -127,11 +152,11 @@ def _compare(shared: dict[int, int], least: float):
                 break
             label = low
         counted = np.zeros(n, np.int64)
-        for i in range(0, n, 512):
-            here = close[i : i + 512] & (first_shared((own[i : i + 512, None] & own[None, :]).ravel(), shared[int(d["width"][0])]).reshape(-1, n) == d["list"][s])
-            if d["pa"][s] != d["pb"][s]:
-                here &= part[i : i + 512, None] != part[None, :]
-            counted[i : i + 512] = here @ d["mult"][s:e]
+        for i in range(0, n, 64):
+            a, b = np.nonzero(close[i : i + 64])
+            a, b = a + (s + i), b + s
+            keep = here(d, a, b)
+            np.add.at(counted, a[keep] - s, d["mult"][b[keep]])
         return counted, label
 
     def made(d):
@@ -175,8 +200,7 @@ def _compare(shared: dict[int, int], least: float):
         held = None
         for part in pieces(batches):
             now = {c: part.column(c).to_numpy(zero_copy_only=False) for c in names}
-            now["own"], now["list"] = now["own"].astype(np.int64).view(np.uint64), now["list"].astype(np.int64).view(np.uint64)
-            now["v"] = stacked(part.column("v"), int(now["width"][0]))
+            now["v"] = stacked(part.column("v"), int(now["width"][0]), kind)
             if held is not None and held["width"][0] != now["width"][0]:
                 yield made(held)
                 held = None
@@ -194,27 +218,30 @@ def _compare(shared: dict[int, int], least: float):
 
 
 def learn(rows: DataFrame) -> dict[int, np.ndarray]:
-    """References by length, for every length of ``rows(vec_id, e)``: a bounded sample a length."""
+    """References by length, for every length of ``rows(vec_id, e)``: a bounded sample a length (a small
+    job each)."""
     found = {}
     for r in rows.groupBy(F.size("e").alias("width")).count().orderBy("width").collect():
         sample = [x["e"] for x in bounded_sample(rows.where(F.size("e") == r["width"]), "vec_id", SAMPLE).collect()]
-        found[r["width"]] = references(unit(np.array(sample, np.float32)))
+        found[r["width"]] = references(unit(np.array(sample)), pivot_count(r["count"]))
     return found
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST, shared: int = SHARED) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row a vector."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("e"), F.col(label_col).cast("long").alias("label"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("e"), F.col(label_col).cast("long").alias("label"))
     x = F.col("e")
     finite = F.forall(x, lambda y: F.coalesce(~F.isnan(y) & (F.abs(y) < float("inf")), F.lit(False)))
     good = F.coalesce(x.isNotNull() & finite & F.exists(x, lambda y: y != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = rows.withColumn("good", good).withColumn("vh", F.when(F.col("good"), F.xxhash64("label", "e")))
     pivots = learn(rows.where("good").select("vec_id", "e"))
     classes = rows.where("good").groupBy("label", "e", "vh").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
-    packed = classes.select("label", "cid", "vh", "mult", "e").mapInArrow(_pack, "label long, cid long, vh long, mult long, v binary")
-    packed = checkpoint(packed)
-    lists = packed.mapInArrow(_index(pivots, shared), "label long, cid long, vh long, mult long, v binary, width int, own long, list long")
-    keys = packed.mapInArrow(_index(pivots, shared), "label long, cid long, vh long, mult long, v binary, width int, own long, list long").groupBy("width", "label", "list").agg(F.count("*").alias("n")).where("n > 1")
+    held = classes.select("label", "cid", "vh", "mult", "e").mapInArrow(_pack(kind), "label long, cid long, vh long, mult long, v binary")
+    held = checkpoint(held)
+    lists = held.mapInArrow(_index(pivots, shared, kind), "label long, cid long, vh long, mult long, v binary, width int, own long, list long")
+    keys = held.mapInArrow(_index(pivots, shared, kind), "label long, cid long, vh long, mult long, v binary, width int, own long, list long").groupBy("width", "label", "list").agg(F.count("*").alias("n")).where("n > 1")
     keys = keys.select(F.col("width").alias("_width"), F.col("label").alias("_label"), F.col("list").alias("_list"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     lists = lists.join(keys, (F.col("width") == F.col("_width")) & (F.col("label") == F.col("_label")) & (F.col("list") == F.col("_list"))).drop("_width", "_label", "_list")
     part = F.pmod(F.xxhash64("cid", "vh"), F.col("parts")).cast("int")
@@ -222,7 +249,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     lists = lists.withColumn("pa", F.least("part", "other")).withColumn("pb", F.greatest("part", "other")).drop("other", "parts")
     group = ["width", "label", "list", "pa", "pb"]
     met = lists.repartition(*group).sortWithinPartitions(*group)
-    found = checkpoint(met.mapInArrow(_compare({w: min(shared, PREFIX, len(x)) for w, x in pivots.items()}, least), "cid long, vh long, links long, dst long"))
+    found = checkpoint(met.mapInArrow(_compare({w: min(PREFIX, len(x)) for w, x in pivots.items()}, shared, least, kind), "cid long, vh long, links long, dst long"))
     degree = found.groupBy("cid", "vh").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("cid <> dst").select("cid", "dst").distinct(), "cid", "dst")
     out = rows.join(classes.select(F.col("label").alias("l2"), F.col("vh").alias("v2"), F.col("e").alias("e2"), "cid", "mult"), (F.col("label") == F.col("l2")) & (F.col("vh") == F.col("v2")) & (F.col("e") == F.col("e2")), "left")
@@ -232,13 +259,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("mult", F.lit(1)) - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _pack(batches):
-    for batch in batches:
-        e = batch.column("e")
-        off = e.offsets.to_numpy()
-        data = e.values.to_numpy(zero_copy_only=False).astype(np.float32)
-        v = [data[off[i] : off[i + 1]].tobytes() for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "cid", "vh", "mult")] + [pa.array(v, pa.binary())], ["label", "cid", "vh", "mult", "v"])
+def _pack(kind):
+    def run(batches):
+        for batch in batches:
+            e = batch.column("e")
+            off = e.offsets.to_numpy()
+            data = e.values.to_numpy(zero_copy_only=False).astype(kind)
+            v = [data[off[i] : off[i + 1]].tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "cid", "vh", "mult")] + [pa.array(v, pa.binary())], ["label", "cid", "vh", "mult", "v"])
+
+    return run
 
 
 def op9(spark, sf_dir):
