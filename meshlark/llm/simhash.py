@@ -6,7 +6,9 @@ code [31, 26] of covering radius 1, times the free 32nd bit. A fingerprint is at
 anchor and is replicated to every anchor within radius plus threshold: 1 + 1 in the code's bits
 (one or 16 anchors) or 1 with the free bit turned. So the home of one of two linked fingerprints
 always meets a replica of the other. Distinct fingerprints are compared, not documents, so copies
-cost nothing; an anchor emits links that span what it connects rather than all pairs.
+cost nothing; an anchor emits links that span what it connects rather than all pairs. The fingerprints
+of an anchor with more than ``BLOCK`` are dealt into parts by hash, and every pair of parts is a group
+of its own, so that no task holds more than two parts of one anchor.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like any other; texts of
 fewer than ``words`` words hash as a whole; of very long texts every shingle counts, bits being added
@@ -19,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlark.llm.common import flat, with_row_key
@@ -28,6 +30,7 @@ from meshlark.storage import checkpoint
 
 SEED, WORDS, MOST = 42, 3, 3
 LONG_RUN = 96
+BLOCK = 1024
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -158,6 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpoint(fingerprints(docs, id_col, text_col, words))
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     met = each.select("fp").mapInArrow(_replicas, "anchor long, fp long")
+    size = met.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1").withColumnRenamed("anchor", "_anchor")
+    met = met.join(size, F.col("anchor") == F.col("_anchor"), "left").drop("_anchor").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+    many = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("anchor", F.least(k, "part"), F.greatest(k, "part")))
+    met = met.select(F.explode(F.when(F.col("parts").isNull(), F.array("anchor")).otherwise(many)).alias("anchor"), "fp")
     met = met.repartition("anchor").sortWithinPartitions("anchor")
     links = met.mapInArrow(_links(most), "src long, dst long").distinct()
     part = checkpoint(connected_components(links)).withColumnRenamed("node", "fp")
@@ -169,7 +176,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, all columns, of which none is linked to another: of each group the row
-    of smallest id stays (of equal ids that of least text hash, of equal rows one)."""
+    of smallest id stays (of equal ids that of least text hash, of equal texts that whose columns come
+    first as JSON)."""
     found = near_duplicates(docs, id_col, text_col, words, most)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     stay = checkpoint(found.join(first.withColumnRenamed("component", "_c"), (F.col("component") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).groupBy("doc_id", "th").agg(F.count("*").alias("same")))
@@ -177,8 +185,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = stay.select(F.col("doc_id").alias("_stay_id"), F.col("th").alias("_stay_th"))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay_id")) & (key == F.col("_stay_th")))
-    if again:  # equal rows: one of them
-        kept = kept.dropDuplicates(["_stay_id", "_stay_th"])
+    if again:  # rows equal in id and text: the same one of them whatever the partitioning
+        order = Window.partitionBy("_stay_id", "_stay_th").orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+        kept = kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     return kept.drop("_stay_id", "_stay_th")
 
 
