@@ -221,7 +221,9 @@ def plain_components(nodes, linked):
     return [min((i for i in low[x] if i is not None), default=None) for x in label]
 
 
-def test_simhash(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 12])
+def test_simhash(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     docs = [(i, t) for i, t, *_ in rows()]
     rng = random.Random(5)
     base = words(rng, 400)
@@ -261,6 +263,13 @@ def test_simhash_long_runs_agree_with_short_ones(spark, monkeypatch):
         assert got == label
 
 
+def test_one_of_equal_texts_is_the_same_everywhere(spark):
+    text = " ".join(words(random.Random(3), 40))
+    df = spark.createDataFrame([(1, text, s) for s in ("c", "a", "b")], "doc_id long, text string, source string")
+    for n in (1, 3):
+        assert [r.source for r in simhash.one_of_each(df.repartition(n)).collect()] == ["a"]
+
+
 def test_one_of_each(spark):
     got = [(r.doc_id, r.text) for r in simhash.one_of_each(documents(spark, clash=True)).collect()]
     docs = [(i, t) for i, t, *_ in rows()]
@@ -274,7 +283,7 @@ def test_one_of_each(spark):
         assert any(i == least for i, t in got if (i, t) in own)
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((5, 16))
     data, k = [], 0
@@ -296,12 +305,12 @@ def test_vectors(spark):
         if label[a] != label[b]:
             old, new = label[a], label[b]
             label = [new if q == old else q for q in label]
-    for block in (embedding_dedup.BLOCK, 16):
-        embedding_dedup.BLOCK, kept = block, embedding_dedup.BLOCK
-        try:
-            got = embedding_dedup.near_duplicates(df).collect()
-        finally:
-            embedding_dedup.BLOCK = kept
+    large = df.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double") * 1e200))
+    for block, growth, table in ((embedding_dedup.BLOCK, embedding_dedup.GROWTH, df), (16, embedding_dedup.GROWTH, df), (embedding_dedup.BLOCK, 20, large)):
+        with monkeypatch.context() as m:
+            m.setattr(embedding_dedup, "BLOCK", block)
+            m.setattr(embedding_dedup, "GROWTH", growth)
+            got = embedding_dedup.near_duplicates(table).collect()
         assert len(got) == len(data)
         low = {}
         for g, q in zip(good, label):
@@ -315,6 +324,21 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_packed_prefixes():
+    """Lists of a vector, and the least references two of them share, against sets."""
+    rng = np.random.default_rng(1)
+    prefix = np.stack([rng.permutation(30)[:7] for _ in range(60)])
+    own, keys = embedding_dedup.packed(np.sort(prefix, axis=1)), embedding_dedup.list_keys(prefix)
+    for i in range(60):
+        assert len(set(keys[i].tolist())) == 21
+        for j in range(60):
+            low = sorted(set(prefix[i].tolist()) & set(prefix[j].tolist()))[:2]
+            if len(low) == 2:
+                got = int(embedding_dedup.first_shared(own[i : i + 1], own[j : j + 1], 7, 2)[0])
+                assert got == low[0] | low[1] << 9 and got in keys[i] and got in keys[j]
+    assert [embedding_dedup.pivot_count(n) for n in (0, 10_000, 10**9)] == [32, 60, 512]
+
+
 def test_vectors_of_every_length_link(spark):
     """Three lengths in one table, the rare one and one malformed row included: each row has its links."""
     rng, data = np.random.default_rng(8), []
