@@ -3,7 +3,7 @@
 zstandard ratios (bytes over compressed bytes, level ``LEVEL``) of the whole text and of its chunks of
 ``CHUNK`` bytes must lie in bands: a high ratio means repetitive text, a low one incompressible text.
 Short texts compress worse, so limits go by length. A text passes if the whole is in its band and at
-most ``BAD_CHUNKS`` of its whole chunks are out of theirs. The upper limits lie above real prose of
+most ``BAD_CHUNKS`` of the chunks are out of theirs; texts of one chunk or less have none. The upper limits lie above real prose of
 several scripts (README), those that compress best among them: Cyrillic and technical manuals.
 
 Defined cases: null text has no words and fails the base rule; a text too short for the first band
@@ -60,13 +60,14 @@ def band(size: int) -> tuple[float, float] | None:
 
 
 def ratios(text: bytes, press) -> tuple[float, int, int]:
-    """Ratio of the whole, whole chunks out of their band, whole chunks."""
+    """Ratio of the whole, chunks out of their band, chunks. The last chunk ends where the text ends, so
+    that every byte is in one."""
     whole = len(text) / len(press(text)) if text else 0.0
-    chunks = len(text) // CHUNK
-    if chunks < 2:
-        return whole, 0, chunks
-    bad = sum(not CHUNK_BAND[0] <= CHUNK / len(press(text[i * CHUNK : (i + 1) * CHUNK])) <= CHUNK_BAND[1] for i in range(chunks))
-    return whole, bad, chunks
+    if len(text) <= CHUNK:
+        return whole, 0, 0
+    at = [*range(0, len(text) - CHUNK, CHUNK), len(text) - CHUNK]
+    bad = sum(not CHUNK_BAND[0] <= CHUNK / len(press(text[i : i + CHUNK])) <= CHUNK_BAND[1] for i in at)
+    return whole, bad, len(at)
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

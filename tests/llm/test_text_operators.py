@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -102,6 +103,26 @@ def test_rules(spark):
     assert quality_rules.ratios(b"", None) == (0.0, 0, 0)
 
 
+def plain_bands(text):
+    size = lambda b: len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(b))
+    limits = [(low, high) for least, low, high in quality_rules.BANDS if len(text) >= least][-1:]
+    parts = [text[i : i + 4096] for i in range(0, len(text) // 4096 * 4096, 4096)] + [text[-4096:]] * (len(text) % 4096 > 0)
+    bad = sum(not 1.5 <= 4096 / size(p) <= 4.2 for p in parts) if len(text) > 4096 else 0
+    return all(low <= len(text) / size(text) <= high for low, high in limits) and 2 * bad <= len(parts)
+
+
+def test_kept_against_a_plain_verdict(spark):
+    """The verdict of the method: base rule, band of the whole text, bands of its chunks to the last byte."""
+    rng = np.random.default_rng(4)
+    noise = lambda n: "".join(map(chr, rng.integers(33, 127, n)))
+    prose = " ".join(t for t in topics.values())
+    texts = [prose[k : k + n] for k, n in ((0, 255), (300, 256), (900, 4096), (5000, 4097), (20000, 8191), (40000, 8192), (60000, 30000), (0, 200_000))]
+    texts += [f"{prose[:5000]} {noise(n)}" for n in (2000, 6000, 20000)] + [" ".join(noise(7) for _ in range(n)) for n in (100, 2000)] + [prose[:3000] + "same old line again\n" * k for k in (20, 300)] + TEXTS
+    got = {r.doc_id: r for r in quality_rules.rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].kept for i in range(len(texts))] == [not got[i].base_failed and plain_bands(t.encode()) for i, t in enumerate(texts)]
+    assert 5 < sum(r.kept for r in got.values()) and any(not r.kept and not r.base_failed for r in got.values())
+
+
 def test_rules_keep_real_prose(spark):
     """Manuals and measured ratios of real texts pass the bands; lines made from one mould do not."""
     rng, manual = np.random.default_rng(1), [t for t in topics.values() if len(t) > 10_000]
@@ -158,6 +179,35 @@ def test_language(spark):
     assert set(langid.identify(own(spark), none).toPandas()["lang_pred"]) == {"und"} and langid.identify(empty(spark), filters).count() == 0
 
 
+def plain_grams(text):
+    """Each letter with its neighbours, what is no letter being a blank."""
+    s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    return [s[k - 1 : k + 2] for k in range(1, len(s) - 1) if s[k] != " "]
+
+
+def test_language_against_plain_sets(spark):
+    """Predictions from exact sets of n-grams; the filters may differ by their false positives only."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    train, sets, size = langid.training_rows(docs).toPandas(), {}, {}
+    assert train.groupby("lang").size().max() <= langid.SAMPLE
+    for lang, own_rows in train.groupby("lang"):
+        n = Counter(g for t in own_rows["text"] for g in set(plain_grams(t)))
+        sets[lang], size[lang] = {g for g, c in n.items() if c >= langid.MIN_SHARE * len(own_rows)}, len(own_rows)
+    order = sorted(sets, key=lambda x: (-size[x], x))
+    clear = 0
+    for r in langid.identify(docs, langid.learn(langid.training_rows(docs)), keep=("text",)).collect():
+        grams = plain_grams(r.text or "")
+        if not grams:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        found = sorted(((sum(g in sets[x] for g in grams), -k, x) for k, x in enumerate(order)), reverse=True)
+        if found[0][0] - found[1][0] > 2 + 0.02 * len(grams):
+            clear += 1
+            assert r.lang_pred == found[0][2]
+            assert r.score == pytest.approx(found[0][0] / (found[0][0] + found[1][0]), abs=0.05)
+    assert clear > 0.8 * docs.count()
+
+
 def test_bitmask_filters_return_all_languages():
     code = np.arange(1, 2001, dtype=np.uint64) * np.uint64(7919)
     f = langid.Filters([f"l{i}" for i in range(70)], np.concatenate((code, code[:500])), np.concatenate((np.full(2000, 3), np.full(500, 69))))
