@@ -101,7 +101,7 @@ def isosurfaces(planes: DataFrame, n: int, level: float = 0.0) -> DataFrame:
                 first = own.field("iz")[0].as_py() - 1
                 field = own.field("sdf").flatten().to_numpy().reshape(len(own), n, n).transpose(2, 1, 0)
                 name, place, faces = crossing_faces(field, n, first, level)
-                yield pa.RecordBatch.from_arrays([batch.column("mesh_id").slice(i, 1), *(lists([pa.array(x.ravel(), k)]) for x, k in ((name, pa.int64()), (place, pa.float64()), (faces, pa.int64())))], ["mesh_id", "name", "place", "faces"])
+                yield pa.RecordBatch.from_arrays([batch.column("mesh_id").slice(i, 1), batch.column("layer").slice(i, 1), *(lists([pa.array(x.ravel(), k)]) for x, k in ((name, pa.int64()), (place, pa.float64()), (faces, pa.int64())))], ["mesh_id", "layer", "name", "place", "faces"])
 
     def whole(batches):
         for batch in batches:
@@ -113,10 +113,10 @@ def isosurfaces(planes: DataFrame, n: int, level: float = 0.0) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("mesh_id"), lists([nested(v, pa.float64()) for v, _ in made]), lists([nested(f + 1, pa.int32()) for _, f in made])], ["mesh_id", "vertices", "faces"])
 
     layer = F.array_distinct(F.array(F.expr(f"greatest(iz - 2, 0) div {deep}"), F.expr(f"least(iz - 1, {n - 2}) div {deep}")))
-    rows = planes.select("mesh_id", "iz", "sdf", F.explode(layer).alias("layer"))
+    rows = planes.select("mesh_id", "iz", "sdf", F.explode(layer).alias("layer")).withColumn("layer", F.col("layer").cast("int"))
     rows = rows.groupBy("mesh_id", "layer").agg(F.sort_array(F.collect_list(F.struct("iz", "sdf"))).alias("s"))
-    parts = rows.mapInArrow(cut, "mesh_id long, name array<long>, place array<double>, faces array<long>")
-    parts = parts.groupBy("mesh_id").agg(F.collect_list(F.struct("name", "place", "faces")).alias("p"))
+    parts = rows.mapInArrow(cut, "mesh_id long, layer int, name array<long>, place array<double>, faces array<long>")
+    parts = parts.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("layer", "name", "place", "faces"))).alias("p"))
     return parts.mapInArrow(whole, "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
 
 

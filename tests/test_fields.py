@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -95,8 +97,68 @@ def test_surface_samples_lie_on_the_box(spark):
     assert np.allclose(q.max(axis=1), 1)
     area = np.array([0.43 * 0.37, 0.61 * 0.37, 0.61 * 0.43])
     assert np.bincount(q.argmax(axis=1), minlength=3) / len(s) == pytest.approx(area / area.sum(), abs=0.03)
-    near = sampling.near_surface_samples(spark.createDataFrame(pd.DataFrame(s[["mesh_id", "sample_id", "x", "y", "z"]])), 0.5).toPandas()
-    assert near[["x", "y", "z"]].abs().to_numpy().max() <= 1
+    for sigma in (0.05, 0.8):
+        near = sampling.near_surface_samples(spark.createDataFrame(pd.DataFrame(s[["mesh_id", "sample_id", "x", "y", "z"]])), sigma).toPandas().sort_values("sample_id")
+        moved = near[["x", "y", "z"]].to_numpy()
+        assert np.abs(moved).max() <= 1
+        # each axis follows the normal cut off at the cube: its distribution there is uniform
+        cdf, at = np.vectorize(NormalDist().cdf), s.sort_values("sample_id")[["x", "y", "z"]].to_numpy()
+        lo, hi = cdf((-1 - at) / sigma), cdf((1 - at) / sigma)
+        share = np.sort(((cdf((moved - at) / sigma) - lo) / (hi - lo)).ravel())
+        assert np.abs(share - (np.arange(len(share)) + 0.5) / len(share)).max() < 0.02
+
+
+def test_draws_meet_few_slices(spark):
+    """Against a plain search, for groups of uneven weights, zero weights and one slice."""
+    rng = np.random.default_rng(3)
+    weights = {1: rng.pareto(1, 500), 2: np.array([0.0, 2.0, 0.0, 1.0, 0.0]), 3: np.array([4.0]), 4: np.array([1e-12] * 50 + [1.0])}
+    rows = spark.createDataFrame([(g, i, float(w)) for g, ws in weights.items() for i, w in enumerate(ws)], "g long, i long, w double")
+    asked = [(g, k, float(u)) for g in weights for k, u in enumerate([0.0, 1 - 2**-53, *rng.random(300)])]
+    got = sampling.draw(spark.createDataFrame(asked, "g long, k long, u double"), sampling.cumulated(rows, "g", "i", "w"), "g", "u", "i")
+    have = {(r.g, r.k): r.pick.i for r in got.collect()}
+    assert len(have) == len(asked)
+    for g, k, u in asked:
+        hi = np.cumsum(weights[g]) / weights[g].sum()
+        i = have[g, k]
+        assert weights[g][i] > 0 and (hi[i - 1] if i else 0) - 1e-9 <= u <= hi[i] + 1e-9
+
+
+def sphere(m, k, turn):
+    """Triangles of a rotated sphere of radius 0.7."""
+    a, b = np.linspace(0, np.pi, m + 1), np.arange(k) * 2 * np.pi / k
+    p = 0.7 * np.stack([np.outer(np.sin(a), np.cos(b)), np.outer(np.sin(a), np.sin(b)), np.outer(np.cos(a), np.ones(k))], -1) @ turn.T
+    rows = [(p[i, j], p[i + 1, j], p[i + 1, (j + 1) % k]) for i in range(m - 1) for j in range(k)] + [(p[i, j], p[i + 1, (j + 1) % k], p[i, (j + 1) % k]) for i in range(1, m) for j in range(k)]
+    return np.array([np.concatenate((x, y - x, z - x)) for x, y, z in rows])
+
+
+def test_slabs_of_a_finely_cut_sphere(spark, monkeypatch):
+    """Bounded search and slabs against every distance, on a rotated mesh of 1140 triangles."""
+    t, n = sphere(20, 30, np.linalg.qr(np.random.default_rng(0).standard_normal((3, 3)))[0]), 20
+    best, index = sdf.exact_index(t, n)
+    every = np.stack([sdf.distance2(sdf.nodes(n), x) for x in t])
+    assert (best == every.min(axis=0)).all() and (index == every.argmin(axis=0)).all()
+    assert (sdf.jump_flood(t, n)[0] >= best - 1e-12).all()
+    frame = pd.DataFrame(t, columns=M.VECTORS).assign(mesh_id=4)
+    frame["tri_id"] = np.arange(1, len(t) + 1)
+    tri = spark.createDataFrame(frame).withColumn("flags", F.expr(X.edge_flags()))
+    whole = grid(sdf.fields(tri, n), n)
+    monkeypatch.setattr(sdf, "NODES", n * n * 3)
+    monkeypatch.setattr(isosurface, "NODES", n * n * 3)
+    slabs = sdf.fields(tri, n)
+    assert (grid(slabs, n) == whole).all()
+    r = np.linalg.norm(sdf.nodes(n), axis=-1)
+    assert ((whole < 0) == (r < 0.7))[np.abs(r - 0.7) > 0.02].all() and not (whole[:, :, [0, -1]] < 0).any()
+    (row,) = isosurface.isosurfaces(slabs, n).collect()
+    v, f = isosurface.surface(whole)
+    assert np.allclose(row.vertices, v) and set(map(tuple, row.faces)) == set(map(tuple, (f + 1).tolist())) and 2 * len(v) - len(f) == 4
+
+
+def test_meshes_without_area_or_vertices_raise(spark):
+    vertices, faces = tables(spark, FACES)
+    with pytest.raises(Exception, match="degenerate"):
+        M.triangles(vertices, faces.selectExpr("mesh_id", "face_id", "a", "a as b", "a as c")).collect()
+    with pytest.raises(ValueError, match="vertices"):
+        M.canonicalize(vertices.where("vertex_id > 2"), faces)
 
 
 def test_subset_keeps_all_when_few(spark):
