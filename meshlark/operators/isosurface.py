@@ -1,12 +1,13 @@
-"""Isosurfaces by marching tetrahedra.
+"""Isosurfaces by marching tetrahedra, or by marching cubes.
 
-A cell is six tetrahedra around its main diagonal. The crossing of an edge is named by its two grid
-nodes, so neighbouring tetrahedra share it and the surface closes without welding.
+A cell is six tetrahedra around its main diagonal, or is taken as a whole. The crossing of an edge is
+named by its two grid nodes, so neighbouring cells share it and the surface closes without welding.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
+from functools import lru_cache
+from itertools import permutations, product
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,56 @@ def tetrahedra() -> np.ndarray:
     return np.array(out)
 
 
-def crossing_faces(field: np.ndarray, n: int, first: int = 0, level: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(1)
+def cube_cases() -> dict[int, np.ndarray]:
+    """By the corners of a cell that are below the level (bit 4x + 2y + z): triangles as (T, 3, 2)
+    corners, three crossed edges each.
+
+    Built from a rule: on each side of the cell, taken round from outside, every run of corners below
+    the level is cut off by a segment. The segments of the six sides join to closed loops, which are
+    fanned into triangles. A side is cut alike in both its cells, so the surface closes."""
+    corner = lambda p: int(p[0] * 4 + p[1] * 2 + p[2])
+    sides = []
+    for a in range(3):
+        for end in (0, 1):
+            round_ = []
+            for u, v in ((0, 0), (1, 0), (1, 1), (0, 1)):
+                p = [0, 0, 0]
+                p[a], p[(a + 1) % 3], p[(a + 2) % 3] = end, u, v
+                round_.append(corner(p))
+            sides.append(round_ if end else round_[::-1])
+    out = {}
+    for case in range(1, 255):
+        below = [case >> c & 1 for c in range(8)]
+        after = {}
+        for side in sides:
+            for k in range(4):
+                if below[side[k]] and not below[side[k - 1]]:  # a run begins
+                    last = k
+                    while below[side[(last + 1) % 4]]:
+                        last += 1
+                    after[frozenset((side[k - 1], side[k]))] = frozenset((side[last % 4], side[(last + 1) % 4]))
+        faces = []
+        while after:
+            loop = [next(iter(after))]
+            while (edge := after.pop(loop[-1])) != loop[0]:
+                loop.append(edge)
+            faces += [[sorted(loop[0]), sorted(x), sorted(y)] for x, y in zip(loop[1:], loop[2:])]
+        out[case] = np.array(faces)
+    return out
+
+
+def cube_faces(base: np.ndarray, below: np.ndarray, number) -> list[np.ndarray]:
+    """Ends of the crossed edges of each triangle in the cells at ``base``."""
+    places = np.array(list(product((0, 1), repeat=3)))
+    corners = number(base + places[None])
+    case = (below.ravel()[corners] << np.arange(8)).sum(axis=1)
+    order = np.argsort(case, kind="stable")
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(case[order])) + 1, [len(order)]))
+    return [corners[order[s:e]][:, cube_cases()[int(case[order[s]])]].reshape(-1, 3, 2) for s, e in zip(cut, cut[1:]) if e > s]
+
+
+def crossing_faces(field: np.ndarray, n: int, first: int = 0, level: float = 0.0, cubes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``name`` and place of the vertices and faces (three names each) of the surface in the layers of
     cells between the given planes (x, y, z) from plane ``first`` on of a grid of ``n``; inside is below
     the level. Only cells whose corners differ in sign are cut up. A vertex is named by the grid
@@ -40,6 +90,19 @@ def crossing_faces(field: np.ndarray, n: int, first: int = 0, level: float = 0.0
     near = [below[i : n - 1 + i, j : n - 1 + j, k : deep - 1 + k] for i in (0, 1) for j in (0, 1) for k in (0, 1)]
     base = np.stack(np.nonzero(np.logical_or.reduce(near) & ~np.logical_and.reduce(near)), -1).reshape(-1, 1, 3)
     number = lambda c: (c[..., 0] * n + c[..., 1]) * deep + c[..., 2]
+    faces = cube_faces(base, below, number) if cubes else tetrahedron_faces(base, value, number)
+    ends = np.sort(np.concatenate(faces or [np.zeros((0, 3, 2), np.int64)]).reshape(-1, 2), axis=1)
+    whole = ends // deep * n + ends % deep + first  # numbers in the whole grid
+    name, one = np.unique(whole[:, 0] * n**3 + whole[:, 1], return_index=True)
+    a, b = ends[one, 0], ends[one, 1]
+    at = lambda q: np.stack((q // (n * n), q // n % n, q % n), 1) * (2 / (n - 1)) - 1
+    s = (value[a] / np.where(value[a] == value[b], 1, value[a] - value[b]))[:, None]
+    p, q = at(whole[one, 0]), at(whole[one, 1])
+    return name, p + s * (q - p), (whole[:, 0] * n**3 + whole[:, 1]).reshape(-1, 3)
+
+
+def tetrahedron_faces(base: np.ndarray, value: np.ndarray, number) -> list[np.ndarray]:
+    """Ends of the crossed edges of each triangle in the tetrahedra of the cells at ``base``."""
     corners = np.concatenate([number(base + t[None]) for t in tetrahedra()])
     low = value[corners] < 0
     faces = []
@@ -64,14 +127,7 @@ def crossing_faces(field: np.ndarray, n: int, first: int = 0, level: float = 0.0
             e = lambda x, y: np.stack((rows[:, x], rows[:, y]), 1)
             quad = [e(i, k), e(i, m), e(j, m), e(j, k)]
             faces += [np.stack((quad[0], quad[1], quad[2]), 1), np.stack((quad[0], quad[2], quad[3]), 1)]
-    ends = np.sort(np.concatenate(faces).reshape(-1, 2), axis=1)
-    whole = ends // deep * n + ends % deep + first  # numbers in the whole grid
-    name, one = np.unique(whole[:, 0] * n**3 + whole[:, 1], return_index=True)
-    a, b = ends[one, 0], ends[one, 1]
-    at = lambda q: np.stack((q // (n * n), q // n % n, q % n), 1) * (2 / (n - 1)) - 1
-    s = (value[a] / np.where(value[a] == value[b], 1, value[a] - value[b]))[:, None]
-    p, q = at(whole[one, 0]), at(whole[one, 1])
-    return name, p + s * (q - p), (whole[:, 0] * n**3 + whole[:, 1]).reshape(-1, 3)
+    return faces
 
 
 def joined(name: np.ndarray, place: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +136,14 @@ def joined(name: np.ndarray, place: np.ndarray, faces: np.ndarray) -> tuple[np.n
     return place[one], np.searchsorted(name, faces)
 
 
-def surface(field: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def surface(field: np.ndarray, level: float = 0.0, cubes: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Vertices in [-1, 1]^3 and faces of the surface of a whole field (x, y, z)."""
-    return joined(*crossing_faces(field, field.shape[0], 0, level))
+    return joined(*crossing_faces(field, field.shape[0], 0, level, cubes))
 
 
-def isosurfaces(planes: DataFrame, n: int, level: float = 0.0) -> DataFrame:
-    """``mesh_id, vertices, faces`` of each mesh's planes (see ``sdf.fields``).
+def isosurfaces(planes: DataFrame, n: int, level: float = 0.0, cubes: bool = False) -> DataFrame:
+    """``mesh_id, vertices, faces`` of each mesh's planes (see ``sdf.fields``), by marching tetrahedra or
+    by marching ``cubes``.
 
     Cells are cut up layer by layer: a plane goes to the layers below and above it, and a task
     holds the planes of a few layers. What meets in one row a mesh is the surface, not the field."""
@@ -100,7 +157,7 @@ def isosurfaces(planes: DataFrame, n: int, level: float = 0.0) -> DataFrame:
                 own = batch.column("s")[i].values
                 first = own.field("iz")[0].as_py() - 1
                 field = own.field("sdf").flatten().to_numpy().reshape(len(own), n, n).transpose(2, 1, 0)
-                name, place, faces = crossing_faces(field, n, first, level)
+                name, place, faces = crossing_faces(field, n, first, level, cubes)
                 yield pa.RecordBatch.from_arrays([batch.column("mesh_id").slice(i, 1), batch.column("layer").slice(i, 1), *(lists([pa.array(x.ravel(), k)]) for x, k in ((name, pa.int64()), (place, pa.float64()), (faces, pa.int64())))], ["mesh_id", "layer", "name", "place", "faces"])
 
     def whole(batches):

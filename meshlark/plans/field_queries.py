@@ -89,13 +89,19 @@ def isosurface_meshes(spark, sf_dir):
     return got.selectExpr("mesh_id", "cast(size(vertices) as bigint) as vertices", "cast(size(faces) as bigint) as faces", "2 * size(vertices) - size(faces) = 4 as closed")
 
 
+def isosurface_cubes(spark, sf_dir):
+    """The same by marching cubes."""
+    got = isosurface.isosurfaces(sdf.fields(_tri(spark, sf_dir), M), M, cubes=True)
+    return got.selectExpr("mesh_id", "cast(size(vertices) as bigint) as vertices", "cast(size(faces) as bigint) as faces", "array_max(transform(vertices, v -> v[2])) as z").selectExpr("mesh_id", "vertices", "faces", f"{tidy('z')} as z")
+
+
 def isosurface_zmax(spark, sf_dir):
     """Greatest height of the reconstruction."""
     got = isosurface.isosurfaces(sdf.fields(_tri(spark, sf_dir), M), M)
     return got.selectExpr("mesh_id", "array_max(transform(vertices, v -> v[2])) as z").selectExpr("mesh_id", f"{tidy('z')} as z")
 
 
-QUERIES = {f.__name__: f for f in (point_triangle_distance, seed_bins, seed_bin_offsets, parity_bins, active_tiles, seed_nearest, exact_field, jfa_field, parity_hits, parity_fill, signed_field, tessellated_field, negative_slice_counts, isosurface_meshes, isosurface_zmax)}
+QUERIES = {f.__name__: f for f in (point_triangle_distance, seed_bins, seed_bin_offsets, parity_bins, active_tiles, seed_nearest, exact_field, jfa_field, parity_hits, parity_fill, signed_field, tessellated_field, negative_slice_counts, isosurface_meshes, isosurface_cubes, isosurface_zmax)}
 
 
 def _span(c: str) -> tuple[str, str]:
@@ -124,7 +130,7 @@ def _grid(n: int) -> str:
 #: The surface crosses the edges of the tetrahedra: seven directions from each node.
 _EDGES = f"""with {SQL_BOX}, {_grid(M)}, way(dx, dy, dz) as (values (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)),
 kept as materialized (select * from field),
-crossing as (select a.mesh_id, {coordinate('a.iz', M)} + a.sdf / (a.sdf - b.sdf) * dz * 2e0 / {M - 1} as z from kept a cross join way join kept b on b.mesh_id = a.mesh_id and b.ix = a.ix + dx and b.iy = a.iy + dy and b.iz = a.iz + dz where (a.sdf < 0) <> (b.sdf < 0))"""
+crossing as (select a.mesh_id, {coordinate('a.iz', M)} + a.sdf / (a.sdf - b.sdf) * dz * 2e0 / {M - 1} as z, dx + dy + dz as way from kept a cross join way join kept b on b.mesh_id = a.mesh_id and b.ix = a.ix + dx and b.iy = a.iy + dy and b.iz = a.iz + dz where (a.sdf < 0) <> (b.sdf < 0))"""
 ORACLES = {
     "point_triangle_distance": f"select vec_id, round(sqrt({DISTANCE2}), 6) + 0e0 as d from (select vec_id, {', '.join(f'{v} as {k}' for k, v in DOTS.items())} from (select vec_id, {', '.join(f'embedding[{i}]::double as p{c}' for i, c in enumerate('xyz', 1))}, {', '.join(f'{v}::double as {k}' for k, v in _TRIANGLE.items())} from embeddings))",
     "seed_bins": f"with {SQL_TRI}, {_SEED} select * from bins",
@@ -142,6 +148,7 @@ ORACLES = {
     "tessellated_field": f"with {SQL_BOX}, {_grid(N)} select mesh_id, iz, round(sum(sdf), 6) + 0e0 as total, count(*) filter (sdf < 0) as n from field group by 1, 2",
     # of a closed surface without handles, faces = 2 vertices - 4
     "isosurface_meshes": f"{_EDGES} select mesh_id, count(*) as vertices, 2 * count(*) - 4 as faces, true as closed from crossing group by 1",
+    "isosurface_cubes": f"{_EDGES} select mesh_id, count(*) as vertices, 2 * count(*) - 4 as faces, round(max(z), 6) + 0e0 as z from crossing where way = 1 group by 1",
     "isosurface_zmax": f"{_EDGES} select mesh_id, round(max(z), 6) + 0e0 as z from crossing group by 1",
     "negative_slice_counts": f"with {SQL_BOX}, {_grid(M)} select mesh_id, iz, count(*) filter (sdf < 0) as n from field group by 1, 2",
 }
