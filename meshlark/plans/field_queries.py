@@ -129,8 +129,9 @@ def _grid(n: int) -> str:
 
 #: The surface crosses the edges of the tetrahedra: seven directions from each node.
 _EDGES = f"""with {SQL_BOX}, {_grid(M)}, way(dx, dy, dz) as (values (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1)),
-kept as materialized (select * from field),
-crossing as (select a.mesh_id, {coordinate('a.iz', M)} + a.sdf / (a.sdf - b.sdf) * dz * 2e0 / {M - 1} as z, dx + dy + dz as way from kept a cross join way join kept b on b.mesh_id = a.mesh_id and b.ix = a.ix + dx and b.iy = a.iy + dy and b.iz = a.iz + dz where (a.sdf < 0) <> (b.sdf < 0))"""
+edge as materialized (select x, y, z, {', '.join(f'{coordinate(f"(i{c} + d{c})", M)} as {c}2' for c in 'xyz')}, dx + dy + dz as way from node, way where ix + dx <= {M} and iy + dy <= {M} and iz + dz <= {M}),
+ends as (select mesh_id, z, z2, way, {box_distance('x', 'y', 'z')} as d, {box_distance('x2', 'y2', 'z2')} as d2 from box, edge),
+crossing as (select mesh_id, way, z + d / (d - d2) * (z2 - z) as z from ends where (d < 0) <> (d2 < 0))"""
 ORACLES = {
     "point_triangle_distance": f"select vec_id, round(sqrt({DISTANCE2}), 6) + 0e0 as d from (select vec_id, {', '.join(f'{v} as {k}' for k, v in DOTS.items())} from (select vec_id, {', '.join(f'embedding[{i}]::double as p{c}' for i, c in enumerate('xyz', 1))}, {', '.join(f'{v}::double as {k}' for k, v in _TRIANGLE.items())} from embeddings))",
     "seed_bins": f"with {SQL_TRI}, {_SEED} select * from bins",
