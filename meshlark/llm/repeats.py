@@ -169,9 +169,11 @@ def block_rows(work: DataFrame, dtype: type, win: Windows, size: int) -> DataFra
     return work.mapInArrow(run, "doc_id long, th long, base long, done boolean, lo long, n long, at long, key long, ctx long")
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each document with the list of its stretches (bounded by its own length)."""
-    lists = ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))
+def with_ranges(docs: DataFrame, **ranges: DataFrame) -> DataFrame:
+    """Each document with a list of its stretches (bounded by its own length) by each name."""
+    every = reduce(DataFrame.union, (r.select("doc_id", "th", "lo", "n", F.lit(name).alias("of")) for name, r in ranges.items()))
+    one = [F.collect_set(F.when(F.col("of") == name, F.struct("lo", "n"))).alias(name) for name in ranges]
+    lists = every.groupBy("doc_id", "th").agg(*one)
     return docs.join(other(lists, "doc_id", "th"), same_document("", "_"), "left").drop("_doc_id", "_th", "th")
 
 

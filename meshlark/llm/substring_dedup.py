@@ -187,7 +187,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", *out])
 
-    return with_ranges(rows, ranges).mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    return with_ranges(rows, ranges=ranges.drop("source")).mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6(spark, sf_dir):

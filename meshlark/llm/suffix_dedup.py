@@ -34,7 +34,7 @@ from meshlark.llm.anchors import Windows
 from meshlark.llm.common import flat, keep_schema, restored, with_row_key
 from meshlark.llm.repeats import covered, repeated_ranges, with_ranges, word_symbols, word_windows
 
-SPAN = 400
+SPAN, PASSAGE = 400, 50
 #: Windows in a block, round by round.
 BLOCKS = (64, 8, 1)
 WORD_BLOCKS = (8, 1)
@@ -70,22 +70,29 @@ def _sizes(span: int) -> Windows:
     return Windows(span, max(1, min(32, block // 2)), block)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, keep: tuple[str, ...] = (), unit: str = "byte", leave_first: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, keep: tuple[str, ...] = (), unit: str = "byte", leave_first: bool = False, passage: int = 0) -> DataFrame:
     """``doc_id, text, n_bytes, n_removed, n_spans, kept_sha256`` (bytes, for either unit); ``text`` is
-    what is left. Columns named in ``keep`` are passed on."""
+    what is left. Columns named in ``keep`` are passed on. With ``passage`` there is ``n_passage_words``
+    too: the words, in the text as given, under passages of so many words that a document of smaller
+    id has too, which may be shorter than ``span`` bytes; these are counted, not removed."""
     rows = with_row_key(docs, id_col, text_col, keep)
+    by_words = lambda size, first: repeated_ranges(rows, word_symbols(words_of), np.uint64, word_windows(size), WORD_BLOCKS, first)
     if unit == "word":
-        ranges = repeated_ranges(rows, word_symbols(words_of), np.uint64, word_windows(span), WORD_BLOCKS, leave_first)
+        ranges = {"ranges": by_words(span, leave_first)}
     elif unit == "byte":
-        ranges = repeated_ranges(rows, _symbols, np.uint8, _sizes(span), BLOCKS, leave_first)
+        ranges = {"ranges": repeated_ranges(rows, _symbols, np.uint8, _sizes(span), BLOCKS, leave_first)}
     else:
         raise ValueError("the unit is byte or word")
+    if passage:
+        ranges["passages"] = by_words(passage, True)
+
+    counted = ["n_passage_words"] * bool(passage)
 
     def run(batches):
         for batch in batches:
             raw, off = flat(batch.column("text"))
             todo = batch.column("ranges")
-            out = {k: [] for k in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+            out = {k: [] for k in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256", *counted)}
             for i in range(batch.num_rows):
                 own = raw[off[i] : off[i + 1]]
                 found = todo[i].values if todo[i].is_valid else None
@@ -96,13 +103,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out["n_removed"].append(len(own) - len(kept))
                 out["n_spans"].append(0 if cut is None else int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                if passage:
+                    found = batch.column("passages")[i].values if batch.column("passages")[i].is_valid else None
+                    out["n_passage_words"].append(0 if found is None or not len(found) else int(covered(len(words_of(own.tobytes())), found, passage).sum()))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             passed = [f"keep_{c}" for c in keep]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds)), *(batch.column(c) for c in passed)], ["doc_id", *out, *passed])
 
-    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return restored(with_ranges(rows, ranges).mapInArrow(run, schema + keep_schema(rows, keep)), keep)
+    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(f", {c} long" for c in counted)
+    return restored(with_ranges(rows, **ranges).mapInArrow(run, schema + keep_schema(rows, keep)), keep)
 
 
 def op5(spark, sf_dir):
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")

@@ -112,6 +112,10 @@ def test_word_repeats_leave_the_first(spark):
     docs += [(400, "前" + han + "後 tail"), (401, "x" + han[5:70] + " y"), (402, "ไทย" * 30), (403, "a " + "ไทย" * 30)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), span=50, unit="word", leave_first=True)
     assert values(got, "doc_id", "text") == plain_word_cut(docs, 50)
+    both = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), passage=50)
+    assert values(both, *BYTES) == plain_bytes(docs, 400)
+    alone = {(r.doc_id, r.n_bytes): r.n_removed > 0 for r in got.collect()}
+    assert all((r.n_passage_words > 0) == alone[r.doc_id, r.n_bytes] for r in both.collect())
     left = {r.doc_id: r for r in got.where("doc_id between 101 and 403").collect()}
     assert all(left[100 + n].n_removed == 0 < left[200 + n].n_removed and left[300 + n].n_spans == 1 for n in range(51, 61))
     assert left[400].n_removed == 0 < left[401].n_removed and left[403].text == "a "
