@@ -99,24 +99,26 @@ def parity_fill(hits: DataFrame, n: int) -> DataFrame:
 
 def distance2(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Squared distances of points (..., 3) to triangles (..., 9), broadcast; regions as in ``DISTANCE2``."""
-    a, ab, ac = t[..., :3], t[..., 3:6], t[..., 6:]
-    ap = p - a
-    dot = lambda x, y: (x * y).sum(axis=-1)
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    a, ab, ac = ([t[..., k + i] for i in range(3)] for k in (0, 3, 6))
+    ap = [p[..., i] - a[i] for i in range(3)]
     ap2, p1, p2, e, f, g = dot(ap, ap), dot(ap, ab), dot(ap, ac), dot(ab, ab), dot(ab, ac), dot(ac, ac)
     b1, b2, c1, c2 = p1 - e, p2 - f, p1 - f, p2 - g
     bc = b2 - b1
-    conditions = [
-        (p1 <= 0) & (p2 <= 0),
-        (b1 >= 0) & (b2 <= b1),
-        (c2 >= 0) & (c1 <= c2),
-        (p1 * b2 - b1 * p2 <= 0) & (p1 >= 0) & (b1 <= 0),
-        (c1 * p2 - p1 * c2 <= 0) & (p2 >= 0) & (c2 <= 0),
-        (b1 * c2 - c1 * b2 <= 0) & (bc >= 0) & (c1 - c2 >= 0),
-    ]
     with np.errstate(divide="ignore", invalid="ignore"):
-        values = [ap2 + 0 * p1, ap2 - 2 * p1 + e, ap2 - 2 * p2 + g, ap2 - p1 * p1 / e, ap2 - p2 * p2 / g, ap2 - 2 * p1 + e - bc * bc / (e - 2 * f + g)]
-        rest = ap2 - (g * p1 * p1 - 2 * f * p1 * p2 + e * p2 * p2) / (e * g - f * f)
-    return np.maximum(np.select(conditions, values, rest), 0)
+        # the face, then the edges and corners over it, the first that applies on top
+        out = np.asarray(ap2 - (g * p1 * p1 - 2 * f * p1 * p2 + e * p2 * p2) / (e * g - f * f))
+        layers = [
+            ((b1 * c2 - c1 * b2 <= 0) & (bc >= 0) & (c1 - c2 >= 0), lambda: ap2 - 2 * p1 + e - bc * bc / (e - 2 * f + g)),
+            ((c1 * p2 - p1 * c2 <= 0) & (p2 >= 0) & (c2 <= 0), lambda: ap2 - p2 * p2 / g),
+            ((p1 * b2 - b1 * p2 <= 0) & (p1 >= 0) & (b1 <= 0), lambda: ap2 - p1 * p1 / e),
+            ((c2 >= 0) & (c1 <= c2), lambda: ap2 - 2 * p2 + g),
+            ((b1 >= 0) & (b2 <= b1), lambda: ap2 - 2 * p1 + e),
+            ((p1 <= 0) & (p2 <= 0), lambda: ap2),
+        ]
+        for where, value in layers:
+            np.copyto(out, value(), where=where)
+    return np.maximum(out, 0)
 
 
 def axis(n: int) -> np.ndarray:
