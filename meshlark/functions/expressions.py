@@ -59,6 +59,12 @@ def u32_hash(x: str, d: Dialect = SPARK) -> str:
     return x
 
 
+def staged(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns that are computed once. Filters are pushed below a projection with its expressions put in
+    for their names, which multiplies long ones; below a generator of one row they are not."""
+    return rows.select("*", F.inline(F.array(F.struct(*(F.expr(v).alias(k) for k, v in columns.items())))))
+
+
 def hashed(rows: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Columns with the mixed keys, a projection a step: each step names its input more than once, so
     Catalyst keeps them apart and the generated code stays short."""

@@ -80,8 +80,8 @@ def parity_hits(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE) ->
     met = explode_bins(met, {f"i{c}": (F.expr(f"t{c} * {t} + 1"), F.expr(f"least(t{c} * {t} + {t}, {n})")) for c, t in zip("xy", tile)})
     jx, jy = X.offsets("h", f"{mag!r}D")
     met = X.hashed(met, {"h": X.column_key("ix", "iy")})
-    met = met.withColumns({"sx": F.expr(f"{X.coordinate('ix', n)} + {jx} - ax"), "sy": F.expr(f"{X.coordinate('iy', n)} + {jy} - ay"), "det": F.expr("aby*acx - abx*acy")})
-    met = met.withColumns({"u": F.expr("(sy*acx - sx*acy)/det"), "v": F.expr("(sx*aby - sy*abx)/det")}).withColumn("w", F.expr("1 - u - v"))
+    met = X.staged(met, {"sx": f"{X.coordinate('ix', n)} + {jx} - ax", "sy": f"{X.coordinate('iy', n)} + {jy} - ay", "det": "aby*acx - abx*acy"})
+    met = X.staged(met, {"u": "(sy*acx - sx*acy)/det", "v": "(sx*aby - sy*abx)/det"}).withColumn("w", F.expr("1 - u - v"))
     met = met.where(f"least(u, v, w) >= -{EPS_BARY!r}D")  # most candidates end here; what is left may lie on an edge
     for i, b in enumerate("uvw"):
         met = met.where(f"{b} > {EPS_BARY!r}D or (flags & {1 << i}) <> 0")
