@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meshlark.functions.expressions import edge_flags
 from meshlark.operators.graph import connected_components
 from meshlark.operators.spatial import band_join
-from meshlark.storage import checkpoint
+from meshlark.storage import checkpoint, merged
 
 NODE = 1 << 31
 VECTORS = [f"{e}{a}" for e in ("a", "ab", "ac") for a in "xyz"]
@@ -25,7 +25,7 @@ def face_vectors(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """``mesh_id, face_id, a, b, c`` with the corner A and the edges AB and AC. Corners are looked up
     by one join on (mesh, vertex) and gathered per face."""
     corners = faces.select("mesh_id", "face_id", F.posexplode(F.array("a", "b", "c")).alias("k", "vertex_id"))
-    met = corners.join(vertices.select("mesh_id", "vertex_id", "x", "y", "z"), ["mesh_id", "vertex_id"])
+    met = corners.join(merged(vertices.select("mesh_id", "vertex_id", "x", "y", "z")), ["mesh_id", "vertex_id"])
     pick = [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("x", "y", "z", "vertex_id")]
     wide = met.groupBy("mesh_id", "face_id").agg(*pick)
     edge = [(F.col(f"{c}{i}") - F.col(f"{c}0")).alias(f"{e}{c}") for i, e in ((1, "ab"), (2, "ac")) for c in "xyz"]
@@ -65,9 +65,9 @@ def weld_components(vertices: DataFrame, eps: float = 1e-7) -> DataFrame:
     node = lambda c: F.col("mesh_id").cast("long") * NODE + F.col(c)
     pairs = weld_pairs(place, eps).select(node("i").alias("src"), node("j").alias("dst"))
     joined = connected_components(pairs).select(F.col("node"), (F.col("component") % NODE).alias("low"))
-    roots = place.join(joined, node("vertex_id") == F.col("node"), "left").select(F.col("mesh_id").alias("m"), *(F.col(c).alias(f"_{c}") for c in "xyz"), F.coalesce("low", "vertex_id").alias("root"))
+    roots = place.join(merged(joined), node("vertex_id") == F.col("node"), "left").select(F.col("mesh_id").alias("m"), *(F.col(c).alias(f"_{c}") for c in "xyz"), F.coalesce("low", "vertex_id").alias("root"))
     same = (F.col("mesh_id") == F.col("m")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("z") == F.col("_z"))
-    return vertices.join(roots, same).select("mesh_id", "vertex_id", "x", "y", "z", "root")
+    return vertices.join(merged(roots), same).select("mesh_id", "vertex_id", "x", "y", "z", "root")
 
 
 def weld_vertices(welded: DataFrame) -> DataFrame:
@@ -78,8 +78,8 @@ def weld_vertices(welded: DataFrame) -> DataFrame:
 
 def weld_faces(faces: DataFrame, welded: DataFrame, clusters: DataFrame) -> DataFrame:
     """Faces on the new vertices: degenerate ones go, of equal vertex sets the lowest face id stays."""
-    ids = welded.select("mesh_id", "vertex_id", "root").join(clusters.select("mesh_id", "root", F.col("vertex_id").alias("new")), ["mesh_id", "root"])
-    corners = faces.select("mesh_id", "face_id", F.posexplode(F.array("a", "b", "c")).alias("k", "vertex_id")).join(ids, ["mesh_id", "vertex_id"])
+    ids = welded.select("mesh_id", "vertex_id", "root").join(merged(clusters.select("mesh_id", "root", F.col("vertex_id").alias("new"))), ["mesh_id", "root"])
+    corners = faces.select("mesh_id", "face_id", F.posexplode(F.array("a", "b", "c")).alias("k", "vertex_id")).join(merged(ids), ["mesh_id", "vertex_id"])
     wide = corners.groupBy("mesh_id", "face_id").agg(*(F.max(F.when(F.col("k") == i, F.col("new"))).alias(v) for i, v in enumerate("abc")))
     wide = wide.where("a <> b and b <> c and a <> c").withColumn("set", F.array_sort(F.array("a", "b", "c")))
     first = wide.groupBy("mesh_id", "set").agg(F.min(F.struct("face_id", "a", "b", "c")).alias("f")).select("mesh_id", "f.*")
@@ -120,8 +120,8 @@ def orient_flips(faces: DataFrame, check: bool = True) -> DataFrame:
     adj = face_adjacency(faces)
     links = adj.select(node("f", F.lit(0)).alias("src"), node("g", F.col("toggle")).alias("dst")).union(adj.select(node("f", F.lit(1)), node("g", 1 - F.col("toggle"))))
     comp = connected_components(links)
-    at = faces.select("mesh_id", "face_id").join(comp.withColumnsRenamed({"node": "n0", "component": "c0"}), node("face_id", F.lit(0)) == F.col("n0"), "left")
-    at = at.join(comp.withColumnsRenamed({"node": "n1", "component": "c1"}), node("face_id", F.lit(1)) == F.col("n1"), "left")
+    at = faces.select("mesh_id", "face_id").join(merged(comp.withColumnsRenamed({"node": "n0", "component": "c0"})), node("face_id", F.lit(0)) == F.col("n0"), "left")
+    at = at.join(merged(comp.withColumnsRenamed({"node": "n1", "component": "c1"})), node("face_id", F.lit(1)) == F.col("n1"), "left")
     # a component's smallest node is its lowest face, unflipped in one cover and flipped in the other
     low = F.coalesce(F.least("c0", "c1"), node("face_id", F.lit(0)))
     flip = F.when(F.col("c0") == F.col("c1"), F.raise_error(F.concat(F.lit("not orientable: mesh "), F.col("mesh_id"))).cast("int")).otherwise(F.coalesce(((F.col("c0") % 2) != 0).cast("int"), F.lit(0)))
@@ -131,7 +131,7 @@ def orient_flips(faces: DataFrame, check: bool = True) -> DataFrame:
 def signed_volumes(vertices: DataFrame, faces: DataFrame, flips: DataFrame) -> DataFrame:
     """``mesh_id, component, volume6``: six times the volume about the vertex mean, after the flips."""
     mean = vertices.groupBy("mesh_id").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    tri = face_vectors(vertices, faces).join(flips, ["mesh_id", "face_id"]).join(mean, "mesh_id")
+    tri = face_vectors(vertices, faces).join(merged(flips), ["mesh_id", "face_id"]).join(merged(mean), "mesh_id")
     det = "(ax-mx)*(aby*acz-abz*acy) + (ay-my)*(abz*acx-abx*acz) + (az-mz)*(abx*acy-aby*acx)"
     return tri.groupBy("mesh_id", "component").agg(F.sum(F.expr(f"case when flip = 1 then -1 else 1 end * ({det})")).alias("volume6"))
 
@@ -140,7 +140,7 @@ def reorient(vertices: DataFrame, faces: DataFrame, check: bool = True) -> DataF
     """Faces wound outward, with the final ``flip``: a component of negative volume is turned whole."""
     flips = checkpoint(orient_flips(faces, check))
     volume = signed_volumes(vertices, faces, flips).select("mesh_id", "component", (F.col("volume6") < 0).cast("int").alias("turn"))
-    out = faces.join(flips, ["mesh_id", "face_id"]).join(volume, ["mesh_id", "component"]).withColumn("flip", F.expr("flip ^ turn"))
+    out = faces.join(merged(flips), ["mesh_id", "face_id"]).join(merged(volume), ["mesh_id", "component"]).withColumn("flip", F.expr("flip ^ turn"))
     return out.select("mesh_id", "face_id", "component", "a", F.expr("if(flip = 1, c, b)").alias("b"), F.expr("if(flip = 1, b, c)").alias("c"), "flip")
 
 
@@ -153,7 +153,7 @@ def checked(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces, with an error for meshes without vertices (their corners are missing) and for ids that
     the numbering of nodes cannot hold."""
     corner = faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vertex_id")).distinct()
-    lost = corner.join(vertices.select("mesh_id", "vertex_id"), ["mesh_id", "vertex_id"], "left_anti").select("mesh_id").limit(5).collect()
+    lost = corner.join(merged(vertices.select("mesh_id", "vertex_id")), ["mesh_id", "vertex_id"], "left_anti").select("mesh_id").limit(5).collect()
     if lost:
         raise ValueError(f"faces without their vertices in meshes {sorted({r[0] for r in lost})}")
     most = faces.agg(F.max("face_id")).first()[0]
@@ -164,7 +164,7 @@ def checked(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def centred(vertices: DataFrame) -> DataFrame:
     mean = vertices.groupBy("mesh_id").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    return vertices.join(mean, "mesh_id").withColumns({c: F.col(c) - F.col(f"m{c}") for c in "xyz"}).drop("mx", "my", "mz")
+    return vertices.join(merged(mean), "mesh_id").withColumns({c: F.col(c) - F.col(f"m{c}") for c in "xyz"}).drop("mx", "my", "mz")
 
 
 def moments(vertices: DataFrame) -> DataFrame:
@@ -191,10 +191,10 @@ def principal_axes(second: DataFrame) -> DataFrame:
 
 def aligned(vertices: DataFrame, axes: DataFrame, reach: float = 0.9) -> DataFrame:
     """Rotated into the axes and scaled so that the farthest vertex lies at ``reach``."""
-    turned = vertices.join(axes, "mesh_id").selectExpr("mesh_id", "vertex_id", *(f"u1{j}*x + u2{j}*y + u3{j}*z as {c}" for j, c in enumerate("xyz", 1)))
+    turned = vertices.join(merged(axes), "mesh_id").selectExpr("mesh_id", "vertex_id", *(f"u1{j}*x + u2{j}*y + u3{j}*z as {c}" for j, c in enumerate("xyz", 1)))
     r = turned.groupBy("mesh_id").agg(F.sqrt(F.max(F.expr("x*x + y*y + z*z"))).alias("r"))
     scale = F.lit(reach) / (F.col("r") + F.when(F.col("r") == 0, 1.0).otherwise(0.0))
-    return turned.join(r, "mesh_id").select("mesh_id", "vertex_id", *((F.col(c) * scale).alias(c) for c in "xyz"))
+    return turned.join(merged(r), "mesh_id").select("mesh_id", "vertex_id", *((F.col(c) * scale).alias(c) for c in "xyz"))
 
 
 def bounding_box(points: DataFrame, by: str) -> DataFrame:

@@ -16,7 +16,7 @@ from meshlark.functions import expressions as X
 from meshlark.operators.grid import check_resolution
 from meshlark.operators.mesh import bounding_box, canonicalize, triangles
 from meshlark.operators.sdf import field_nodes, fields
-from meshlark.storage import checkpoint
+from meshlark.storage import checkpoint, merged
 
 
 def partition_slice(start: int, stop: int, splits: tuple[float, ...]) -> list[tuple[int, int]]:
@@ -95,11 +95,11 @@ def draw(samples: DataFrame, cdf: DataFrame, by: str, u: str, *columns: str) ->
     size = cdf.groupBy(by).agg(F.max("slices").alias("slices"), F.max("hi").alias("_end")).withColumnRenamed(by, "_by")
     end = cdf.groupBy(by).agg(F.max("hi").alias("_end")).withColumnRenamed(by, "_by")
     last = F.col("hi") == F.col("_end")
-    placed = cdf.join(end, F.col(by) == F.col("_by")).where("hi > lo").withColumn("_hi", F.when(last, F.lit(float("inf"))).otherwise(F.col("hi")))
+    placed = cdf.join(merged(end), F.col(by) == F.col("_by")).where("hi > lo").withColumn("_hi", F.when(last, F.lit(float("inf"))).otherwise(F.col("hi")))
     placed = placed.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("lo")), F.when(last, many - 1).otherwise(bin_of(F.col("hi"))))))
     placed = placed.select(F.col(by).alias("_of"), "_bin", F.col("lo").alias("_lo"), "_hi", F.struct(*columns).alias("pick"))
-    asked = samples.join(size, F.col(by) == F.col("_by")).withColumn("_at", bin_of(F.col(u))).drop("_by", "_end", "slices")
-    met = asked.join(placed, (F.col(by) == F.col("_of")) & (F.col("_at") == F.col("_bin")) & (F.col(u) >= F.col("_lo")) & (F.col(u) < F.col("_hi")))
+    asked = samples.join(merged(size), F.col(by) == F.col("_by")).withColumn("_at", bin_of(F.col(u))).drop("_by", "_end", "slices")
+    met = asked.join(merged(placed), (F.col(by) == F.col("_of")) & (F.col("_at") == F.col("_bin")) & (F.col(u) >= F.col("_lo")) & (F.col(u) < F.col("_hi")))
     return met.drop("_at", "_of", "_bin", "_lo", "_hi")
 
 
@@ -141,7 +141,7 @@ def trilinear(points: DataFrame, nodes: DataFrame, n: int, key: list[str]) -> Da
     eight = cell.select("*", F.inline(offsets))
     weight = " * ".join(f"if(o{c} = 1, f{c} - c{c}, 1 - (f{c} - c{c}))" for c in "xyz")
     eight = eight.selectExpr(*points.columns, *(f"c{c} + o{c} as i{c}" for c in "xyz"), f"{weight} as w")
-    met = eight.join(nodes.select("mesh_id", "ix", "iy", "iz", "sdf"), ["mesh_id", "ix", "iy", "iz"])
+    met = eight.join(merged(nodes.select("mesh_id", "ix", "iy", "iz", "sdf")), ["mesh_id", "ix", "iy", "iz"])
     return met.groupBy(*key, *[c for c in "xyz" if c not in key]).agg(F.sum(F.col("w") * F.col("sdf")).alias("sd"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlark.storage import merged
+
 
 def explode_bins(rows: DataFrame, ranges: dict[str, tuple[Column, Column]]) -> DataFrame:
     """One row for each bin of the box of bin ranges; an empty range drops the row."""
@@ -22,5 +24,5 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], axes: list[str],
     """
     spread = explode_bins(left, {f"_{a}": (F.floor((F.col(f"l_{a}") - reach) / cell), F.floor((F.col(f"l_{a}") + reach) / cell)) for a in axes})
     placed = right.select("*", *(F.floor(F.col(f"r_{a}") / cell).alias(f"_{a}") for a in axes))
-    met = spread.join(placed, on + [f"_{a}" for a in axes])
+    met = spread.join(merged(placed), on + [f"_{a}" for a in axes])
     return met.drop(*(f"_{a}" for a in axes)).where(" and ".join(f"abs(l_{a} - r_{a}) <= {reach!r}D" for a in axes))

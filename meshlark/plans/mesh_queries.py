@@ -8,7 +8,7 @@ from meshlark.functions.expressions import DUCK, edge_flags, jitter, tidy
 from meshlark.operators import mesh as M
 from meshlark.plans.derived import EPS, SQL_BOX, SQL_CHAIN, SQL_SOUP, SQL_TRI, TURN, box_soup, box_welded, boxes, chained_soup, tessellated, turned
 from meshlark.sources.meshes import soup_tables
-from meshlark.storage import checkpoint
+from meshlark.storage import checkpoint, merged
 
 _XYZ = [f"{tidy(c)} as {c}" for c in "xyz"]
 
@@ -133,7 +133,7 @@ def turned_canonical(spark, sf_dir):
     vertices, faces = tessellated(boxes(spark, sf_dir), 3)
     v, f = M.canonicalize(turned(vertices), faces)
     v = v.groupBy("mesh_id").agg(F.count("*").alias("n"), *(F.max(F.abs(c)).alias(f"reach_{c}") for c in "xyz"))
-    v = v.join(f.groupBy("mesh_id").agg(F.count("*").alias("faces"), F.sum("flip").cast("long").alias("flips")), "mesh_id")
+    v = v.join(merged(f.groupBy("mesh_id").agg(F.count("*").alias("faces"), F.sum("flip").cast("long").alias("flips"))), "mesh_id")
     return v.selectExpr("mesh_id", "n", "faces", "flips", *(f"{tidy(f'reach_{c}')} as reach_{c}" for c in "xyz"))
 
 
@@ -158,8 +158,8 @@ def mesh_sampler_summary(spark, sf_dir):
     vertices, faces = M.canonicalize(*soup_tables(_soup(spark, sf_dir)))
     vertices = checkpoint(vertices)
     tri = M.triangles(vertices, faces).groupBy("mesh_id").agg(F.count("*").alias("triangles"), (F.sum("area2") / 2).alias("area"))
-    box = M.bounding_box(vertices, "mesh_id").join(vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id")
-    out = box.join(tri, "mesh_id").join(faces.groupBy("mesh_id").agg(F.sum("flip").alias("flips")), "mesh_id")
+    box = M.bounding_box(vertices, "mesh_id").join(merged(vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"))), "mesh_id")
+    out = box.join(merged(tri), "mesh_id").join(merged(faces.groupBy("mesh_id").agg(F.sum("flip").alias("flips"))), "mesh_id")
     return out.selectExpr("mesh_id", "vertices", "triangles", "flips", f"{tidy('area')} as area", *(f"{tidy(f'max_{c}')} as max_{c}" for c in "xyz"))
 
 

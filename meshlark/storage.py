@@ -38,6 +38,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a merge join. Rows that ``inline`` or ``explode`` makes are estimated at the
+    size of the row they come from, so that Spark would send a table of many millions to the driver
+    and broadcast it because the table behind it is small."""
+    return df.hint("merge")
+
+
 class Scratch:
     """Parquet tables in the shared folder, for intermediates read more than once. A result may read
     them until the session ends, so what has not been dropped goes then."""
