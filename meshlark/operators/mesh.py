@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meshlark.functions.expressions import edge_flags
 from meshlark.operators.graph import connected_components
 from meshlark.operators.spatial import band_join
-from meshlark.storage import checkpoint, merged
+from meshlark.storage import Scratch, checkpoint, merged
 
 NODE = 1 << 31
 VECTORS = [f"{e}{a}" for e in ("a", "ab", "ac") for a in "xyz"]
@@ -58,21 +58,29 @@ def weld_pairs(vertices: DataFrame, eps: float = 1e-7) -> DataFrame:
     return near.where(" + ".join(f"(l_{a}-r_{a})*(l_{a}-r_{a})" for a in "xyz") + f" <= {eps * eps!r}D").select("mesh_id", "i", "j")
 
 
-def weld_components(vertices: DataFrame, eps: float = 1e-7) -> DataFrame:
-    """``mesh_id, vertex_id, root``. Vertices of one place are one class, so a place with many copies
-    makes no pairs; only distinct places are joined."""
-    place = vertices.groupBy("mesh_id", "x", "y", "z").agg(F.min("vertex_id").alias("vertex_id"))
+def weld_places(vertices: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """``mesh_id, x, y, z, vertex_id, copies, root``: the distinct places with their smallest vertex and
+    how many they have. A place with many copies makes no pairs; only distinct places are joined."""
+    place = vertices.groupBy("mesh_id", "x", "y", "z").agg(F.min("vertex_id").alias("vertex_id"), F.count("*").alias("copies"))
+    place = Scratch(vertices.sparkSession).write(place, "places")
     node = lambda c: F.col("mesh_id").cast("long") * NODE + F.col(c)
     pairs = weld_pairs(place, eps).select(node("i").alias("src"), node("j").alias("dst"))
     joined = connected_components(pairs).select(F.col("node"), (F.col("component") % NODE).alias("low"))
-    roots = place.join(merged(joined), node("vertex_id") == F.col("node"), "left").select(F.col("mesh_id").alias("m"), *(F.col(c).alias(f"_{c}") for c in "xyz"), F.coalesce("low", "vertex_id").alias("root"))
+    return place.join(merged(joined), node("vertex_id") == F.col("node"), "left").select(*place.columns, F.coalesce("low", "vertex_id").alias("root"))
+
+
+def weld_components(vertices: DataFrame, eps: float = 1e-7) -> DataFrame:
+    """``mesh_id, vertex_id, root``. Vertices of one place are one class (see ``weld_places``)."""
+    roots = weld_places(vertices, eps).select(F.col("mesh_id").alias("m"), *(F.col(c).alias(f"_{c}") for c in "xyz"), "root")
     same = (F.col("mesh_id") == F.col("m")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("z") == F.col("_z"))
     return vertices.join(merged(roots), same).select("mesh_id", "vertex_id", "x", "y", "z", "root")
 
 
 def weld_vertices(welded: DataFrame) -> DataFrame:
-    """``mesh_id, root, vertex_id, x, y, z``: cluster means with dense ids."""
-    mean = welded.groupBy("mesh_id", "root").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("members"))
+    """``mesh_id, root, vertex_id, x, y, z``: cluster means with dense ids, of every vertex or of places
+    with their ``copies``."""
+    copies = F.col("copies") if "copies" in welded.columns else F.lit(1)
+    mean = welded.groupBy("mesh_id", "root").agg(*((F.sum(F.col(c) * copies) / F.sum(copies)).alias(c) for c in "xyz"), F.sum(copies).alias("members"))
     return mean.withColumn("vertex_id", F.row_number().over(Window.partitionBy("mesh_id").orderBy("root")))
 
 
@@ -163,8 +171,8 @@ def checked(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def centred(vertices: DataFrame) -> DataFrame:
-    mean = vertices.groupBy("mesh_id").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
-    return vertices.join(merged(mean), "mesh_id").withColumns({c: F.col(c) - F.col(f"m{c}") for c in "xyz"}).drop("mx", "my", "mz")
+    whole = Window.partitionBy("mesh_id")
+    return vertices.withColumns({f"m{c}": F.avg(c).over(whole) for c in "xyz"}).withColumns({c: F.col(c) - F.col(f"m{c}") for c in "xyz"}).drop("mx", "my", "mz")
 
 
 def moments(vertices: DataFrame) -> DataFrame:
@@ -192,9 +200,9 @@ def principal_axes(second: DataFrame) -> DataFrame:
 def aligned(vertices: DataFrame, axes: DataFrame, reach: float = 0.9) -> DataFrame:
     """Rotated into the axes and scaled so that the farthest vertex lies at ``reach``."""
     turned = vertices.join(merged(axes), "mesh_id").selectExpr("mesh_id", "vertex_id", *(f"u1{j}*x + u2{j}*y + u3{j}*z as {c}" for j, c in enumerate("xyz", 1)))
-    r = turned.groupBy("mesh_id").agg(F.sqrt(F.max(F.expr("x*x + y*y + z*z"))).alias("r"))
+    turned = turned.withColumn("r", F.sqrt(F.max(F.expr("x*x + y*y + z*z")).over(Window.partitionBy("mesh_id"))))
     scale = F.lit(reach) / (F.col("r") + F.when(F.col("r") == 0, 1.0).otherwise(0.0))
-    return turned.join(merged(r), "mesh_id").select("mesh_id", "vertex_id", *((F.col(c) * scale).alias(c) for c in "xyz"))
+    return turned.select("mesh_id", "vertex_id", *((F.col(c) * scale).alias(c) for c in "xyz"))
 
 
 def bounding_box(points: DataFrame, by: str) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from meshlark.storage import merged
 
+#: Where cells begin, as a share of a cell: coordinates are often round, and would lie on borders.
+SHIFT = 0.381966
+
 
 def explode_bins(rows: DataFrame, ranges: dict[str, tuple[Column, Column]]) -> DataFrame:
     """One row for each bin of the box of bin ranges; an empty range drops the row."""
@@ -20,9 +23,11 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], axes: list[str],
     """Pairs whose coordinates ``l_axis`` and ``r_axis`` differ by at most ``reach`` on every axis.
 
     Right rows stand in their own cell, left rows in every cell they can reach; with ``cell`` well
-    over ``reach`` that is mostly one. Columns keep their names; the sides must not share any but ``on``.
+    over ``reach`` that is mostly one: borders lie off round numbers. Columns keep their names; the
+    sides must not share any but ``on``.
     """
-    spread = explode_bins(left, {f"_{a}": (F.floor((F.col(f"l_{a}") - reach) / cell), F.floor((F.col(f"l_{a}") + reach) / cell)) for a in axes})
-    placed = right.select("*", *(F.floor(F.col(f"r_{a}") / cell).alias(f"_{a}") for a in axes))
+    at = lambda x: F.floor(x / cell + SHIFT)
+    spread = explode_bins(left, {f"_{a}": (at(F.col(f"l_{a}") - reach), at(F.col(f"l_{a}") + reach)) for a in axes})
+    placed = right.select("*", *(at(F.col(f"r_{a}")).alias(f"_{a}") for a in axes))
     met = spread.join(merged(placed), on + [f"_{a}" for a in axes])
     return met.drop(*(f"_{a}" for a in axes)).where(" and ".join(f"abs(l_{a} - r_{a}) <= {reach!r}D" for a in axes))

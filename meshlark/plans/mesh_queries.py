@@ -26,6 +26,11 @@ def _welded(spark, sf_dir):
     return clusters, checkpoint(kept)
 
 
+def _clusters(spark, sf_dir):
+    """Clusters of the welded soup, without its faces."""
+    return M.weld_vertices(M.weld_places(soup_tables(_soup(spark, sf_dir))[0]))
+
+
 def mesh_soup(spark, sf_dir):
     return _soup(spark, sf_dir).selectExpr("mesh_id", "face_id", "vertex_id", *_XYZ)
 
@@ -108,17 +113,17 @@ def component_volume(spark, sf_dir):
 
 
 def mesh_centroid(spark, sf_dir):
-    v = _welded(spark, sf_dir)[0].groupBy("mesh_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
+    v = _clusters(spark, sf_dir).groupBy("mesh_id").agg(*(F.avg(c).alias(c) for c in "xyz"))
     return v.selectExpr("mesh_id", *_XYZ)
 
 
 def mesh_moments(spark, sf_dir):
-    m = M.moments(M.centred(_welded(spark, sf_dir)[0]))
+    m = M.moments(M.centred(_clusters(spark, sf_dir)))
     return m.selectExpr("mesh_id", *(f"{tidy(c)} as {c}" for c in ("xx", "xy", "xz", "yy", "yz", "zz")))
 
 
 def mesh_axes(spark, sf_dir):
-    u = M.principal_axes(M.moments(M.centred(_welded(spark, sf_dir)[0])))
+    u = M.principal_axes(M.moments(M.centred(_clusters(spark, sf_dir))))
     return u.selectExpr("mesh_id", *(f"{tidy(f'u{i}{j}')} as u{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)))
 
 
@@ -138,7 +143,7 @@ def turned_canonical(spark, sf_dir):
 
 
 def mesh_canonical(spark, sf_dir):
-    points = M.centred(_welded(spark, sf_dir)[0])
+    points = M.centred(_clusters(spark, sf_dir))
     v = M.aligned(points, M.principal_axes(M.moments(points)))
     return v.groupBy("mesh_id").agg(F.count("*").alias("n"), *(F.max(F.abs(c)).alias(f"reach_{c}") for c in "xyz"), F.max(F.expr("sqrt(x*x+y*y+z*z)")).alias("r")).selectExpr("mesh_id", "n", *(f"{tidy(f'reach_{c}')} as reach_{c}" for c in "xyz"), f"{tidy('r')} as r")
 

@@ -23,3 +23,19 @@ def test_no_derived_table_is_broadcast(spark, monkeypatch, name):
         monkeypatch.setattr(f"{module}.checkpoint", seen)
     plans.append(QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString())
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoop" in p]
+
+
+def test_round_coordinates_stand_in_one_cell(spark):
+    from pyspark.sql import functions as F
+
+    from meshlark.operators import spatial
+
+    met = []
+    real = spatial.explode_bins
+    rows = spark.range(100).select(F.lit(1).alias("mesh_id"), (F.col("id") / 100).alias("l_x"), (F.col("id") / 100).alias("r_x"))
+    try:
+        spatial.explode_bins = lambda *a: met.append(real(*a)) or met[0]
+        pairs = spatial.band_join(rows.select("mesh_id", "l_x"), rows.select("mesh_id", "r_x"), ["mesh_id"], ["x"], 1e-7, 1e-3)
+    finally:
+        spatial.explode_bins = real
+    assert met[0].count() == 100 and pairs.count() == 100
