@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meshlark.functions import expressions as X
 from meshlark.operators.grid import check_resolution
 from meshlark.operators.mesh import bounding_box, canonicalize, triangles
-from meshlark.operators.sdf import field_nodes, fields
+from meshlark.operators.sdf import fields
 from meshlark.storage import checkpoint, merged
 
 
@@ -145,6 +145,19 @@ def trilinear(points: DataFrame, nodes: DataFrame, n: int, key: list[str]) -> Da
     return met.groupBy(*key, *[c for c in "xyz" if c not in key]).agg(F.sum(F.col("w") * F.col("sdf")).alias("sd"))
 
 
+def plane_lookup(points: DataFrame, planes: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """``trilinear`` on planes (see ``sdf.fields``) as they are: a point meets the plane below and the one
+    above it and picks four nodes of each, so that the field is not written out node by node."""
+    cell = points.selectExpr("*", *(f"({c} + 1e0) / (2e0 / {n - 1}) + 1e0 as f{c}" for c in "xyz"))
+    cell = cell.selectExpr("*", *(f"greatest(1, least({n - 1}, cast(floor(f{c}) as int))) as c{c}" for c in "xyz"))
+    cell = cell.selectExpr(*points.columns, "cx", "cy", "fx - cx as wx", "fy - cy as wy", "inline(array(struct(cz as iz, 1 - (fz - cz) as wz), struct(cz + 1 as iz, fz - cz as wz)))")
+    met = cell.join(merged(planes.select("mesh_id", "iz", "sdf")), ["mesh_id", "iz"])
+    node = lambda i, j: f"sdf[cx - 1 + {i} + (cy - 1 + {j}) * {n}]"
+    blend = " + ".join(f"{'wx' if i else '(1 - wx)'} * {'wy' if j else '(1 - wy)'} * {node(i, j)}" for i in (0, 1) for j in (0, 1))
+    met = met.selectExpr(*points.columns, f"wz * ({blend}) as part")
+    return met.groupBy(*key, *[c for c in "xyz" if c not in key]).agg(F.sum("part").alias("sd"))
+
+
 def mesh_samples(tri: DataFrame, planes: DataFrame, p: SamplingParameters) -> DataFrame:
     """``mesh_id, sample_id, stratum, x, y, z, sd``: all strata of every mesh, in one order of sample
     ids: surface points at distance 0, points near it by sigma, points of the cube, these with
@@ -161,7 +174,7 @@ def mesh_samples(tri: DataFrame, planes: DataFrame, p: SamplingParameters) -> Da
             parts.append(part.select("mesh_id", "sample_id", F.lit(stratum).alias("stratum"), "x", "y", "z"))
     off = reduce(DataFrame.union, parts)
     n = p.resolution
-    met = trilinear(off, field_nodes(planes, n), n, ["mesh_id", "sample_id", "stratum"])
+    met = plane_lookup(off, planes, n, ["mesh_id", "sample_id", "stratum"])
     return reduce(DataFrame.union, found).union(met.select("mesh_id", "sample_id", "stratum", "x", "y", "z", "sd"))
 
 

@@ -59,7 +59,7 @@ def volume_samples(spark, sf_dir):
 def _with_distance(spark, sf_dir):
     planes = sdf.fields(_tri(spark, sf_dir), N)
     points = S.volume_samples(boxes(spark, sf_dir), 1, SAMPLES)
-    return S.trilinear(points, sdf.field_nodes(planes, N), N, ["mesh_id", "sample_id"])
+    return S.plane_lookup(points, planes, N, ["mesh_id", "sample_id"])
 
 
 def trilinear_lookup(spark, sf_dir):

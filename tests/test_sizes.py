@@ -39,3 +39,17 @@ def test_round_coordinates_stand_in_one_cell(spark):
     finally:
         spatial.explode_bins = real
     assert met[0].count() == 100 and pairs.count() == 100
+
+
+def test_points_meet_two_planes(spark):
+    from meshlark.operators import sampling, sdf
+
+    n = 5
+    field = [[float(x * x + 3 * y - x * z) for y in range(n) for x in range(n)] for z in range(n)]
+    planes = spark.createDataFrame([(1, z + 1, field[z]) for z in range(n)], "mesh_id long, iz int, sdf array<double>")
+    points = spark.createDataFrame([(1, 1, -1.0, -1.0, -1.0), (1, 2, 1.0, 1.0, 1.0), (1, 3, 0.3, -0.7, 0.11), (1, 4, -0.2, 0.5, 0.5)], "mesh_id long, sample_id long, x double, y double, z double")
+    key = ["mesh_id", "sample_id"]
+    want = {r.sample_id: r.sd for r in sampling.trilinear(points, sdf.field_nodes(planes, n), n, key).collect()}
+    got = sampling.plane_lookup(points, planes, n, key)
+    assert "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.sample_id: r.sd for r in got.collect()} == pytest.approx(want)
