@@ -6,7 +6,7 @@ named by its two grid nodes, so neighbouring cells share it and the surface clos
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import permutations, product
 
 import numpy as np
@@ -14,7 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshlark.operators.sdf import NODES
+from meshlark.operators.batches import Memo, over_triangles
+from meshlark.operators.grid import check_resolution
+from meshlark.operators.sdf import NODES, fields, mesh_fields
+
+_MEMO = Memo()
 
 
 def tetrahedra() -> np.ndarray:
@@ -177,6 +181,42 @@ def isosurfaces(planes: DataFrame, n: int, level: float = 0.0, cubes: bool = Fal
     return parts.mapInArrow(whole, "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
 
 
+def mesh_isosurfaces(tri: DataFrame, n: int, level: float = 0.0, cubes: bool = False) -> DataFrame:
+    """``isosurfaces`` of the exact fields of ``tri``. Where a mesh's grid fits one task (up to ``NODES``),
+    the surface is cut there and the field is not handed on."""
+    check_resolution(n)
+    if n**3 > NODES:
+        return isosurfaces(fields(tri, n), n, level, cubes)
+    return over_triangles(tri, partial(_surface_batches, n, level, cubes), "mesh_id long, vertices array<array<double>>, faces array<array<int>>")
+
+
+def _surface_batches(n, level, cubes, chunks):
+    held, size = [], 0
+
+    def one(sdf):
+        v, f = surface(sdf.reshape(n, n, n).transpose(2, 1, 0), level, cubes)
+        return v, (f + 1).astype(np.int32)
+
+    for mesh, key, (sdf, _) in mesh_fields(chunks, n):
+        held.append((mesh, _MEMO(("surface", n, level, cubes, key), lambda: one(sdf))))
+        size += held[-1][1][0].size + held[-1][1][1].size
+        if size > NODES:
+            yield _surfaces(held)
+            held, size = [], 0
+    if held:
+        yield _surfaces(held)
+
+
+def _surfaces(held: list) -> pa.RecordBatch:
+    lists = []
+    for k in (0, 1):
+        rows = [x[k] for _, x in held]
+        flat, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        three = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * 3), pa.array(flat.ravel()))
+        lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), three))
+    return pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.int64()), *lists], ["mesh_id", "vertices", "faces"])
+
+
 def as_tables(surfaces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``vertices`` and ``faces`` tables with ids from 1."""
     v = surfaces.select("mesh_id", F.posexplode("vertices").alias("k", "v")).select("mesh_id", (F.col("k") + 1).alias("vertex_id"), *(F.col("v")[i].alias(c) for i, c in enumerate("xyz")))

@@ -7,29 +7,35 @@ renumbered densely. Everything is keyed by ``mesh_id`` and runs for all meshes a
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlark.functions.expressions import edge_flags
+from meshlark.operators.batches import VECTORS, face_chunks, gathered, triangle_chunks
 from meshlark.operators.graph import connected_components
 from meshlark.operators.spatial import band_join
 from meshlark.storage import Scratch, checkpoint, merged
 
 NODE = 1 << 31
-VECTORS = [f"{e}{a}" for e in ("a", "ab", "ac") for a in "xyz"]
 
 
 def face_vectors(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """``mesh_id, face_id, a, b, c`` with the corner A and the edges AB and AC. Corners are looked up
-    by one join on (mesh, vertex) and gathered per face."""
-    corners = faces.select("mesh_id", "face_id", F.posexplode(F.array("a", "b", "c")).alias("k", "vertex_id"))
-    met = corners.join(merged(vertices.select("mesh_id", "vertex_id", "x", "y", "z")), ["mesh_id", "vertex_id"])
-    pick = [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("x", "y", "z", "vertex_id")]
-    wide = met.groupBy("mesh_id", "face_id").agg(*pick)
-    edge = [(F.col(f"{c}{i}") - F.col(f"{c}0")).alias(f"{e}{c}") for i, e in ((1, "ab"), (2, "ac")) for c in "xyz"]
-    return wide.select("mesh_id", "face_id", *(F.col(f"vertex_id{i}").alias(v) for i, v in enumerate("abc")), *(F.col(f"{c}0").alias(f"a{c}") for c in "xyz"), *edge)
+    """``mesh_id, face_id, a, b, c`` with the corner A and the edges AB and AC. Vertices and faces of a mesh
+    meet in one task (see ``batches``), where corners are looked up."""
+    ids = [f"{c} {faces.schema[c].dataType.simpleString()}" for c in ("mesh_id", "face_id", "a", "b", "c")]
+    made = gathered(vertices, faces).mapInArrow(_face_batches, "mesh_id long, face_id long, a long, b long, c long, " + ", ".join(f"{v} double" for v in VECTORS))
+    return made.selectExpr(*(f"cast({i.split()[0]} as {i.split()[1]}) as {i.split()[0]}" for i in ids), *VECTORS)
+
+
+def _face_batches(batches):
+    for f in face_chunks(batches):
+        there = [f.found[:, 0]] * 3 + [f.found[:, 0] & f.found[:, k] for k in (1, 2) for _ in range(3)]
+        corners = [pa.array(f.corner[:, k].astype(np.int64), mask=~f.found[:, k]) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(f.mesh), pa.array(f.face), *corners, *(pa.array(v, mask=~ok) for v, ok in zip(f.vectors.T, there))], ["mesh_id", "face_id", "a", "b", "c", *VECTORS])
 
 
 def with_area(tri: DataFrame) -> DataFrame:
@@ -41,11 +47,13 @@ def with_area(tri: DataFrame) -> DataFrame:
 def triangles(vertices: DataFrame, faces: DataFrame, least: float = 1e-20) -> DataFrame:
     """Non-degenerate triangles renumbered 1..T per mesh in face order, with edge-ownership flags. A
     mesh all of whose faces are degenerate raises."""
-    tri = with_area(face_vectors(vertices, faces)).withColumn("most", F.max(F.expr("area2 * area2")).over(Window.partitionBy("mesh_id")))
-    none = F.raise_error(F.concat(F.lit("all faces are degenerate: mesh "), F.col("mesh_id"))).cast("boolean")
-    tri = tri.where(F.when(F.col("most") > least, F.col("area2") * F.col("area2") > least).otherwise(none))
-    number = F.row_number().over(Window.partitionBy("mesh_id").orderBy("face_id"))
-    return tri.select("mesh_id", number.alias("tri_id"), "face_id", *VECTORS, "area2", F.expr(edge_flags()).alias("flags"))
+    schema = "mesh_id long, tri_id int, face_id long, " + ", ".join(f"{v} double" for v in VECTORS) + ", area2 double, flags int"
+    return gathered(vertices, faces).mapInArrow(partial(_triangle_batches, least), schema)
+
+
+def _triangle_batches(least, batches):
+    for t in triangle_chunks(batches, least):
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (t.mesh, t.tri, t.face, *t.vectors.T, t.area2, t.flags))], ["mesh_id", "tri_id", "face_id", *VECTORS, "area2", "flags"])
 
 
 def weld_pairs(vertices: DataFrame, eps: float = 1e-7) -> DataFrame:

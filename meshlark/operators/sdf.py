@@ -7,6 +7,7 @@ numpy, for any resolution, its input being the mesh's own triangles.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlark.functions import expressions as X
+from meshlark.operators.batches import VECTORS, Memo, over_triangles
 from meshlark.operators.grid import check_resolution
-from meshlark.operators.mesh import VECTORS
 from meshlark.operators.spatial import explode_bins
 
 # Seed tile (it decides what a voxel is compared with), band, parity tile, tolerances.
@@ -24,6 +25,7 @@ SEED_TILE, PARITY_TILE, BAND = (8, 8, 4), (16, 16), 5
 JITTER, EPS_DET, EPS_BARY, FALLBACK = 1e-3, 1e-10, 5e-8, 10.0
 #: Nodes of a slab, and pairs of nodes or columns with triangles looked at together.
 NODES, PAIRS = 1 << 19, 1 << 15
+_MEMO = Memo()
 
 
 def _bounds(c: str) -> tuple[str, str]:
@@ -66,10 +68,29 @@ def _nodes(rows: DataFrame, n: int, tile: tuple[int, int, int]) -> DataFrame:
 def seed_nearest(tri: DataFrame, n: int, band: int = BAND, tile: tuple[int, int, int] = SEED_TILE) -> DataFrame:
     """``mesh_id, ix, iy, iz, d2, tri_id``: nearest triangle of the voxel's tile, ties to the lowest id.
 
-    The bins carry the triangle, and the minimum pre-aggregates before the shuffle."""
+    Grids of up to ``NODES`` are seeded a mesh at a time where its triangles meet. For larger ones the
+    bins carry the triangle, and the minimum pre-aggregates before the shuffle."""
+    if n**3 <= NODES:
+        return over_triangles(tri, partial(_seed_batches, n, band, tile), "mesh_id long, ix int, iy int, iz int, d2 double, tri_id int")
     met = _nodes(seed_bins(tri, n, band, tile, tuple(VECTORS)), n, tile).selectExpr("mesh_id", "tri_id", "ix", "iy", "iz", *(f"{v} as {k}" for k, v in X.DOTS.items()))
     best = met.groupBy("mesh_id", "ix", "iy", "iz").agg(F.min(F.struct(F.expr(X.DISTANCE2).alias("d2"), "tri_id")).alias("b"))
-    return best.select("mesh_id", "ix", "iy", "iz", "b.d2", "b.tri_id")
+    return best.selectExpr("mesh_id", *(f"cast(i{c} as int) as i{c}" for c in "xyz"), "b.d2", "b.tri_id")
+
+
+def _seed_batches(n, band, tile, chunks):
+    def one(t, ids):
+        best, index = seeded(t, n, band, tile)
+        at = np.nonzero(index >= 0)
+        return *((a + 1).astype(np.int32) for a in at), best[at], ids[index[at]]
+
+    for t in chunks:
+        held, size = [], 0
+        for mesh, at, key in t.meshes():
+            held.append((mesh, _MEMO(("seed", n, band, tile, key), lambda: one(t.vectors[at], t.tri[at]))))
+            size += len(held[-1][1][0])
+            if size > NODES or at.stop == len(t.mesh):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([m for m, _ in held], [len(x[0]) for _, x in held])), *(pa.array(np.concatenate(c)) for c in zip(*(x for _, x in held)))], ["mesh_id", "ix", "iy", "iz", "d2", "tri_id"])
+                held, size = [], 0
 
 
 def parity_hits(tri: DataFrame, n: int, tile: tuple[int, int] = PARITY_TILE) -> DataFrame:
@@ -269,36 +290,63 @@ def signed(best: np.ndarray, within: np.ndarray) -> np.ndarray:
 def fields(tri: DataFrame, n: int, mode: str = "exact", corrections: int = 2) -> DataFrame:
     """``mesh_id, iz, sdf, tri``: one row a plane, values in x-fastest order.
 
-    Exact fields are made slab by slab, each a row of its own with the mesh's triangles, so that a
-    large grid spreads over the cluster and a task holds ``NODES`` nodes. Jump flooding needs the
-    whole grid of a mesh in one task. Small meshes share Arrow batches."""
+    Grids of up to ``NODES`` are made a mesh at a time where its triangles meet (``tri`` may be rows of
+    ``batches.gathered``, which saves a shuffle); meshes of equal triangles are worked out once. Larger
+    exact fields are made slab by slab, each a row of its own with the mesh's triangles, so that a large
+    grid spreads over the cluster and a task holds ``NODES`` nodes. Jump flooding needs the whole
+    grid of a mesh in one task."""
     check_resolution(n)
     deep = n if mode == "jfa" else max(1, min(n, NODES // n**2))
-
-    def one(rows: pa.StructArray, first: int) -> tuple[np.ndarray, np.ndarray]:
-        t = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in VECTORS], axis=1)
-        flags, ids, last = rows.field("flags").to_numpy(zero_copy_only=False), rows.field("tri_id").to_numpy(zero_copy_only=False), min(n, first + deep)
-        best, index = exact_index(t, n, first, last) if mode == "exact" else jump_flood(t, n, corrections)
-        s = signed(best, inside(t, n, flags, first, last))
-        return s.T.ravel(), np.where(index >= 0, ids[np.maximum(index, 0)], 0).T.ravel().astype(np.int32)
+    schema = "mesh_id long, iz int, sdf array<double>, tri array<int>"
+    if deep >= n:
+        return over_triangles(tri, partial(_field_batches, n, mode, corrections), schema)
 
     def run(batches):
         for batch in batches:
-            t, held = batch.column("t"), []
+            t = batch.column("t")
             for i, (mesh, first) in enumerate(zip(batch.column("mesh_id").to_pylist(), batch.column("first").to_pylist())):
-                held.append((mesh, first, *one(t[i].values, first)))
-                if i + 1 == batch.num_rows or sum(len(s) for _, _, s, _ in held) > NODES:
-                    iz = [np.arange(f + 1, f + 1 + len(s) // n**2, dtype=np.int32) for _, f, s, _ in held]
-                    off = pa.array(np.arange(sum(map(len, iz)) + 1, dtype=np.int32) * n**2)
-                    lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in list(zip(*held))[2:]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([m for m, *_ in held], [len(z) for z in iz]), pa.int64()), pa.array(np.concatenate(iz)), *lists], ["mesh_id", "iz", "sdf", "tri"])
-                    held = []
+                rows = t[i].values
+                v = np.stack([rows.field(c).to_numpy(zero_copy_only=False) for c in VECTORS], axis=1)
+                yield _planes([(mesh, first, *signed_field(v, rows.field("flags").to_numpy(zero_copy_only=False), rows.field("tri_id").to_numpy(zero_copy_only=False), n, mode, corrections, first, min(n, first + deep)))], n)
 
+    if "part" in tri.columns:
+        raise ValueError("slabs need rows of mesh.triangles")
     rows = tri.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("tri_id", *VECTORS, "flags"))).alias("t"))
     rows = rows.select(F.col("mesh_id").cast("long"), "t", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(deep))).alias("first"))
-    if deep < n:
-        rows = rows.repartition(int(tri.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mesh_id", "first")
-    return rows.mapInArrow(run, "mesh_id long, iz int, sdf array<double>, tri array<int>")
+    rows = rows.repartition(int(tri.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mesh_id", "first")
+    return rows.mapInArrow(run, schema)
+
+
+def signed_field(t: np.ndarray, flags: np.ndarray, ids: np.ndarray, n: int, mode: str = "exact", corrections: int = 2, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signed distances and nearest triangles of the planes ``first`` to ``last`` - 1, in x-fastest order."""
+    best, index = exact_index(t, n, first, last) if mode == "exact" else jump_flood(t, n, corrections)
+    s = signed(best, inside(t, n, flags, first, last))
+    return s.T.ravel(), np.where(index >= 0, ids[np.maximum(index, 0)], 0).T.ravel().astype(np.int32)
+
+
+def mesh_fields(chunks, n: int, mode: str = "exact", corrections: int = 2):
+    """Each mesh of the chunks with its contents and its whole field (see ``signed_field``)."""
+    for t in chunks:
+        for mesh, at, key in t.meshes():
+            yield mesh, key, _MEMO((mode, n, corrections, key), lambda: signed_field(t.vectors[at], t.flags[at], t.tri[at], n, mode, corrections))
+
+
+def _field_batches(n, mode, corrections, chunks):
+    held = []
+    for mesh, _, field in mesh_fields(chunks, n, mode, corrections):
+        held.append((mesh, 0, *field))
+        if len(held) * n**3 >= NODES:
+            yield _planes(held, n)
+            held = []
+    if held:
+        yield _planes(held, n)
+
+
+def _planes(held: list, n: int) -> pa.RecordBatch:
+    iz = [np.arange(f + 1, f + 1 + len(s) // n**2, dtype=np.int32) for _, f, s, _ in held]
+    off = pa.array(np.arange(sum(map(len, iz)) + 1, dtype=np.int32) * n**2)
+    lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in list(zip(*held))[2:]]
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat([m for m, *_ in held], [len(z) for z in iz]), pa.int64()), pa.array(np.concatenate(iz)), *lists], ["mesh_id", "iz", "sdf", "tri"])
 
 
 def field_nodes(planes: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meshlark.functions.expressions import DISTANCE2, DOTS, DUCK, box_distance, coordinate, tidy, voxel
 from meshlark.operators import isosurface, sdf
+from meshlark.operators.batches import gathered
 from meshlark.operators.mesh import triangles
 from meshlark.operators.tables import counts_and_offsets
 from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes, tessellated
@@ -17,6 +18,11 @@ def _tri(spark, sf_dir):
     return triangles(*box_welded(boxes(spark, sf_dir)))
 
 
+def _rows(spark, sf_dir):
+    """The same as rows of vertices and faces, for what is made a mesh at a time."""
+    return gathered(*box_welded(boxes(spark, sf_dir)))
+
+
 def point_triangle_distance(spark, sf_dir):
     """Distance of every vector's first three components to one triangle."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id", *(f"cast(embedding[{i}] as double) as p{c}" for i, c in enumerate("xyz")))
@@ -44,18 +50,18 @@ def active_tiles(spark, sf_dir):
 
 
 def seed_nearest(spark, sf_dir):
-    got = sdf.seed_nearest(_tri(spark, sf_dir), N)
+    got = sdf.seed_nearest(_rows(spark, sf_dir), N)
     return got.groupBy("mesh_id", "iz").agg(F.count("*").alias("n"), F.sum(F.sqrt("d2")).alias("d")).selectExpr("mesh_id", "iz", "n", f"{tidy('d')} as d")
 
 
 def exact_field(spark, sf_dir):
-    got = sdf.fields(_tri(spark, sf_dir), N)
+    got = sdf.fields(_rows(spark, sf_dir), N)
     return got.selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + abs(v)) as d").selectExpr("mesh_id", "iz", f"{tidy('d')} as d")
 
 
 def jfa_field(spark, sf_dir):
     """Sum of distances by jump flooding; never below the exact sum."""
-    got = sdf.fields(_tri(spark, sf_dir), M, "jfa").selectExpr("mesh_id", "aggregate(sdf, 0e0, (a, v) -> a + abs(v)) as d")
+    got = sdf.fields(_rows(spark, sf_dir), M, "jfa").selectExpr("mesh_id", "aggregate(sdf, 0e0, (a, v) -> a + abs(v)) as d")
     return got.groupBy("mesh_id").agg(F.sum("d").alias("d")).selectExpr("mesh_id", f"{tidy('d')} as d")
 
 
@@ -68,36 +74,36 @@ def parity_fill(spark, sf_dir):
 
 
 def signed_field(spark, sf_dir):
-    got = sdf.fields(_tri(spark, sf_dir), M)
+    got = sdf.fields(_rows(spark, sf_dir), M)
     total = got.selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + v) as total", "array_min(sdf) as least")
     return total.selectExpr("mesh_id", "iz", f"{tidy('total')} as total", f"{tidy('least')} as least")
 
 
 def tessellated_field(spark, sf_dir):
     """The signed field of boxes of 108 triangles, whose edges run through the sides."""
-    got = sdf.fields(triangles(*tessellated(boxes(spark, sf_dir), 3)), N).selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + v) as total", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
+    got = sdf.fields(gathered(*tessellated(boxes(spark, sf_dir), 3)), N).selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + v) as total", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
     return got.selectExpr("mesh_id", "iz", f"{tidy('total')} as total", "n")
 
 
 def negative_slice_counts(spark, sf_dir):
-    return sdf.fields(_tri(spark, sf_dir), M).selectExpr("mesh_id", "cast(iz as bigint) as iz", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
+    return sdf.fields(_rows(spark, sf_dir), M).selectExpr("mesh_id", "cast(iz as bigint) as iz", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
 
 
 def isosurface_meshes(spark, sf_dir):
     """Reconstruction of every mesh: counts and whether its Euler number is that of a closed surface."""
-    got = isosurface.isosurfaces(sdf.fields(_tri(spark, sf_dir), M), M)
+    got = isosurface.mesh_isosurfaces(_rows(spark, sf_dir), M)
     return got.selectExpr("mesh_id", "cast(size(vertices) as bigint) as vertices", "cast(size(faces) as bigint) as faces", "2 * size(vertices) - size(faces) = 4 as closed")
 
 
 def isosurface_cubes(spark, sf_dir):
     """The same by marching cubes."""
-    got = isosurface.isosurfaces(sdf.fields(_tri(spark, sf_dir), M), M, cubes=True)
+    got = isosurface.mesh_isosurfaces(_rows(spark, sf_dir), M, cubes=True)
     return got.selectExpr("mesh_id", "cast(size(vertices) as bigint) as vertices", "cast(size(faces) as bigint) as faces", "array_max(transform(vertices, v -> v[2])) as z").selectExpr("mesh_id", "vertices", "faces", f"{tidy('z')} as z")
 
 
 def isosurface_zmax(spark, sf_dir):
     """Greatest height of the reconstruction."""
-    got = isosurface.isosurfaces(sdf.fields(_tri(spark, sf_dir), M), M)
+    got = isosurface.mesh_isosurfaces(_rows(spark, sf_dir), M)
     return got.selectExpr("mesh_id", "array_max(transform(vertices, v -> v[2])) as z").selectExpr("mesh_id", f"{tidy('z')} as z")
 
 

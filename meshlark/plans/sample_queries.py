@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meshlark.functions.expressions import DUCK, box_distance, coordinate, normal_cdf, normal_quantile, tidy, uniform, with_uniforms
 from meshlark.operators import sdf
 from meshlark.operators import sampling as S
+from meshlark.operators.batches import gathered
 from meshlark.operators.mesh import triangles
 from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes
 
@@ -57,7 +58,7 @@ def volume_samples(spark, sf_dir):
 
 
 def _with_distance(spark, sf_dir):
-    planes = sdf.fields(_tri(spark, sf_dir), N)
+    planes = sdf.fields(gathered(*box_welded(boxes(spark, sf_dir))), N)
     points = S.volume_samples(boxes(spark, sf_dir), 1, SAMPLES)
     return S.plane_lookup(points, planes, N, ["mesh_id", "sample_id"])
 
