@@ -6,16 +6,18 @@ A draw is a hash of (mesh, sample, draw number), so samples do not depend on par
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshlark.functions import expressions as X
+from meshlark.operators.batches import faces_of, gathered, over_triangles, runs, tables_of, triangles_of, whole
 from meshlark.operators.grid import check_resolution
 from meshlark.operators.mesh import bounding_box, canonicalize, triangles
-from meshlark.operators.sdf import fields
+from meshlark.operators.sdf import NODES, fields, mesh_fields
 from meshlark.storage import checkpoint, merged
 
 
@@ -108,12 +110,42 @@ def sample_ids(meshes: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def surface_samples(tri: DataFrame, first: int, last: int) -> DataFrame:
-    """Uniform points on the surface: ``mesh_id, sample_id, face, x, y, z``."""
-    vectors = [f"{e}{c}" for e in ("a", "ab", "ac") for c in "xyz"]
-    cdf = cumulated(area_weights(tri), "mesh_id", "tri_id", "weight")
-    s = X.with_uniforms(sample_ids(tri.select("mesh_id").distinct(), first, last), "mesh_id", "sample_id", {"u0": 0, "u1": 1, "u2": 2})
-    s = draw(s, cdf, "mesh_id", "u0", "tri_id", *vectors).select("mesh_id", "sample_id", "u1", "u2", "pick.*")
-    return s.selectExpr("mesh_id", "sample_id", "tri_id as face", *(f"a{c} + sqrt(u1)*(1-u2)*ab{c} + sqrt(u1)*u2*ac{c} as {c}" for c in "xyz"))
+    """Uniform points on the surface: ``mesh_id, sample_id, face, x, y, z``, drawn where a mesh's triangles
+    meet (``tri`` may be rows of ``batches.gathered``)."""
+    return over_triangles(tri, partial(_surface_batches, first, last), "mesh_id long, sample_id int, face int, x double, y double, z double")
+
+
+def uniforms(mesh: np.ndarray, sample: np.ndarray, draw: int) -> np.ndarray:
+    """``expressions.uniform`` of arrays."""
+    word = lambda x: np.asarray(x).astype(np.int64).astype(np.uint64)
+    h = (word(mesh) * np.uint64(2654435761) + word(sample) * np.uint64(2246822519) + np.uint64(draw * 3266489917)) & np.uint64(X.MASK)
+    for shift, by in ((16, X.MIX_1), (15, X.MIX_2)):
+        h = ((h ^ (h >> np.uint64(shift))) * np.uint64(by)) & np.uint64(X.MASK)
+    return ((h ^ (h >> np.uint64(16))).astype(float) + 0.5) / 4294967296
+
+
+def drawn(weight: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The slice of [0, 1) by weight, in order, that holds ``u``; past the last end (rounding) the last
+    slice that has weight."""
+    run = np.cumsum(weight / np.cumsum(weight)[-1])
+    if not run[-1] > 0:
+        raise ValueError("mesh without area")
+    return np.minimum(np.searchsorted(run / run[-1], u, "right"), np.flatnonzero(weight > 0)[-1])
+
+
+def _surface_batches(first, last, chunks):
+    ids = np.arange(first, last + 1, dtype=np.int32)
+    many = max(1, (1 << 17) // len(ids))
+    for t in chunks:
+        ends = runs(t.mesh)
+        for k in range(0, len(ends) - 1, many):
+            own = ends[k : k + many + 1].tolist()
+            mesh, sample = np.repeat(t.mesh[own[:-1]], len(ids)), np.tile(ids, len(own) - 1)
+            u = uniforms(mesh, sample, 0).reshape(-1, len(ids))
+            pick = np.concatenate([s + drawn(t.area2[s:e], x) for s, e, x in zip(own, own[1:], u)])
+            root, v2, v = np.sqrt(uniforms(mesh, sample, 1)), uniforms(mesh, sample, 2), t.vectors[pick].T
+            xyz = [v[c] + root * (1 - v2) * v[3 + c] + root * v2 * v[6 + c] for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (mesh, sample, t.tri[pick].astype(np.int32), *xyz))], ["mesh_id", "sample_id", "face", "x", "y", "z"])
 
 
 def near_surface_samples(surface: DataFrame, sigma: float) -> DataFrame:
@@ -158,6 +190,37 @@ def plane_lookup(points: DataFrame, planes: DataFrame, n: int, key: list[str]) -
     return met.groupBy(*key, *[c for c in "xyz" if c not in key]).agg(F.sum("part").alias("sd"))
 
 
+def field_lookup(vertices: DataFrame, faces: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """``mesh_id, sample_id, x, y, z, sd``: samples with the distance blended from the exact field of their
+    mesh, as ``plane_lookup`` has it. Where a mesh's grid fits one task, samples are dealt to its triangles
+    and the field is not handed on."""
+    check_resolution(n)
+    if n**3 > NODES:
+        return plane_lookup(points, fields(triangles(vertices, faces), n), n, ["mesh_id", "sample_id"]).select("mesh_id", "sample_id", "x", "y", "z", "sd")
+    return gathered(vertices, faces, points).mapInArrow(partial(_lookup_batches, n), "mesh_id long, sample_id long, x double, y double, z double, sd double")
+
+
+def blended(field: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Values of a field (z, y, x) at points (P, 3)."""
+    n = len(field)
+    at = (p + 1) / (2 / (n - 1)) + 1
+    cell = np.clip(np.floor(at).astype(int), 1, n - 1)
+    (fx, fy, fz), (i, j, k), out = (at - cell).T, cell.T - 1, 0.0
+    for a, b, c in np.ndindex(2, 2, 2):
+        out = out + (fz if a else 1 - fz) * ((fx if c else 1 - fx) * (fy if b else 1 - fy) * field[k + a, j + b, i + c])
+    return out
+
+
+def _lookup_batches(n, batches):
+    for table in whole(batches):
+        mesh, sample, p = tables_of(table)[2]
+        sd, has = np.empty(len(mesh)), np.zeros(len(mesh), bool)
+        for one, _, (field, _) in mesh_fields([triangles_of(faces_of(table))], n):
+            s, e = np.searchsorted(mesh, (one, one + 1))
+            sd[s:e], has[s:e] = blended(field.reshape(n, n, n), p[s:e]), True
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (mesh[has], sample[has], *p[has].T, sd[has]))], ["mesh_id", "sample_id", "x", "y", "z", "sd"])
+
+
 def mesh_samples(tri: DataFrame, planes: DataFrame, p: SamplingParameters) -> DataFrame:
     """``mesh_id, sample_id, stratum, x, y, z, sd``: all strata of every mesh, in one order of sample
     ids: surface points at distance 0, points near it by sigma, points of the cube, these with

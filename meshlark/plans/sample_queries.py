@@ -44,12 +44,12 @@ def sample_strata(spark, sf_dir):
 
 
 def surface_samples(spark, sf_dir):
-    got = S.surface_samples(_tri(spark, sf_dir), 1, SAMPLES)
+    got = S.surface_samples(gathered(*box_welded(boxes(spark, sf_dir))), 1, SAMPLES)
     return got.selectExpr("mesh_id", "cast(sample_id as bigint) as sample_id", "cast(face as bigint) as face", *(f"{tidy(c)} as {c}" for c in "xyz"))
 
 
 def near_surface_samples(spark, sf_dir):
-    got = S.near_surface_samples(S.surface_samples(_tri(spark, sf_dir), 1, SAMPLES), SIGMA)
+    got = S.near_surface_samples(S.surface_samples(gathered(*box_welded(boxes(spark, sf_dir))), 1, SAMPLES), SIGMA)
     return got.selectExpr("mesh_id", "cast(sample_id as bigint) as sample_id", *(f"{tidy(c)} as {c}" for c in "xyz"))
 
 
@@ -58,9 +58,8 @@ def volume_samples(spark, sf_dir):
 
 
 def _with_distance(spark, sf_dir):
-    planes = sdf.fields(gathered(*box_welded(boxes(spark, sf_dir))), N)
     points = S.volume_samples(boxes(spark, sf_dir), 1, SAMPLES)
-    return S.plane_lookup(points, planes, N, ["mesh_id", "sample_id"])
+    return S.field_lookup(*box_welded(boxes(spark, sf_dir)), points, N)
 
 
 def trilinear_lookup(spark, sf_dir):

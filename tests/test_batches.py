@@ -67,3 +67,33 @@ def test_missing_corners_and_far_ids(spark):
     got = {r.face_id: r for r in M.face_vectors(v, f).collect()}
     assert sorted(got) == [1, 2, 3] and got[1].a == big + 1 and got[3].c is None and got[3].acx is None and got[3].abx == pytest.approx(1.22)
     assert {r.face_id: r.tri_id for r in M.triangles(v, f).collect()} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("name", ["trilinear_lookup", "eikonal_subset", "near_surface_samples", "surface_samples"])
+def test_samples_meet_no_written_out_field_or_weights(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and 1 <= plan.count("Exchange") <= 2
+
+
+def test_lookup_beside_the_triangles_is_that_of_planes(spark):
+    from meshlark.operators import sampling
+
+    v, f = tables(spark, FACES)
+    p = np.random.default_rng(5).uniform(-1, 1, (200, 3)).tolist() + [[-1.0, -1.0, -1.0], [1.0, 1.0, 1.0]]
+    points = spark.createDataFrame([(1, i, *x) for i, x in enumerate(p)] + [(9, 1, 0.0, 0.0, 0.0)], "mesh_id long, sample_id long, x double, y double, z double")
+    want = {r.sample_id: r.sd for r in sampling.plane_lookup(points, sdf.fields(M.triangles(v, f), 9), 9, ["mesh_id", "sample_id"]).collect()}
+    got = sampling.field_lookup(v, f, points, 9).collect()
+    assert len(got) == 202 and {r.sample_id: r.sd for r in got} == pytest.approx(want)
+
+
+def test_draws_in_batches(spark):
+    from meshlark.functions import expressions as X
+    from meshlark.operators import sampling
+
+    rows = [(m, s) for m in (0, 1, 77, 1200000, 1 << 31) for s in (1, 24, 131072)]
+    want = [r[2] for r in X.with_uniforms(spark.createDataFrame(rows, "m long, s long"), "m", "s", {"u": 2}).collect()]
+    assert sampling.uniforms(*np.array(rows).T, 2).tolist() == want
+    weight = np.array([0.0, 2.0, 0.0, 1.0, 0.0])
+    assert sampling.drawn(weight, np.array([0.0, 0.6, 2 / 3 + 1e-9, 1 - 2**-53, 1.0])).tolist() == [1, 1, 3, 3, 3]
+    with pytest.raises(ValueError, match="area"), np.errstate(invalid="ignore"):
+        sampling.drawn(np.zeros(3), np.array([0.5]))
