@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlark.operators import cleaning
 from meshlark.operators.batches import VECTORS, face_chunks, gathered, triangle_chunks
 from meshlark.operators.graph import connected_components
 from meshlark.operators.spatial import band_join
@@ -217,8 +218,26 @@ def bounding_box(points: DataFrame, by: str) -> DataFrame:
     return points.groupBy(by).agg(*(f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"))
 
 
+def weld(vertices: DataFrame, faces: DataFrame, eps: float = 1e-7, orient: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """Clusters (see ``weld_vertices``) and faces on them, renumbered, where asked for wound outward (see
+    ``reorient``), made where a mesh's rows meet; none if a mesh has more than ``LARGE`` faces."""
+    if eps <= 0:
+        raise ValueError("eps must be positive")
+    most = faces.groupBy("mesh_id").count().agg(F.max("count")).first()[0]
+    if most is not None and most > cleaning.LARGE:
+        return None
+    made = gathered(vertices, faces).mapInArrow(partial(cleaning.weld_batches, eps, orient), cleaning.COLUMNS)
+    made = Scratch(vertices.sparkSession).write(made, "welded")
+    clusters = made.where("part = 0").selectExpr("mesh_id", "id as root", "p as x", "q as y", "r as z", "members", "flip as vertex_id")
+    kept = made.where("part = 1").selectExpr("mesh_id", "cast(members as int) as face_id", "id as component", *(f"cast({k} as int) as {c}" for k, c in zip("pqr", "abc")), "flip")
+    return clusters, kept if orient else kept.drop("component", "flip")
+
+
 def canonicalize(vertices: DataFrame, faces: DataFrame, eps: float = 1e-7) -> tuple[DataFrame, DataFrame]:
     """Weld, centre, orient, align: canonical ``vertices`` and ``faces``."""
+    if made := weld(vertices, faces, eps, True):
+        points = centred(made[0].select("mesh_id", "vertex_id", "x", "y", "z"))
+        return aligned(points, principal_axes(moments(points))), made[1]
     welded = checkpoint(weld_components(vertices, eps))
     clusters = weld_vertices(welded)
     kept = checkpoint(weld_faces(checked(vertices, faces), welded, clusters).select("mesh_id", F.col("new_id").alias("face_id"), "a", "b", "c"))

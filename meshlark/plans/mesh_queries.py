@@ -20,12 +20,23 @@ def _soup(spark, sf_dir):
 def _welded(spark, sf_dir):
     """Welded soup: clusters and faces on them."""
     vertices, faces = soup_tables(_soup(spark, sf_dir))
+    if made := M.weld(vertices, faces):
+        return made
     welded = checkpoint(M.weld_components(vertices))
     clusters = checkpoint(M.weld_vertices(welded))
     kept = M.weld_faces(faces, welded, clusters).select("mesh_id", F.col("new_id").alias("face_id"), "a", "b", "c")
     return clusters, checkpoint(kept)
 
 
+def _wound(spark, sf_dir):
+    """The same with the faces wound outward."""
+    made = M.weld(*soup_tables(_soup(spark, sf_dir)), orient=True)
+    if made is None:
+        clusters, faces = _welded(spark, sf_dir)
+        made = clusters, M.reorient(clusters, faces)
+    return made
+
+
 def _clusters(spark, sf_dir):
     """Clusters of the welded soup, without its faces."""
     return M.weld_vertices(M.weld_places(soup_tables(_soup(spark, sf_dir))[0]))
@@ -95,19 +106,17 @@ def face_adjacency(spark, sf_dir):
 
 
 def orient_flips(spark, sf_dir):
-    clusters, faces = _welded(spark, sf_dir)
-    return M.reorient(clusters, faces).selectExpr("mesh_id", "cast(face_id as bigint) as face_id", "cast(flip as bigint) as flip")
+    return _wound(spark, sf_dir)[1].selectExpr("mesh_id", "cast(face_id as bigint) as face_id", "cast(flip as bigint) as flip")
 
 
 def reorient_metrics(spark, sf_dir):
     """Share of faces that orienting turns, in percent."""
-    clusters, faces = _welded(spark, sf_dir)
-    return M.flip_share(M.reorient(clusters, faces))
+    return M.flip_share(_wound(spark, sf_dir)[1])
 
 
 def component_volume(spark, sf_dir):
-    clusters, faces = _welded(spark, sf_dir)
-    wound = M.reorient(clusters, faces).select("mesh_id", "face_id", "component", "a", "b", "c", F.lit(0).alias("flip"))
+    clusters, wound = _wound(spark, sf_dir)
+    wound = wound.select("mesh_id", "face_id", "component", "a", "b", "c", F.lit(0).alias("flip"))
     v = M.signed_volumes(clusters, wound.drop("component", "flip"), wound.select("mesh_id", "face_id", "component", "flip"))
     return v.selectExpr("mesh_id", f"{tidy('volume6 / 6')} as volume")
 
@@ -161,7 +170,6 @@ def hash_jitter(spark, sf_dir):
 def mesh_sampler_summary(spark, sf_dir):
     """One row a mesh: the whole cleaning pipeline, area and bounds of its canonical form."""
     vertices, faces = M.canonicalize(*soup_tables(_soup(spark, sf_dir)))
-    vertices = checkpoint(vertices)
     tri = M.triangles(vertices, faces).groupBy("mesh_id").agg(F.count("*").alias("triangles"), (F.sum("area2") / 2).alias("area"))
     box = M.bounding_box(vertices, "mesh_id").join(merged(vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"))), "mesh_id")
     out = box.join(merged(tri), "mesh_id").join(merged(faces.groupBy("mesh_id").agg(F.sum("flip").alias("flips"))), "mesh_id")

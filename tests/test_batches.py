@@ -97,3 +97,34 @@ def test_draws_in_batches(spark):
     assert sampling.drawn(weight, np.array([0.0, 0.6, 2 / 3 + 1e-9, 1 - 2**-53, 1.0])).tolist() == [1, 1, 3, 3, 3]
     with pytest.raises(ValueError, match="area"), np.errstate(invalid="ignore"):
         sampling.drawn(np.zeros(3), np.array([0.5]))
+
+
+@pytest.mark.parametrize("case", ["plain", "flipped", "two", "chain", "doubled"])
+def test_cleaning_in_batches_is_that_of_tables(spark, monkeypatch, case):
+    """Welding and orienting where a mesh's rows meet against the relational forms."""
+    from meshlark.operators import cleaning
+    from meshlark.plans.derived import CORNERS
+
+    faces = [(a, c, b) if case == "flipped" and i in (2, 7, 11) else (a, b, c) for i, (a, b, c) in enumerate(FACES, 1)]
+    points = [tuple(h * s for h, s in zip((0.61, 0.43, 0.37), c)) for c in CORNERS]
+    if case == "two":
+        faces, points = faces + [(a + 8, c + 8, b + 8) for a, b, c in FACES], points + [(x + 3, y, z) for x, y, z in points]
+    if case == "doubled":
+        faces = [*faces, (5, 6, 4), (0, 1, 1)]
+    step = {"chain": 6e-8}.get(case, 0.0)
+    seen, corner = {}, []
+    for f in faces:
+        for c in f:
+            k = seen[c] = seen.get(c, -1) + 1
+            corner.append((points[c][0] + k * step, *points[c][1:]))
+    v, f = tables(spark, [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(len(faces))], corner)
+    clusters, wound = M.weld(v, f, 1e-7, True)
+    w = M.weld_components(v)
+    means = M.weld_vertices(w)
+    want = M.reorient(means, M.weld_faces(f, w, means).select("mesh_id", "new_id", "a", "b", "c").withColumnRenamed("new_id", "face_id"))
+    rows = lambda t, *c: sorted(map(tuple, t.select(*c).collect()))
+    assert rows(wound, "face_id", "component", "a", "b", "c", "flip") == rows(want, "face_id", "component", "a", "b", "c", "flip")
+    got, have = (np.array(rows(t, "vertex_id", "root", "members", "x", "y", "z")) for t in (clusters, means))
+    assert np.allclose(got, have, atol=1e-15, rtol=1e-14)
+    monkeypatch.setattr(cleaning, "LARGE", 1)
+    assert M.weld(v, f) is None
