@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlark.operators.batches import dealt
+
 # Corner signs and faces of the box, faces numbered from 1, corners from 0.
 CORNERS = [(-1, -1, -1), (1, -1, -1), (1, 1, -1), (-1, 1, -1), (-1, -1, 1), (1, -1, 1), (1, 1, 1), (-1, 1, 1)]
 FACES = [(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)]
@@ -59,8 +61,8 @@ def turned(vertices: DataFrame) -> DataFrame:
     return vertices.select(*(c for c in vertices.columns if c not in "xyz"), *(F.expr(v).alias(c) for c, v in zip("xyz", at)))
 
 
-def tessellated(box: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
-    """The clean box with every side cut into ``m`` x ``m`` squares of two triangles."""
+def _tessellation(m: int) -> tuple[dict[tuple[int, int, int], int], list[tuple[int, int, int]]]:
+    """Numbers of the vertices, by their steps along the sides, and faces."""
     lookup = {(x, y, z): None for x in range(m + 1) for y in range(m + 1) for z in range(m + 1) if {x, y, z} & {0, m}}
     names = {p: i for i, p in enumerate(lookup, 1)}
     faces = []
@@ -76,6 +78,12 @@ def tessellated(box: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
                         square.append(names[tuple(p)])
                     square = square if side else square[::-1]
                     faces += [(square[0], square[1], square[2]), (square[0], square[2], square[3])]
+    return names, faces
+
+
+def tessellated(box: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
+    """The clean box with every side cut into ``m`` x ``m`` squares of two triangles."""
+    names, faces = _tessellation(m)
     at = lambda k: f"{2 * k / m - 1!r}D"
     v = ", ".join(f"struct({n}L as vertex_id, {at(x)} as x, {at(y)} as y, {at(z)} as z)" for (x, y, z), n in names.items())
     f = ", ".join(f"struct({i}L as face_id, {a}L as a, {b}L as b, {c}L as c)" for i, (a, b, c) in enumerate(faces, 1))
@@ -83,6 +91,16 @@ def tessellated(box: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
     return vertices, box.select("mesh_id", F.expr(f"inline(array({f}))"))
 
 
+def tessellated_rows(box: DataFrame, m: int) -> DataFrame:
+    """The same as rows of ``batches.gathered``. Boxes are dealt and put in order before they are written
+    out, so that a mesh's rows come out together and none of them is shuffled or sorted."""
+    names, faces = _tessellation(m)
+    rows = [(0, i, *(2 * k / m - 1 for k in place)) for place, i in names.items()] + [(1, i, *map(float, f)) for i, f in enumerate(faces, 1)]
+    rows = ", ".join(f"struct({part} as part, {i}L as id, {p!r}D as p, {q!r}D as q, {r!r}D as r)" for part, i, p, q, r in rows)
+    made = dealt(box.select(F.col("mesh_id").cast("long"), "hx", "hy", "hz")).select("*", F.expr(f"inline(array({rows}))"))
+    return made.selectExpr("mesh_id", "part", "id", *(f"if(part = 0, {k}*h{c}, {k}) as {k}" for k, c in zip("pqr", "xyz")))
+
+
 def box_welded(box: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The clean box: 8 vertices and 12 outward faces, about the origin."""
     v = ", ".join(f"struct({i}L as vertex_id, {x}*hx as x, {y}*hy as y, {z}*hz as z)" for i, (x, y, z) in enumerate(CORNERS, 1))

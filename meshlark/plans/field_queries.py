@@ -9,7 +9,7 @@ from meshlark.operators import isosurface, sdf
 from meshlark.operators.batches import gathered
 from meshlark.operators.mesh import triangles
 from meshlark.operators.tables import counts_and_offsets
-from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes, tessellated
+from meshlark.plans.derived import SQL_BOX, SQL_TRI, box_welded, boxes, tessellated_rows
 
 N, M = 8, 12
 
@@ -81,7 +81,7 @@ def signed_field(spark, sf_dir):
 
 def tessellated_field(spark, sf_dir):
     """The signed field of boxes of 108 triangles, whose edges run through the sides."""
-    got = sdf.fields(gathered(*tessellated(boxes(spark, sf_dir), 3)), N).selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + v) as total", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
+    got = sdf.fields(tessellated_rows(boxes(spark, sf_dir), 3), N).selectExpr("mesh_id", "cast(iz as bigint) as iz", "aggregate(sdf, 0e0, (a, v) -> a + v) as total", "cast(size(filter(sdf, v -> v < 0)) as bigint) as n")
     return got.selectExpr("mesh_id", "iz", f"{tidy('total')} as total", "n")
 
 

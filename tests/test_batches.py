@@ -20,6 +20,21 @@ def test_triangles_and_fields_are_not_dealt_again(spark, name, most):
     assert 1 <= plan.count("Exchange") <= most and "SortMergeJoin" not in plan
 
 
+def test_tessellated_boxes_are_dealt_before_they_are_written_out(spark):
+    """164 rows a mesh come from one that is shuffled, and are those of the two tables; no mesh is torn."""
+    plan = QUERIES["tessellated_field"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+    from meshlark.plans.derived import boxes, tessellated, tessellated_rows
+
+    box = boxes(spark, SMALL)
+    got, want = tessellated_rows(box, 3), batches.gathered(*tessellated(box, 3))
+    assert got.schema.names == want.schema.names and got.count() == want.count() == 164 * box.count()
+    assert got.exceptAll(want).isEmpty()
+    for mesh in got.select("mesh_id").rdd.mapPartitions(lambda p: [[r.mesh_id for r in p]]).collect():
+        assert mesh == sorted(mesh)
+
+
 def rows(meshes):
     """Rows of ``gathered`` of boxes by half-extent, sorted by mesh."""
     from meshlark.plans.derived import CORNERS
